@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalake.llm.language_id import op7_query
+from stratalake.llm.mixing import op9_query
+from stratalake.llm.quality_rules import BOILERPLATE, op6_query
 from stratalake.llm.substring_dedup import op1_query
+from stratalake.llm.token_counts import op10_query
+from stratalake.llm.url_filter import op2_query
 
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
@@ -17,6 +22,11 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _over("documents", op1_query),
+    "op2_url_filter": _over("pages", op2_query),
+    "op6_quality_rules": _over("documents", op6_query),
+    "op7_language_id": _over("documents", op7_query),
+    "op9_mixing": _over("documents", op9_query),
+    "op10_token_counts": _over("documents", op10_query),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +41,23 @@ ORACLE_SQL: dict[str, str] = {
         kept AS (SELECT doc_id, count(*) AS n, count_if(g) AS r, count_if(e) AS s, sha256(coalesce(string_agg(x, ' ' ORDER BY p) FILTER (WHERE NOT g), '')) AS h FROM edges GROUP BY doc_id)
         SELECT doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(r, 0)::BIGINT AS n_removed, coalesce(h, sha256('')) AS kept_sha256, coalesce(s, 0)::INTEGER AS n_spans
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op6_quality_rules": rf"""
+        WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS ws FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS k FROM (SELECT *, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+        rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1),
+        cov AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
+        line AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+        one AS (SELECT doc_id, x, count(*) AS c, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n, length(regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g')) AS ch FROM line GROUP BY doc_id, x),
+        ok AS (SELECT *, NOT (
+            len(regexp_extract_all(x, '\||»|·|›')) >= 3 OR len(regexp_extract_all(x, '[#*$%&|<>{{}}~^=+_\\]')) * 10 > ch OR len(regexp_extract_all(x, '[!?]{{2,}}')) * 4 > n
+            OR (n < 4 AND NOT regexp_matches(x, '[.!?…:;"''”’»)\]]\s*$')) OR (n <= 20 AND regexp_matches(lower(x), '{"|".join(BOILERPLATE)}'))) AS good FROM one),
+        doc AS (SELECT doc_id, sum(c)::BIGINT AS n_lines, count(*)::BIGINT AS n_distinct, count_if(good)::BIGINT AS n_good, coalesce(sum(ch) FILTER (WHERE good), 0) AS good_ch FROM ok GROUP BY doc_id),
+        b AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+            coalesce(n_lines - n_distinct, 0)::BIGINT AS n_dup_lines, coalesce(r, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines,
+            coalesce(n_lines - n_good, 0)::BIGINT AS n_lines_removed, coalesce(good_ch, 0) AS good_ch
+            FROM w LEFT JOIN doc USING (doc_id) LEFT JOIN cov USING (doc_id)),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND CASE WHEN word_chars > 0 THEN 1 - good_ch / word_chars <= 0.5 ELSE false END AS kept, n_lines, n_lines_removed
+        FROM f""",
 }
