@@ -12,6 +12,7 @@ from stratalake.llm.quality_rules import BOILERPLATE, op6_query
 from stratalake.llm.substring_dedup import op1_query
 from stratalake.llm.token_counts import op10_query
 from stratalake.llm.url_filter import op2_query
+from stratalake.llm.warc import op5_query
 
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
@@ -23,6 +24,7 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _over("documents", op1_query),
     "op2_url_filter": _over("pages", op2_query),
+    "op5_warc_bundles": _over("pages", op5_query),
     "op6_quality_rules": _over("documents", op6_query),
     "op7_language_id": _over("documents", op7_query),
     "op9_mixing": _over("documents", op9_query),
