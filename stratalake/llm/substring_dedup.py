@@ -230,19 +230,21 @@ def substring_dedup(docs: DataFrame, n: int = 20, block: int = 10, groups: int |
 
     A word goes if a window of ``n`` words over it also starts earlier (smaller doc_id, or earlier in the
     same document).  ``groups``: into how many groups texts are dealt; twice the shuffle partitions if unset,
-    so it grows with the input as that setting does.
+    so it grows with the input as that setting does.  Hashes meet in half as many buckets, since each group
+    and bucket exchange one row.
     """
     if 2 * block - 1 > n:
         raise ValueError("a window of n words must hold an aligned block: 2 * block - 1 <= n")
     spark = docs.sparkSession
     groups = min(groups or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), _SUB)
+    buckets = max(1, groups // 2)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"))
-    blocks = texts.groupBy("g").applyInArrow(_probe(n, block, groups), "g int, bucket int, counts binary, rest binary, indexed binary, multi binary")
+    blocks = texts.groupBy("g").applyInArrow(_probe(n, block, buckets), "g int, bucket int, counts binary, rest binary, indexed binary, multi binary")
     hits = blocks.groupBy("bucket").applyInArrow(_match_blocks, _MASKS)
-    spans = texts.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_extend(n, block, groups), "g int, bucket int, hashes binary, ids binary")
+    spans = texts.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_extend(n, block, buckets), "g int, bucket int, hashes binary, ids binary")
     earlier = spans.groupBy("bucket").applyInArrow(_match_spans, _MASKS)
     return texts.groupBy("g").cogroup(hits.unionByName(earlier).groupBy("g")).applyInArrow(
-        _remove(n, block, groups), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
+        _remove(n, block, buckets), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
     )
 
 
