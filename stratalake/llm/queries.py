@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalake.llm.decontaminate import op3_query
 from stratalake.llm.language_id import op7_query
 from stratalake.llm.mixing import op9_query
 from stratalake.llm.quality_rules import BOILERPLATE, op6_query
@@ -24,6 +25,7 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _over("documents", op1_query),
     "op2_url_filter": _over("pages", op2_query),
+    "op3_decontaminate": lambda spark, sf_dir: op3_query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op5_warc_bundles": _over("pages", op5_query),
     "op6_quality_rules": _over("documents", op6_query),
     "op7_language_id": _over("documents", op7_query),
@@ -62,4 +64,15 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND CASE WHEN word_chars > 0 THEN 1 - good_ch / word_chars <= 0.5 ELSE false END AS kept, n_lines, n_lines_removed
         FROM f""",
+    "op3_decontaminate": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
+        b AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 9 GROUP BY w),
+        m AS (SELECT * FROM (VALUES (0, [0, 1, 2, 4, 7, 8]), (1, [0, 2, 3, 5, 6, 8])) AS t(mask, at)),
+        ds AS (SELECT doc_id, p, mask, list_transform(at, lambda k: w[p + k]) AS s FROM (SELECT *, unnest(range(1, len(w) - 7)) AS p FROM d), m),
+        bs AS (SELECT item_id, min(p) AS q, mask, s FROM (SELECT item_id, p, mask, list_transform(at, lambda k: w[p + k]) AS s FROM (SELECT *, unnest(range(1, len(w) - 7)) AS p FROM b), m) GROUP BY item_id, mask, s),
+        hit AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM ds JOIN bs USING (mask, s)),
+        pos AS (SELECT doc_id, item_id, shift, i, (i + shift >= 1 AND coalesce(d.w[greatest(i + shift, 1)] = b.w[i], false))::INTEGER AS e, len(b.w) AS n
+            FROM (SELECT hit.*, unnest(range(1, len(b.w) + 1)) AS i FROM hit JOIN b USING (item_id)) JOIN d USING (doc_id) JOIN b USING (item_id)),
+        run AS (SELECT doc_id, item_id, least(n, 13) AS c, sum(e) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS matched FROM pos)
+        SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(c)::BIGINT AS compared FROM run WHERE matched >= ceil(c * 0.84) GROUP BY doc_id, item_id""",
 }
