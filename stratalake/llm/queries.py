@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stratalake.llm.decontaminate import op3_query
 from stratalake.llm.language_id import op7_query
 from stratalake.llm.mixing import op9_query
+from stratalake.llm.ngram_join import op8_query
 from stratalake.llm.quality_rules import BOILERPLATE, op6_query
 from stratalake.llm.substring_dedup import op1_query
 from stratalake.llm.token_counts import op10_query
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_warc_bundles": _over("pages", op5_query),
     "op6_quality_rules": _over("documents", op6_query),
     "op7_language_id": _over("documents", op7_query),
+    "op8_ngram_join": _over("documents", op8_query),
     "op9_mixing": _over("documents", op9_query),
     "op10_token_counts": _over("documents", op10_query),
 }
@@ -67,12 +69,20 @@ ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
         b AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 9 GROUP BY w),
-        m AS (SELECT * FROM (VALUES (0, [0, 1, 2, 4, 7, 8]), (1, [0, 2, 3, 5, 6, 8])) AS t(mask, at)),
-        ds AS (SELECT doc_id, p, mask, list_transform(at, lambda k: w[p + k]) AS s FROM (SELECT *, unnest(range(1, len(w) - 7)) AS p FROM d), m),
-        bs AS (SELECT item_id, min(p) AS q, mask, s FROM (SELECT item_id, p, mask, list_transform(at, lambda k: w[p + k]) AS s FROM (SELECT *, unnest(range(1, len(w) - 7)) AS p FROM b), m) GROUP BY item_id, mask, s),
+        m AS (SELECT * FROM (VALUES (0, [0, 1, 2, 4, 7, 8]), (1, [0, 2, 3, 5, 6, 8])) AS t(mask, places)),
+        ds AS (SELECT doc_id, p, mask, list_transform(places, lambda k: w[p + k]) AS s FROM (SELECT *, unnest(range(1, len(w) - 7)) AS p FROM d), m),
+        bs AS (SELECT item_id, min(p) AS q, mask, s FROM (SELECT item_id, p, mask, list_transform(places, lambda k: w[p + k]) AS s FROM (SELECT *, unnest(range(1, len(w) - 7)) AS p FROM b), m) GROUP BY item_id, mask, s),
         hit AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM ds JOIN bs USING (mask, s)),
         pos AS (SELECT doc_id, item_id, shift, i, (i + shift >= 1 AND coalesce(d.w[greatest(i + shift, 1)] = b.w[i], false))::INTEGER AS e, len(b.w) AS n
             FROM (SELECT hit.*, unnest(range(1, len(b.w) + 1)) AS i FROM hit JOIN b USING (item_id)) JOIN d USING (doc_id) JOIN b USING (item_id)),
         run AS (SELECT doc_id, item_id, least(n, 13) AS c, sum(e) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS matched FROM pos)
         SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(c)::BIGINT AS compared FROM run WHERE matched >= ceil(c * 0.84) GROUP BY doc_id, item_id""",
+    "op8_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id, {WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(ws) - 2, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s AS a JOIN s AS b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        e AS (SELECT x, y FROM o JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE 100 * both >= 85 * (p.n + q.n - both)),
+        r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.c)
+        SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id""",
 }
