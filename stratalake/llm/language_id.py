@@ -207,6 +207,24 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
+def _accepted(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model: Model = shared.value
+        for batch in batches:
+            keep = []
+            for data, letter in zip(_text_bytes(batch.column("text")), batch.column("_letter").to_pylist(), strict=True):
+                keep.append(bool(letter and model.languages) and float(model.probabilities(model.logits(data)).max()) >= model.reject_below)
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["_letter"])
+
+    return run
+
+
+def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose language the calibrated rejection accepts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.withColumn("_letter", has_letter(F.col("text"))).mapInArrow(_accepted(shared), docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 

@@ -316,7 +316,9 @@ def _settled(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
 
 
 def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, frequent: float = 0.004, heavy_limit: int = 200_000, broadcast_rows: int = 300_000) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, set_id and component_id (smallest doc_id reachable by links).
+    """Per row of ``docs``: doc_id, row_key, n_shingles, root and component_id (smallest doc_id reachable by links).
+
+    ``root`` names the component; null for empty sets, which are linked with nothing.
 
     ``frequent`` and ``heavy_limit`` bound the shingles that are moved to the end of the order (held by that
     share of a slice's texts, at most so many); they change the work done and never the result.
@@ -353,8 +355,21 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, frequent: flo
             roots = components(links.unionByName(more))
     members = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = members.groupBy("root").agg(F.min("low_doc").alias("component_id"))
-    named = members.join(lowest, "root").select("set_id", "component_id")
-    return sets.join(named, "set_id", "left").select("doc_id", "row_key", "n_shingles", "set_id", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = members.join(lowest, "root").select("set_id", "root", "component_id")
+    filled = sets.withColumn("set_id", F.when(F.col("n_shingles") > 0, F.col("set_id")))
+    return filled.join(named, "set_id", "left").select("doc_id", "row_key", "n_shingles", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def keep_one_per_group(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` with one row of each component, that of its smallest doc_id; rows without words all stay."""
+    has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    groups = similar_groups(docs, **settings).where("root IS NOT NULL")
+    # nulls come first in structs' order, so a null doc_id is kept only if flagged last
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"))).alias("low")).select(F.col("low.k").alias("_row_key"))
+    rows = docs.where(has_word).withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    # rows alike in doc_id and text share a key: one of them stays
+    kept = rows.join(chosen, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    return kept.unionByName(docs.where(~has_word))
 
 
 def op8_query(docs: DataFrame) -> DataFrame:

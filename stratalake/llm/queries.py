@@ -10,6 +10,7 @@ from stratalake.llm.decontaminate import op3_query
 from stratalake.llm.language_id import op7_query
 from stratalake.llm.mixing import op9_query
 from stratalake.llm.ngram_join import op8_query
+from stratalake.llm.packing import op4_query
 from stratalake.llm.quality_rules import BOILERPLATE, op6_query
 from stratalake.llm.substring_dedup import op1_query
 from stratalake.llm.token_counts import op10_query
@@ -27,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _over("documents", op1_query),
     "op2_url_filter": _over("pages", op2_query),
     "op3_decontaminate": lambda spark, sf_dir: op3_query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
+    "op4_token_packing": _over("documents", op4_query),
     "op5_warc_bundles": _over("pages", op5_query),
     "op6_quality_rules": _over("documents", op6_query),
     "op7_language_id": _over("documents", op7_query),
@@ -81,8 +83,8 @@ ORACLE_SQL: dict[str, str] = {
         WITH RECURSIVE w AS (SELECT doc_id, {WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(ws) - 2, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both FROM s AS a JOIN s AS b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
-        e AS (SELECT x, y FROM o JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE 100 * both >= 85 * (p.n + q.n - both)),
+        o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s AS a JOIN s AS b USING (k) WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+        e AS (SELECT x, y FROM o JOIN n AS p ON p.doc_id = x JOIN n AS q ON q.doc_id = y WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
         r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.c)
         SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id""",
 }
