@@ -46,9 +46,8 @@ class _Group:
 
     def __init__(self, table: pa.Table, n: int, block: int):
         self.n, self.block = n, block
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids = table.column("doc_id")
-        self.doc_id, self.ids = ids, ids.fill_null(np.iinfo(np.int64).min).to_numpy()
+        table = table.append_column("_id", table.column("doc_id").fill_null(np.iinfo(np.int64).min)).sort_by([("_id", "ascending"), ("text", "ascending")])
+        self.doc_id, self.ids = table.column("doc_id"), table.column("_id").to_numpy()
         self.words = Words(table.column("text"))
         self.hashes = self.words.hashes()
 
