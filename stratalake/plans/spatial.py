@@ -208,13 +208,13 @@ def edge_set_diff(t: Tables) -> DataFrame:
     return graph.edge_set_diff(graph.knn_edges(points), graph.knn_edges(points, 6))
 
 
-@query("graph_context_features", f"""WITH {_KNN}, d AS (SELECT src, dst FROM knn_e UNION ALL SELECT dst, src FROM knn_e), p AS ({_PTS}),
+@query("graph_context_features", f"""WITH {_KNN}, d AS (SELECT src, dst FROM knn_e UNION ALL SELECT dst, src FROM knn_e), p AS (SELECT id, ln(x) AS x FROM ({_PTS}) AS q),
     h1 AS (SELECT p.id, coalesce(avg(q.x), 0) AS x FROM p LEFT JOIN d ON d.dst = p.id LEFT JOIN p AS q ON q.id = d.src GROUP BY p.id), h2 AS (SELECT p.id, coalesce(avg(q.x), 0) AS x FROM p LEFT JOIN d ON d.dst = p.id LEFT JOIN h1 AS q ON q.id = d.src GROUP BY p.id),
     h3 AS (SELECT p.id, coalesce(avg(q.x), 0) AS x FROM p LEFT JOIN d ON d.dst = p.id LEFT JOIN h2 AS q ON q.id = d.src GROUP BY p.id)
-    SELECT p.id, p.x, round(h1.x, 6) AS x_1, round(h2.x, 6) AS x_2, round(h3.x, 6) AS x_3 FROM p JOIN h1 USING (id) JOIN h2 USING (id) JOIN h3 USING (id)""")
+    SELECT p.id, round(p.x, 6) AS x, round(h1.x, 6) AS x_1, round(h2.x, 6) AS x_2, round(h3.x, 6) AS x_3 FROM p JOIN h1 USING (id) JOIN h2 USING (id) JOIN h3 USING (id)""")
 def graph_context_features(t: Tables) -> DataFrame:
     points = graph_points(t)
-    return graph.graph_context(graph.knn_edges(points), points, ["x"])
+    return graph.graph_context(graph.knn_edges(points), points.withColumn("x", F.ln("x")), ["x"])
 
 
 @query("knn_join", f"WITH {_near('nn', _LAB, _PTS, 3, False)} SELECT qid, id, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM nn")
