@@ -1,8 +1,8 @@
 """Stress and property profiles per boring.
 
-The overburden integral needs the layer at each one-foot cell's middle.  It is built from change points: each
-boring's cells come from its own depth range, the first layer (by top) that holds a cell gives its weight, and
-a running sum over cells gives the stress.  All work is keyed by boring, so one shuffle serves it.
+The overburden integral takes, of each one-foot cell, the weight of the first layer that holds its middle.  It
+is built from change points, the cells at which a layer begins or ends: between them the weight is constant, and
+a running sum over these few runs gives the stress at any depth.  All work is keyed by boring.
 """
 
 from __future__ import annotations
@@ -31,31 +31,40 @@ def groundwater(strata: DataFrame, low: float = 0.0, high: float | None = None)
     return strata.where(ok).groupBy("boring_id").agg(F.min("gw_depth").alias("gw_ft"))
 
 
-def cumulative_stress(layers: DataFrame, p: SoilParams = SoilParams()) -> DataFrame:
-    """(boring_id, cell, cum_psf, max_depth): stress at the upper edge of each cell, one more than cells."""
+def stress_segments(layers: DataFrame, p: SoilParams = SoilParams()) -> DataFrame:
+    """(boring_id, max_depth, k0, k1, gamma_pcf, cum_psf): runs of cells [k0, k1) under one weight, and the stress at k0.
+
+    A cell has the weight of the first layer (by top, then interval) that holds its middle.  Weights change only
+    where a layer begins or ends, so a boring has at most two runs per layer, however deep it is.
+    """
     step = p.step_ft
-    deep = layers.groupBy("boring_id").agg(F.greatest(F.max("layer_bottom"), F.lit(step)).alias("max_depth"))
-    cells = deep.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("max_depth") / step) + 1)))
-    # a layer covers the cells whose middles it holds; of several the first by top (then interval) counts
-    own = layers.withColumn("_a", F.greatest(F.ceil(F.col("layer_top") / step - 0.5), F.lit(0))).withColumn("_b", F.ceil(F.col("layer_bottom") / step - 0.5) - 1)
-    held = own.where("_a <= _b").withColumn("cell", F.explode(F.sequence("_a", "_b"))).groupBy("boring_id", "cell").agg(F.min(F.struct("layer_top", "interval_index", "gamma_pcf")).alias("l"))
-    upto = Window.partitionBy("boring_id").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    weight = F.coalesce(F.col("l.gamma_pcf"), F.lit(p.default_unit_weight_pcf)) * step
-    return cells.join(held, ["boring_id", "cell"], "left").select("boring_id", "cell", "max_depth", F.coalesce(F.sum(weight).over(upto), F.lit(0.0)).alias("cum_psf"))
+    own = layers.withColumns({"a": F.greatest(F.ceil(F.col("layer_top") / step - 0.5), F.lit(0)), "b": F.ceil(F.col("layer_bottom") / step - 0.5)})
+    deep = own.groupBy("boring_id").agg(F.greatest(F.max("layer_bottom"), F.lit(step)).alias("max_depth"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", F.greatest("a", "b")))))).alias("cuts"))
+    end = F.ceil(F.col("max_depth") / step) + 2
+    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), F.filter("cuts", lambda c: c < end), F.array(end))))
+    runs = deep.withColumn("cuts", cuts).select("boring_id", "max_depth", F.explode(F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts") - 1), lambda x, y: F.struct(x.alias("k0"), y.alias("k1")))).alias("r"))
+    runs = runs.select("boring_id", "max_depth", "r.k0", "r.k1")
+    over = own.select("boring_id", "a", "b", F.struct("layer_top", "interval_index", "gamma_pcf").alias("l"))
+    held = runs.join(over, "boring_id").where("a <= k0 AND b >= k1").groupBy("boring_id", "k0").agg(F.min("l").alias("l"))
+    gamma = F.coalesce(F.col("l.gamma_pcf"), F.lit(p.default_unit_weight_pcf))
+    rows = runs.join(held, ["boring_id", "k0"], "left").select("boring_id", "max_depth", "k0", "k1", gamma.alias("gamma_pcf"))
+    upto = Window.partitionBy("boring_id").orderBy("k0").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("cum_psf", F.coalesce(F.sum(F.col("gamma_pcf") * (F.col("k1") - F.col("k0")) * step).over(upto), F.lit(0.0)))
 
 
 def stresses(strata: DataFrame, p: SoilParams = SoilParams()) -> DataFrame:
     """Per interval: depth_ft, sigma_v0_tsf, pore_tsf, sigma_eff_v0_tsf, gamma_pcf, gw_ft; nulls where it has no depth."""
-    cum = cumulative_stress(layer_column(strata, p), p)
+    step = p.step_ft
+    runs = stress_segments(layer_column(strata, p), p).withColumnRenamed("gamma_pcf", "_g")
     rows = strata.select(*KEY, "uscs_class", soil.reference_depth(F.col("top_depth"), F.col("bottom_depth")).alias("depth_ft"))
-    extent = cum.where("cell = 0").select("boring_id", "max_depth")
-    at = rows.join(extent, "boring_id", "left").withColumn("_f", F.when(F.col("depth_ft").isNotNull(), F.greatest(F.least(F.col("depth_ft"), F.col("max_depth")), F.lit(0.0)) / p.step_ft)).withColumn("cell", F.floor("_f"))
-    below = cum.select("boring_id", "cell", F.col("cum_psf").alias("_lo"), F.lead("cum_psf").over(Window.partitionBy("boring_id").orderBy("cell")).alias("_hi"))
-    joined = at.join(below, ["boring_id", "cell"], "left").join(groundwater(strata), "boring_id", "left")
-    total = (F.col("_lo") + (F.col("_f") - F.col("cell")) * (F.coalesce("_hi", "_lo") - F.col("_lo"))) / soil.PSF_PER_TSF
-    # pore pressure takes the depth as it is, total stress the depth within the profile
+    # the run that holds the depth, which counts within the profile; intervals without a depth stay without stress
+    within = F.least(F.col("depth_ft"), F.col("max_depth")) / step
+    at = rows.where("depth_ft IS NOT NULL").join(runs, "boring_id").withColumn("_f", within).where("floor(_f) >= k0 AND floor(_f) < k1")
+    at = at.select(*KEY, ((F.col("cum_psf") + F.col("_g") * (F.col("_f") - F.col("k0")) * step) / soil.PSF_PER_TSF).alias("sigma_v0_tsf"))
+    joined = rows.join(at, KEY, "left").join(groundwater(strata), "boring_id", "left")
+    # pore pressure takes the depth as it is
     pore = F.when(F.col("depth_ft").isNotNull(), p.water_pcf * F.coalesce(F.greatest(F.col("depth_ft") - F.col("gw_ft"), F.lit(0.0)), F.lit(0.0)) / soil.PSF_PER_TSF)
-    out = joined.withColumns({"sigma_v0_tsf": total, "pore_tsf": pore})
+    out = joined.withColumn("pore_tsf", pore)
     effective = F.when(F.col("sigma_v0_tsf").isNotNull(), F.greatest(F.col("sigma_v0_tsf") - F.col("pore_tsf"), F.lit(0.01)))
     gamma = F.when(F.col("depth_ft").isNotNull(), soil.unit_weight(F.col("uscs_class"), p))
     return out.select(*KEY, "depth_ft", "sigma_v0_tsf", "pore_tsf", effective.alias("sigma_eff_v0_tsf"), gamma.alias("gamma_pcf"), "gw_ft")
