@@ -229,8 +229,8 @@ def spt_from_increments(t: Tables) -> DataFrame:
 
 
 def ocr_boxes(t: Tables) -> DataFrame:
-    """One page per boring with at most nine intervals: even orders are spoon logs, odd ones descriptive pages."""
-    s = t.strata.where("interval_index < 9").withColumn("o", F.substring("boring_id", 2, 9).cast("int"))
+    """One page per boring: even orders are spoon logs, odd ones descriptive pages."""
+    s = t.strata.withColumn("o", F.substring("boring_id", 2, 9).cast("int"))
     spoon = F.col("o") % 2 == 0
     y = 200.0 + 100.0 * F.col("interval_index")
     i = F.col("interval_index")
@@ -250,7 +250,7 @@ def ocr_boxes(t: Tables) -> DataFrame:
     return rows.select("boring_id", F.lit(1).alias("page"), "b.seq", F.lit(1000.0).alias("page_w"), F.lit(2000.0).alias("page_h"), "b.x", "b.y", "b.text", F.lit(0.9).alias("conf"))
 
 
-_BOX = "SELECT *, CAST(substr(boring_id, 2) AS INT) AS o FROM strata WHERE interval_index < 9"
+_BOX = "SELECT *, CAST(substr(boring_id, 2) AS INT) AS o FROM strata"
 
 
 @query("header_fields", f"SELECT DISTINCT boring_id, CAST(o % 300 AS DOUBLE) AS surface_elevation, 'ft' AS elev_units, CASE WHEN o % 3 = 0 THEN CAST(o % 40 AS DOUBLE) END AS header_gw FROM ({_BOX}) AS b")
@@ -275,16 +275,21 @@ _SPOON = f"""SELECT boring_id, interval_index AS k, a, b, {_family('((o + interv
     CASE WHEN a IS NULL THEN 0.7e0 ELSE 1e0 END AS conf, 'S' || (interval_index + 1) AS sample FROM (SELECT *, coalesce(t1, b1) AS a, CASE WHEN t1 IS NOT NULL THEN b1 END AS b FROM (SELECT *, CASE WHEN top_depth < 100 THEN top_depth END AS t1, CASE WHEN bottom_depth BETWEEN 0 AND 99.9 THEN bottom_depth WHEN bottom_depth < 0 THEN -bottom_depth END AS b1 FROM ({_BOX}) AS b WHERE o % 2 = 0)) AS s"""
 
 
+def pages_of(t: Tables, spoon: bool) -> DataFrame:
+    """Boxes of the pages that are spoon logs, or of those that are not."""
+    boxes = ocr_boxes(t)
+    kinds = log_ops.page_text(boxes).select("boring_id", "page", log_ops.is_spoon(F.col("emitted")).alias("spoon"))
+    return boxes.join(kinds.where(F.col("spoon") == spoon).drop("spoon"), ["boring_id", "page"])
+
+
 @query("boxes_generic", f"SELECT boring_id, CAST(k AS INT) AS interval_index, a AS top_depth, b AS bottom_depth, f AS uscs_class, spt AS spt_n, gw AS gw_depth, el AS elevation, conf AS confidence FROM ({_GENERIC}) AS g")
 def boxes_generic(t: Tables) -> DataFrame:
-    odd = ocr_boxes(t).where("CAST(substr(boring_id, 2) AS INT) % 2 = 1")
-    return log_ops.parse_generic(odd).drop("page", "sample_type")
+    return log_ops.parse_generic(pages_of(t, False)).drop("page", "sample_type")
 
 
 @query("boxes_spoon", f"SELECT boring_id, interval_index, a AS top_depth, b AS bottom_depth, f AS uscs_class, spt AS spt_n, sample AS sample_type, gw AS gw_depth, el AS elevation, conf AS confidence FROM (SELECT *, CAST(k AS INT) AS interval_index FROM ({_SPOON}) AS x) AS s")
 def boxes_spoon(t: Tables) -> DataFrame:
-    even = ocr_boxes(t).where("CAST(substr(boring_id, 2) AS INT) % 2 = 0")
-    return log_ops.parse_spoon(even).drop("page")
+    return log_ops.parse_spoon(pages_of(t, True)).drop("page")
 
 
 @query("ocr_page_policy", f"SELECT boring_id, CAST(k AS INT) AS interval_index, a AS top_depth, f AS uscs_class FROM (SELECT boring_id, k, a, f FROM ({_SPOON}) AS s UNION ALL SELECT boring_id, k, a, f FROM ({_GENERIC}) AS g) AS u")
