@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -17,8 +18,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back, which cuts its lineage."""
-    path = shared_dir(df.sparkSession, name)
+def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
+    """``df`` written once to the shared folder and read back, which cuts its lineage.
+
+    ``free``: ask the driver to collect garbage after it.  Spark drops the shuffle files of finished jobs only then,
+    and a chain of large steps would else hold all of them at once.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if free:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
