@@ -157,16 +157,16 @@ def with_responses(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     """``pages`` (page_id, url, html) with row_key, digest, payload_bytes and refers_to (null for responses)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     rows = rows.mapInArrow(_digests, "page_id long, url string, html string, digest string, payload_bytes long")
-    # rows that are alike in page_id and url are told apart by their number within (page_id, url, digest)
-    same = Window.partitionBy("page_id", "url", "digest").orderBy("payload_bytes")
-    rows = rows.withColumn("row_key", F.xxhash64("url", "digest", F.row_number().over(same)))
-    best = F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), F.col("row_key").alias("k")))
+    best = F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), F.xxhash64("url").alias("k")))
     groups = rows.where(F.col("payload_bytes") >= revisit_from).groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # a payload that a third of all pages share meets its group under _SALTS keys
     groups = groups.select("digest", "best", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "row_key"), F.lit(_SALTS)).cast("int"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int"))
     joined = salted.join(groups, ["digest", "salt"], "left")
-    first = (F.coalesce("page_id", F.lit(-(1 << 63))) == F.col("best")["p"]) & (F.col("row_key") == F.col("best")["k"])
+    # rows alike in page_id, url and payload have one salt and are told apart by number, where the join has put them
+    twin = F.row_number().over(Window.partitionBy("digest", "salt", "page_id", "url").orderBy("payload_bytes"))
+    joined = joined.withColumn("twin", twin).withColumn("row_key", F.xxhash64("url", "digest", "twin"))
+    first = (F.coalesce("page_id", F.lit(-(1 << 63))) == F.col("best")["p"]) & (F.xxhash64("url") == F.col("best")["k"]) & (F.col("twin") == 1)
     refers = F.when(F.col("best").isNotNull() & ~first, F.col("best")["p"])
     return joined.select("page_id", "url", "html", "row_key", "digest", "payload_bytes", refers.alias("refers_to"))
 
