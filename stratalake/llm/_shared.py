@@ -1,5 +1,15 @@
-"""The library's shared folder, for this subpackage's modules."""
+"""The library's shared folder, for this subpackage's modules, and the size of their Arrow batches."""
+
+from pyspark.sql import SparkSession
 
 from stratalake.storage import shared_dir, stored
 
-__all__ = ["shared_dir", "stored"]
+__all__ = ["shared_dir", "small_batches", "stored"]
+
+_RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Batches of whole texts: at most ``rows`` a batch from here on, unless the session asks for fewer."""
+    if int(spark.conf.get(_RECORDS)) > rows:
+        spark.conf.set(_RECORDS, str(rows))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalake.llm._shared import small_batches
 from stratalake.llm._words import mix
 
 BUCKETS = 1 << 13
@@ -138,6 +139,7 @@ def train(labelled: DataFrame, max_rows_per_language: int = 600, max_languages:
     The sample is bounded: about ``max_rows_per_language`` rows (by a hash of doc_id) of each of the
     ``max_languages`` most frequent languages; the driver gets their hashed subword shares only.
     """
+    small_batches(labelled.sparkSession)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")))
     sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     languages = sorted(r["lang"] for r in sizes)
@@ -202,6 +204,7 @@ def _predict(shared):
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """Per row: doc_id, lang_pred, score and whether the calibrated rejection accepts it; from the text alone."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS x max_languages numbers
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", has_letter(F.col("text")).alias("letter"))
     return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, accepted boolean")
@@ -221,6 +224,7 @@ def _accepted(shared):
 
 def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all columns, whose language the calibrated rejection accepts."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.withColumn("_letter", has_letter(F.col("text"))).mapInArrow(_accepted(shared), docs.schema)
 

@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalake.llm._components import components
-from stratalake.llm._shared import stored
+from stratalake.llm._shared import small_batches, stored
 from stratalake.llm._words import Words, mix
 
 SMALL_TILE = 24
-_SLICE_BYTES = 1 << 22
-_PAIR_WORDS = 1 << 20
+_SLICE_BYTES = 1 << 19
+_PAIR_WORDS = 1 << 18
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about four megabytes of text each."""
+    """Parts of a batch of about half a megabyte of text each."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     cuts = np.unique(np.r_[0, np.searchsorted(sizes, np.arange(_SLICE_BYTES, (sizes[-1] if len(sizes) else 0) + 1, _SLICE_BYTES)) + 1, len(sizes)])
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -101,7 +101,7 @@ def _describe(n: int, frequent: float):
                 distinct = list({i: s for i, s in zip(ids, sets, strict=True) if len(s)}.values())
                 if distinct:
                     shingles, counts = np.unique(np.concatenate(distinct), return_counts=True)
-                    often = counts >= max(4, frequent * len(distinct))
+                    often = counts >= max(3, frequent * len(distinct))
                     m = int(often.sum())
                     if m:
                         yield pa.RecordBatch.from_arrays(
@@ -139,8 +139,8 @@ def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         prefix = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
         counts = [len(p) for p in prefix]
-        columns = [np.concatenate(prefix) if prefix else np.zeros(0, np.int64), *(np.repeat(batch.column(c).to_numpy(), counts) for c in ("set_id", "n"))]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shingle", "set_id", "n"])
+        columns = [np.concatenate(prefix) if prefix else np.zeros(0, np.int64), np.repeat(batch.column("set_id").to_numpy(), counts)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shingle", "set_id"])
 
 
 class _Tiles:
@@ -248,6 +248,24 @@ def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 _PAIRS = "a long, b long, tile long"
+_REMEMBERED = 1 << 18
+
+
+class _Fresh:
+    """Pairs that a task has not just sent: classes that are alike meet in many tiles.  Remembers so many at most."""
+
+    def __init__(self) -> None:
+        self.seen: set[int] = set()
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = mix(a.view(np.uint64)) + b.view(np.uint64)
+        _, first = np.unique(keys, return_index=True)
+        new = np.zeros(len(keys), bool)
+        new[[i for i in first if int(keys[i]) not in self.seen]] = True
+        if len(self.seen) + int(new.sum()) > _REMEMBERED:
+            self.seen.clear()
+        self.seen.update(keys[new].tolist())
+        return new
 
 
 def _pairs(a: np.ndarray, b: np.ndarray, tile: np.ndarray | None) -> pa.RecordBatch:
@@ -257,10 +275,13 @@ def _pairs(a: np.ndarray, b: np.ndarray, tile: np.ndarray | None) -> pa.RecordBa
 
 def _propose(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = _Fresh()
         for table in _whole_tiles(batches):
             tiles = _Tiles(table, percent)
             i, j = tiles.small()
-            yield _pairs(tiles.ids[i], tiles.ids[j], None)
+            a, b = tiles.ids[i], tiles.ids[j]
+            new = fresh(a, b)
+            yield _pairs(a[new], b[new], None)
             big = np.array(list(tiles.large()), np.int64).reshape(-1, 2)
             yield _pairs(tiles.ids[big[:, 0]], tiles.ids[big[:, 1]], tiles.shingle[big[:, 0]])
 
@@ -269,10 +290,13 @@ def _propose(percent: int):
 
 def _propose_apart(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh = _Fresh()
         for table in _whole_tiles(batches):
             tiles = _Tiles(table, percent)
             for i, j in tiles.apart():
-                yield _pairs(tiles.ids[i], tiles.ids[j], None)
+                a, b = tiles.ids[i], tiles.ids[j]
+                new = fresh(a, b)
+                yield _pairs(a[new], b[new], None)
 
     return run
 
@@ -310,7 +334,7 @@ def _settled(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, perc
     if needed.count() <= broadcast_rows:
         needed = F.broadcast(needed)
     arrays = docs.join(needed, "row_key").dropDuplicates(["set_id"]).select("set_id", "text").mapInArrow(_arrays(n), "set_id long, members binary")
-    arrays = stored(arrays, "members")
+    arrays = stored(arrays, "members", free=True)
     met = pairs.join(arrays.select(F.col("set_id").alias("a"), F.col("members").alias("x")), "a").join(arrays.select(F.col("set_id").alias("b"), F.col("members").alias("y")), "b")
     return stored(met.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "links")
 
@@ -324,6 +348,7 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, frequent: flo
     share of a slice's texts, at most so many); they change the work done and never the result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_key"), F.col("text"))
     described = stored(base.mapInArrow(_describe(n, frequent), "kind int, doc_id long, row_key long, n long, key long"), "sets")
     sets = described.where("kind = 0").select("doc_id", "row_key", F.col("n").alias("n_shingles"), F.col("key").alias("set_id"))
@@ -333,12 +358,12 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, frequent: flo
     by_key = np.argsort(heavy_keys)
     shared = spark.sparkContext.broadcast((heavy_keys[by_key], np.array([r["n"] for r in heavy], np.int64)[by_key]))
     prefixes = base.select("text").mapInArrow(_prefixes(n, percent, shared), "set_id long, n long, prefix binary, bits binary")
-    prefixes = stored(prefixes.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "prefixes")
-    rows = prefixes.select("set_id", "n", "prefix").mapInArrow(_by_shingle, "shingle long, set_id long, n long")
+    prefixes = stored(prefixes.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "prefixes", free=True)
+    rows = prefixes.select("set_id", "prefix").mapInArrow(_by_shingle, "shingle long, set_id long")
     shared_rows = rows.withColumn("tile", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("tile > 1").drop("tile")
-    tiles = shared_rows.join(prefixes.select("set_id", "bits"), "set_id")
+    tiles = shared_rows.join(prefixes.select("set_id", "n", "bits"), "set_id")
     in_tiles = tiles.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
-    proposed = stored(in_tiles.select("shingle", "set_id", "n", "bits").mapInArrow(_propose(percent), _PAIRS), "proposed")
+    proposed = stored(in_tiles.select("shingle", "set_id", "n", "bits").mapInArrow(_propose(percent), _PAIRS), "proposed", free=True)
     pairs = proposed.select("a", "b").distinct()
     settled = _settled(pairs, classes, base, n, percent, broadcast_rows)
     links = settled.where("linked").select("a", "b")

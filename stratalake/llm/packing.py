@@ -26,9 +26,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalake.llm._shared import small_batches
 from stratalake.llm.token_counts import tokenizer_path
 
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 SCHEMA = "bin_id long, n_tokens long, input_ids binary, position_ids binary, cu_seqlens array<int>, doc_ids array<long>, offsets array<long>"
 
 
@@ -145,6 +146,7 @@ def _run(tokenizer: str, seq_len: int):
 
 def pack_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", seq_len: int = 2048) -> DataFrame:
     """Packed rows of the texts of ``docs``; bin_id is unique within the result."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_run(tokenizer, seq_len), SCHEMA)
 
 
