@@ -150,6 +150,7 @@ class _Tiles:
         self.percent = percent
         self.shingle, self.ids, self.n = (table[c].to_numpy() for c in ("shingle", "set_id", "n"))
         self.roots = table["root"].to_numpy() if "root" in table.column_names else None
+        self.shared = [frozenset(x) for x in table["shared"].to_pylist()] if "shared" in table.column_names else []
         raw = table["bits"].to_pylist()
         self.words = np.array([len(x) // 8 for x in raw], np.int64)
         self.at = np.cumsum(self.words) - self.words
@@ -215,13 +216,14 @@ class _Tiles:
                     take *= 4
 
     def apart(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All passing pairs whose roots differ."""
+        """All passing pairs whose roots differ, each in the first of the tiles that both rows are in."""
         for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):
             low = a + np.searchsorted(self.n[a:b], _needed(self.n[a:b], self.percent))
             for i in range(a + 1, b):
                 j = np.arange(low[i - a], i)
                 j = j[self.roots[j] != self.roots[i]]
                 j = j[self.passes(np.full(len(j), i), j)]
+                j = j[[min(self.shared[i] & self.shared[k]) == self.shingle[i] for k in j]] if len(j) else j
                 if len(j):
                     yield np.full(len(j), i), j
 
@@ -290,13 +292,10 @@ def _propose(percent: int):
 
 def _propose_apart(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = _Fresh()
         for table in _whole_tiles(batches):
             tiles = _Tiles(table, percent)
             for i, j in tiles.apart():
-                a, b = tiles.ids[i], tiles.ids[j]
-                new = fresh(a, b)
-                yield _pairs(a[new], b[new], None)
+                yield _pairs(tiles.ids[i], tiles.ids[j], None)
 
     return run
 
@@ -361,6 +360,7 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, frequent: flo
     prefixes = stored(prefixes.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "prefixes", free=True)
     rows = prefixes.select("set_id", "prefix").mapInArrow(_by_shingle, "shingle long, set_id long")
     shared_rows = rows.withColumn("tile", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("tile > 1").drop("tile")
+    shared_rows = stored(shared_rows, "shared", free=True)
     tiles = shared_rows.join(prefixes.select("set_id", "n", "bits"), "set_id")
     in_tiles = tiles.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
     proposed = stored(in_tiles.select("shingle", "set_id", "n", "bits").mapInArrow(_propose(percent), _PAIRS), "proposed", free=True)
@@ -372,8 +372,10 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, frequent: flo
     roots = components(links)
     if again.limit(1).count():
         labelled = tiles.join(again, "shingle").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        # a set has at most as many tiles as its prefix has shingles
+        labelled = labelled.join(labelled.groupBy("set_id").agg(F.collect_list("shingle").alias("shared")), "set_id")
         in_order = labelled.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
-        rest = in_order.select("shingle", "set_id", "n", "bits", "root").mapInArrow(_propose_apart(percent), _PAIRS).select("a", "b").distinct().join(settled.select("a", "b"), ["a", "b"], "left_anti")
+        rest = in_order.select("shingle", "set_id", "n", "bits", "root", "shared").mapInArrow(_propose_apart(percent), _PAIRS).select("a", "b").distinct().join(settled.select("a", "b"), ["a", "b"], "left_anti")
         rest = stored(rest, "rest")
         if rest.limit(1).count():
             more = _settled(rest, classes, base, n, percent, broadcast_rows).where("linked").select("a", "b")
