@@ -4,14 +4,16 @@ Tokens are lower-cased runs of letters and digits.  A seed is the hash of the to
 fixed mask, so tokens at the other positions may differ.  Seeds of the documents (at every position) meet
 seeds of the benchmark items in a join; a hit fixes an alignment, which is verified token by token: a document
 is contaminated by an item if, on one alignment, some ``window`` successive item tokens (all of them for a
-shorter item) hold at least ``min_share`` matches.
+shorter item) hold at least ``min_share`` matches.  Masks are tried wherever they fit; the three of them hit every
+pattern of mismatches that the default ``window`` and ``min_share`` allow, so no such alignment is missed.  Other
+settings are verified as given but may allow patterns that no mask hits.
 
 DataFrame functions only.  Of the documents only positions and seeds are exploded (never their token arrays);
 texts are met again by key for the few rows with hits.  The benchmark's seeds are broadcast only while their
 counted number is at most ``broadcast_seeds``; beyond that the join shuffles.
 
-Defined cases: null and empty texts, and texts with fewer tokens than a mask spans, have no seeds and are
-clean; items with fewer tokens than a mask spans are too short to count as a leak and are not searched; items
+Defined cases: null and empty texts, and texts too short for any mask, have no seeds and are clean; items of
+fewer than nine tokens are too short to count as a leak and are not searched; items
 with equal tokens count once, under their smallest id; rows that repeat a doc_id are judged by their own
 texts; null doc_id and item_id are kept; empty tables give no hits; other columns are ignored.
 """
@@ -22,8 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Token positions that each mask compares.
-MASKS = ((0, 1, 2, 4, 7, 8), (0, 2, 3, 5, 6, 8))
-SPAN = 9
+MASKS = ((0, 1, 2, 4, 7, 8), (0, 2, 3, 5, 6, 8), (0, 1, 4, 5, 6, 7))
+#: Tokens of the shortest item that is searched.
+LEAST = 9
 
 
 def tokens(text: Column) -> Column:
@@ -34,9 +37,10 @@ def tokens(text: Column) -> Column:
 
 def seeds(tokens: Column) -> Column:
     """array<struct<pos, seed>> over all positions and masks; the mask's number is part of the hash."""
-    starts = F.when(F.size(tokens) >= SPAN, F.sequence(F.lit(0), F.size(tokens) - SPAN)).otherwise(F.array().cast("array<int>"))
 
     def of_mask(number: int, mask: tuple[int, ...]) -> Column:
+        last = F.size(tokens) - 1 - mask[-1]
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(number), *[F.get(tokens, i + k) for k in mask]).alias("seed")))
 
     return F.flatten(F.array(*[of_mask(m, mask) for m, mask in enumerate(MASKS)]))
@@ -55,10 +59,10 @@ def window_matches(equal: Column, window: int) -> Column:
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, min_share: float = 0.84, broadcast_seeds: int = 500_000) -> DataFrame:
     """(doc_id, item_id, matched, compared, doc_key): each pair of a document and an item that it holds."""
     doc_key = F.xxhash64("doc_id", "text")
-    items = benchmark.select("item_id", tokens(F.col("text")).alias("item_tokens")).where(F.size("item_tokens") >= SPAN)
+    items = benchmark.select("item_id", tokens(F.col("text")).alias("item_tokens")).where(F.size("item_tokens") >= LEAST)
     items = items.groupBy("item_tokens").agg(F.min("item_id").alias("item_id")).withColumn("item_key", F.xxhash64("item_tokens"))
-    # of equal seeds within an item the first stands for all, so that repetitive texts do not multiply
-    item_seeds = items.select("item_key", F.size("item_tokens").alias("n"), F.explode(seeds(F.col("item_tokens"))).alias("s")).groupBy("item_key", "n", F.col("s.seed").alias("seed")).agg(F.min("s.pos").alias("item_pos"))
+    # equal seeds within an item are all kept: each is an alignment of its own
+    item_seeds = items.select("item_key", F.size("item_tokens").alias("n"), F.explode(seeds(F.col("item_tokens"))).alias("s")).select("item_key", "n", F.col("s.seed").alias("seed"), F.col("s.pos").alias("item_pos"))
     if item_seeds.count() <= broadcast_seeds:
         item_seeds = F.broadcast(item_seeds)
     found = docs.select(doc_key.alias("doc_key"), F.explode(_let(tokens(F.col("text")), seeds)).alias("s")).select("doc_key", F.col("s.pos").alias("pos"), F.col("s.seed").alias("seed"))
