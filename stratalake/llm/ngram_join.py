@@ -8,8 +8,9 @@ it, are compared, by parity bitmaps: the bits in which two bitmaps differ bound
 below, and so the overlap from above.  What passes is settled by exact intersection of the sorted hash arrays.
 
 Small tiles propose every pair that passes.  In large tiles a class is compared with classes of other clusters
-only and joins the first that passes, so a tile of near copies costs its size and not its square; if such a
-proposal turns out false, its tile is done again for all pairs whose clusters are still apart.  No link is lost.
+only and joins the first that passes, so a tile of near copies costs its size times its clusters and not its square;
+if such a proposal turns out false, its tile is done again for all pairs whose clusters are still apart.  No link is
+lost.  A tile is one task, however large: it is not split.
 
 Defined cases: null text, and text without words, has an empty set and is linked with nothing; fewer words than
 ``n`` are one shingle; repeated rows of a doc_id each get their row; a null doc_id is linked like others but is
@@ -196,24 +197,33 @@ class _Tiles:
         for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):
             if b - a <= SMALL_TILE:
                 continue
-            cluster = np.arange(b - a)
             low = a + np.searchsorted(self.n[a:b], _needed(self.n[a:b], self.percent))
-            for i in range(a + 1, b):
-                rest, take = np.arange(low[i - a], i), 1
-                while len(rest):
-                    own = cluster[rest - a]
-                    # some members of every other cluster, more of them each time none passes
-                    order = np.argsort(own, kind="stable")
-                    first = np.r_[0, np.flatnonzero(np.diff(own[order])) + 1]
-                    nth = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
-                    test = rest[order[nth < take]]
-                    for j in test[self.passes(np.full(len(test), i), test)]:
-                        if cluster[j - a] != cluster[i - a]:
-                            yield i, int(j)
-                            cluster[cluster == cluster[i - a]] = cluster[j - a]
-                    rest = np.setdiff1d(rest, test, assume_unique=True)
-                    rest = rest[cluster[rest - a] != cluster[i - a]]
+            clusters: list[list[int]] = [[int(a)]]  # members by size, so those in reach are at a list's end
+            for i in range(int(a) + 1, int(b)):
+                first = int(low[i - a])
+                clusters = [c for c in clusters if c[-1] >= first]
+                own, met = [i], []
+                # the last members of every other cluster, more of them each time none passes
+                open_, done, take = list(range(len(clusters))), 0, 1
+                while open_:
+                    some = [(k, j) for k in open_ for j in clusters[k][-done - 1 : -done - take - 1 : -1] if j >= first]
+                    test = np.array([j for _, j in some], np.int64)
+                    joined = set()
+                    for (k, j), ok in zip(some, self.passes(np.full(len(test), i), test), strict=True):
+                        if ok and k not in joined:
+                            joined.add(k)
+                            yield i, j
+                    met += joined
+                    done += take
+                    open_ = [k for k in open_ if k not in joined and len(clusters[k]) > done and clusters[k][-done - 1] >= first]
                     take *= 4
+                if len(met) == 1:
+                    clusters[met[0]].append(i)
+                    continue
+                if met:
+                    own = sorted(j for k in met for j in clusters[k]) + own
+                    clusters = [c for k, c in enumerate(clusters) if k not in set(met)]
+                clusters.append(own)
 
     def apart(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All passing pairs whose roots differ, each in the first of the tiles that both rows are in."""
