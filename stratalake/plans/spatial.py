@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalake.operators import graph, knn, pip, report
 from stratalake.plans.fixtures import Tables
 from stratalake.plans.registry import query
+from stratalake.storage import stored
 from stratalake.plans.sources import _QUALITY, quality_rows
 
 
@@ -220,3 +221,42 @@ def graph_context_features(t: Tables) -> DataFrame:
 @query("knn_join", f"WITH {_near('nn', _LAB, _PTS, 3, False)} SELECT qid, id, round(d, 6) AS d, CAST(rank AS INT) AS rank FROM nn")
 def knn_join(t: Tables) -> DataFrame:
     return knn.knn(graph_labels(t), graph_points(t), 3)
+
+
+# The whole graph, Delaunay edges included; SQL cannot state them cheaply, so the queries above with SQL go without.
+
+
+def whole_edges(t: Tables) -> DataFrame:
+    return graph.union_graph(graph_points(t), graph_labels(t))
+
+
+def union_points(t: Tables) -> DataFrame:
+    """Nodes of the union graph."""
+    b, lab = (rows.withColumn("id", F.concat(F.lit(k), F.col("id").cast("string"))) for k, rows in (("b:", graph_points(t)), ("l:", graph_labels(t))))
+    return b.unionByName(lab)
+
+
+@query("union_graph_delaunay")
+def union_graph_delaunay(t: Tables) -> DataFrame:
+    return whole_edges(t)
+
+
+@query("edge_type_counts_delaunay")
+def edge_type_counts_delaunay(t: Tables) -> DataFrame:
+    return report.count_by(graph.boring_graph(graph_points(t)), "edge_type")
+
+
+@query("neighbor_mean_delaunay")
+def neighbor_mean_delaunay(t: Tables) -> DataFrame:
+    points = graph_points(t)
+    return graph.neighbor_mean(graph.boring_graph(points), points, ["x", "y"])
+
+
+@query("k_hop_reachability_delaunay")
+def k_hop_reachability_delaunay(t: Tables) -> DataFrame:
+    return graph.reachability(stored(whole_edges(t), "union-edges"))
+
+
+@query("graph_context_features_delaunay")
+def graph_context_features_delaunay(t: Tables) -> DataFrame:
+    return graph.graph_context(stored(whole_edges(t), "union-edges"), union_points(t).withColumn("x", F.ln("x")), ["x"])
