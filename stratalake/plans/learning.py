@@ -229,7 +229,7 @@ def random_forest_baseline(t: Tables) -> DataFrame:
     nodes = class_nodes(t).where("class_id IS NOT NULL")
     rows = nodes.join(features.vocabulary(nodes, ["unit"]).select(F.col("value").alias("unit"), F.col("idx").alias("unit_idx")), "unit", "left").na.fill({"unit_idx": 0})
     test = F.expr("CAST(id AS INT) % 5 = 0")
-    return features.random_forest(rows.where(~test), rows.where(test), ["x", "y", "unit_idx"], trees=60).select("id", "class_id", F.col("prediction").cast("int").alias("pred"))
+    return features.random_forest(rows.where(~test), rows.where(test), ["x", "y", "unit_idx"]).select("id", "class_id", F.col("prediction").cast("int").alias("pred"))
 
 
 @query("graph_model_baseline")
@@ -239,7 +239,7 @@ def graph_model_baseline(t: Tables) -> DataFrame:
     rows = nodes.select("id", "class_id").join(context.where("id LIKE 'l:%'").withColumn("id", F.expr("substr(id, 3)")), "id")
     columns = [c for c in rows.columns if c not in ("id", "class_id")]
     test = F.expr("CAST(id AS INT) % 5 = 0")
-    return features.random_forest(rows.where(~test), rows.where(test), columns, trees=60).select("id", "class_id", F.col("prediction").cast("int").alias("pred"))
+    return features.random_forest(rows.where(~test), rows.where(test), columns).select("id", "class_id", F.col("prediction").cast("int").alias("pred"))
 
 
 @query("boosted_trees_baseline")
@@ -247,4 +247,4 @@ def boosted_trees_baseline(t: Tables) -> DataFrame:
     rows = features.depth_samples(t.strata, profile.derive(t.strata)).where("y_spt_log IS NOT NULL").withColumnRenamed("y_spt_log", "y")
     test = F.col("interval_index") % 5 == 0
     columns = ["depth_std", *[f"{c}_{k}" for c in ("sigma_v0_tsf", "sigma_eff_v0_tsf", "gamma_pcf") for k in ("std", "mask")]]
-    return features.boosted_trees(rows.where(~test), rows.where(test), columns, rounds=20).select("boring_id", "interval_index", "y", "mu", "sigma")
+    return features.boosted_trees(rows.where(~test), rows.where(test), columns).select("boring_id", "interval_index", "y", "mu", "sigma")
