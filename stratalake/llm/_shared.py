@@ -1,10 +1,10 @@
-"""The library's shared folder, for this subpackage's modules, and the size of their Arrow batches."""
+"""What this subpackage's modules share: the library's shared folder, Arrow batches of texts, names for helper columns."""
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from stratalake.storage import shared_dir, stored
 
-__all__ = ["shared_dir", "small_batches", "stored"]
+__all__ = ["shared_dir", "small_batches", "stored", "unused"]
 
 _RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -13,3 +13,11 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Batches of whole texts: at most ``rows`` a batch from here on, unless the session asks for fewer."""
     if int(spark.conf.get(_RECORDS)) > rows:
         spark.conf.set(_RECORDS, str(rows))
+
+
+def unused(name: str, *tables: DataFrame) -> str:
+    """``name``, with underscores until no column of ``tables`` is called so (in any case)."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

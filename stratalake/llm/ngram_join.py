@@ -2,15 +2,16 @@
 
 A text's set is its distinct ``n``-word shingles (64-bit hashes).  Equal sets become one class first, so copies
 cost nothing afterwards.  Two classes can link only if they share a shingle among the first few of each in one
-global order (shingles that many texts share come last in it), so classes meet in tiles
-by such a shingle.  A tile is sorted by set size and only sizes within the threshold of each other, a band of
-it, are compared, by parity bitmaps: the bits in which two bitmaps differ bound the symmetric difference from
-below, and so the overlap from above.  What passes is settled by exact intersection of the sorted hash arrays.
+global order (shingles that many texts share come last in it), so classes meet in tiles by such a shingle; tiles of one smallest class are one.
+A tile is sorted by set size and only sizes within the threshold of each other, a band of it, are compared, by
+parity bitmaps: the bits in which two bitmaps differ bound the symmetric difference from below, and so the overlap
+from above.  Classes that pass with any other meet once more with their sorted hash arrays and are intersected in
+their task.  What leaves a task is a forest of true links, never a pair that only might link.
 
-Small tiles propose every pair that passes.  In large tiles a class is compared with classes of other clusters
-only and joins the first that passes, so a tile of near copies costs its size times its clusters and not its square;
-if such a proposal turns out false, its tile is done again for all pairs whose clusters are still apart.  No link is
-lost.  A tile is one task, however large: it is not split.
+A large tile is dealt into parts, each a unit of its own.  When the links inside the parts are known, classes outside
+the tile's largest component meet all parts; a tile that one component fills is done by then.  So a group of near
+copies costs its size, and what stays apart in it costs its number times the group's size over the parts' size.
+No link is lost.
 
 Defined cases: null text, and text without words, has an empty set and is linked with nothing; fewer words than
 ``n`` are one shingle; repeated rows of a doc_id each get their row; a null doc_id is linked like others but is
@@ -25,16 +26,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalake.llm._components import components
-from stratalake.llm._shared import small_batches, stored
+from stratalake.llm._shared import small_batches, stored, unused
 from stratalake.llm._words import Words, mix
 
-SMALL_TILE = 24
+SMALL_UNIT = 24
 _SLICE_BYTES = 1 << 19
 _PAIR_WORDS = 1 << 18
+_PAIR_ROWS = 1 << 17
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -136,37 +138,66 @@ def _prefixes(n: int, percent: int, shared):
     return run
 
 
-def _by_shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _by_shingle(shared, hot: bool):
+    """Rows (shingle, set_id) of the prefixes: of shingles among the frequent ones if ``hot``, else of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heavy, _ = shared.value
+        for batch in batches:
+            prefix = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
+            shingles = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
+            ids = np.repeat(batch.column("set_id").to_numpy(), [len(p) for p in prefix])
+            among = heavy[np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)] == shingles if len(heavy) else np.zeros(len(shingles), bool)
+            take = among == hot
+            yield pa.RecordBatch.from_arrays([pa.array(shingles[take].view(np.int64)), pa.array(ids[take], pa.int64())], ["shingle", "set_id"])
+
+    return run
+
+
+def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by unit, cut where the unit changes."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        prefix = [np.frombuffer(x, np.int64) for x in batch.column("prefix").to_pylist()]
-        counts = [len(p) for p in prefix]
-        columns = [np.concatenate(prefix) if prefix else np.zeros(0, np.int64), np.repeat(batch.column("set_id").to_numpy(), counts)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["shingle", "set_id"])
+        units = batch.column("unit").to_numpy()
+        if not len(units):
+            continue
+        other = np.flatnonzero(units != units[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0  # rows before the last unit
+        if held and (cut or held[-1].column("unit")[-1].as_py() != units[0]):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+            batch = batch.slice(cut)
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+            batch = batch.slice(cut)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
 
 
-class _Tiles:
-    """Whole tiles, each sorted by set size, of one chunk of rows."""
+class _Units:
+    """Whole units, each sorted by set size, of one chunk of rows."""
 
-    def __init__(self, table: pa.Table, percent: int):
+    def __init__(self, table: pa.Table, bitmaps: list[bytes], percent: int):
         self.percent = percent
-        self.shingle, self.ids, self.n = (table[c].to_numpy() for c in ("shingle", "set_id", "n"))
-        self.roots = table["root"].to_numpy() if "root" in table.column_names else None
-        self.shared = [frozenset(x) for x in table["shared"].to_pylist()] if "shared" in table.column_names else []
-        raw = table["bits"].to_pylist()
-        self.words = np.array([len(x) // 8 for x in raw], np.int64)
+        unit, self.ids, self.n, self.side, self.root = (table[c].to_numpy() for c in ("unit", "set_id", "n", "side", "root"))
+        self.words = np.array([len(x) // 8 for x in bitmaps], np.int64)
         self.at = np.cumsum(self.words) - self.words
-        self.data = np.frombuffer(b"".join(raw), np.uint64)
-        starts = np.flatnonzero(np.r_[True, self.shingle[1:] != self.shingle[:-1]])
-        self.bounds = np.r_[starts, len(self.shingle)]
+        self.data = np.frombuffer(b"".join(bitmaps), np.uint64)
+        starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+        self.bounds = np.r_[starts, len(unit)]
+
+    def open(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows i and j (sizes n[i] >= n[j]) may link by their sizes and nothing else has joined or parted them."""
+        return (self.n[j] >= _needed(self.n[i], self.percent)) & (self.root[i] != self.root[j]) & ((self.side[i] == 0) | (self.side[j] == 0))
 
     def passes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether the bitmaps of rows i and j (sizes n[i] >= n[j]) allow a link."""
+        """Whether the bitmaps of rows i and j allow a link; for pairs whose sizes do."""
         out = np.zeros(len(i), bool)
-        fits = np.flatnonzero(self.n[j] >= _needed(self.n[i], self.percent))
         limit = _allowed(self.n[i], self.n[j], self.percent)
         wide, narrow = self.words[i], self.words[j]
-        for w, v in {(int(a), int(b)) for a, b in zip(wide[fits], narrow[fits], strict=True)}:
-            some = fits[(wide[fits] == w) & (narrow[fits] == v)]
+        for w, v in np.unique(np.stack([wide, narrow], 1), axis=0).tolist():
+            some = np.flatnonzero((wide == w) & (narrow == v))
             for a in range(0, len(some), max(1, _PAIR_WORDS // w)):
                 part = some[a : a + max(1, _PAIR_WORDS // w)]
                 x = self.data[self.at[i[part]][:, None] + np.arange(w)]
@@ -176,136 +207,85 @@ class _Tiles:
                 out[part] = np.bitwise_count(x ^ y).sum(1) <= limit[part]
         return out
 
-    def small(self) -> tuple[np.ndarray, np.ndarray]:
-        """All passing pairs of tiles of up to SMALL_TILE rows."""
+    def met(self) -> np.ndarray:
+        """Rows that pass with another row of their unit."""
+        found = np.zeros(len(self.n), bool)
         sizes = np.diff(self.bounds)
         place = np.arange(len(self.n)) - np.repeat(self.bounds[:-1], sizes)
-        place[np.repeat(sizes > SMALL_TILE, sizes)] = -1
-        left, right = [], []
-        for k in range(1, min(SMALL_TILE, int(sizes.max(initial=0)))):
+        place[np.repeat(sizes > SMALL_UNIT, sizes)] = -1
+        for k in range(1, min(SMALL_UNIT, int(sizes.max(initial=0)))):
             i = np.flatnonzero(place >= k)
-            left.append(i)
-            right.append(i - k)
-        if not left:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        i, j = np.concatenate(left), np.concatenate(right)
+            self._mark(found, i, i - k)
+        for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):
+            if b - a > SMALL_UNIT:
+                low = a + np.searchsorted(self.n[a:b], _needed(self.n[a:b], self.percent))
+                rows = np.arange(a, b)
+                for some in np.array_split(rows, max(1, (b - a) ** 2 // _PAIR_ROWS)):
+                    counts = some - low[some - a]
+                    i = np.repeat(some, counts)
+                    j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low[some - a], counts)
+                    self._mark(found, i, j)
+        return found
+
+    def _mark(self, found: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        fits = self.open(i, j) & ~(found[i] & found[j])  # of two marked rows nothing new can be learned
+        i, j = i[fits], j[fits]
         ok = self.passes(i, j)
-        return i[ok], j[ok]
+        found[i[ok]] = True
+        found[j[ok]] = True
 
-    def large(self) -> Iterator[tuple[int, int]]:
-        """Of larger tiles, passing pairs that hold its clusters together."""
+    def links(self, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        """True links that hold each unit's components together: a forest, so fewer than the unit's rows."""
+        flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        starts = np.cumsum([0, *map(len, sets)])
         for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):
-            if b - a <= SMALL_TILE:
-                continue
             low = a + np.searchsorted(self.n[a:b], _needed(self.n[a:b], self.percent))
-            clusters: list[list[int]] = [[int(a)]]  # members by size, so those in reach are at a list's end
             for i in range(int(a) + 1, int(b)):
-                first = int(low[i - a])
-                clusters = [c for c in clusters if c[-1] >= first]
-                own, met = [i], []
-                # the last members of every other cluster, more of them each time none passes
-                open_, done, take = list(range(len(clusters))), 0, 1
-                while open_:
-                    some = [(k, j) for k in open_ for j in clusters[k][-done - 1 : -done - take - 1 : -1] if j >= first]
-                    test = np.array([j for _, j in some], np.int64)
-                    joined = set()
-                    for (k, j), ok in zip(some, self.passes(np.full(len(test), i), test), strict=True):
-                        if ok and k not in joined:
-                            joined.add(k)
-                            yield i, j
-                    met += joined
-                    done += take
-                    open_ = [k for k in open_ if k not in joined and len(clusters[k]) > done and clusters[k][-done - 1] >= first]
-                    take *= 4
-                if len(met) == 1:
-                    clusters[met[0]].append(i)
-                    continue
-                if met:
-                    own = sorted(j for k in met for j in clusters[k]) + own
-                    clusters = [c for k, c in enumerate(clusters) if k not in set(met)]
-                clusters.append(own)
-
-    def apart(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All passing pairs whose roots differ, each in the first of the tiles that both rows are in."""
-        for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True):
-            low = a + np.searchsorted(self.n[a:b], _needed(self.n[a:b], self.percent))
-            for i in range(a + 1, b):
-                j = np.arange(low[i - a], i)
-                j = j[self.roots[j] != self.roots[i]]
-                j = j[self.passes(np.full(len(j), i), j)]
-                j = j[[min(self.shared[i] & self.shared[k]) == self.shingle[i] for k in j]] if len(j) else j
-                if len(j):
-                    yield np.full(len(j), i), j
-
-
-def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by shingle, cut where the shingle changes."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        shingles = batch.column("shingle").to_numpy()
-        if not len(shingles):
-            continue
-        other = np.flatnonzero(shingles != shingles[-1])
-        cut = int(other[-1]) + 1 if len(other) else 0  # rows before the last shingle
-        if held and (cut or held[-1].column("shingle")[-1].as_py() != shingles[0]):
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-            batch = batch.slice(cut)
-        elif cut:
-            yield pa.Table.from_batches([batch.slice(0, cut)])
-            batch = batch.slice(cut)
-        held.append(batch)
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-_PAIRS = "a long, b long, tile long"
-_REMEMBERED = 1 << 18
-
-
-class _Fresh:
-    """Pairs that a task has not just sent: classes that are alike meet in many tiles.  Remembers so many at most."""
-
-    def __init__(self) -> None:
-        self.seen: set[int] = set()
-
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = mix(a.view(np.uint64)) + b.view(np.uint64)
-        _, first = np.unique(keys, return_index=True)
-        new = np.zeros(len(keys), bool)
-        new[[i for i in first if int(keys[i]) not in self.seen]] = True
-        if len(self.seen) + int(new.sum()) > _REMEMBERED:
-            self.seen.clear()
-        self.seen.update(keys[new].tolist())
-        return new
-
-
-def _pairs(a: np.ndarray, b: np.ndarray, tile: np.ndarray | None) -> pa.RecordBatch:
-    tiles = pa.nulls(len(a), pa.int64()) if tile is None else pa.array(tile, pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), tiles], ["a", "b", "tile"])
-
+                j = np.arange(i - 1, low[i - a] - 1, -1)
+                j = j[self.open(np.full(len(j), i), j)]
+                most, take = max(4, _PAIR_WORDS // int(self.n[i])), 4
+                while len(j):  # the next in size first: one link spares the rest of its component
+                    some, j = j[:take], j[take:]
+                    some = some[self.passes(np.full(len(some), i), some)]
+                    if len(some):
+                        counts = self.n[some]
+                        at = np.repeat(starts[some] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                        there = flat[at]
+                        held = sets[i][np.minimum(np.searchsorted(sets[i], there), len(sets[i]) - 1)] == there
+                        both = np.add.reduceat(held.astype(np.int64), np.cumsum(counts) - counts)
+                        for k in some[100 * both >= self.percent * (self.n[i] + counts - both)].tolist():
+                            if self.root[k] != self.root[i]:
+                                yield i, k
+                                mine = self.root[a:b]
+                                mine[mine == self.root[k]] = self.root[i]
+                        j = j[self.root[j] != self.root[i]]
+                    take = min(4 * take, most)
+
+
+_UNIT = "unit long, side int, root long, set_id long, n long"
+
+
+def _screen(percent: int):
+    """Rows of units that their bitmaps allow to link with another row."""
 
-def _propose(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fresh = _Fresh()
-        for table in _whole_tiles(batches):
-            tiles = _Tiles(table, percent)
-            i, j = tiles.small()
-            a, b = tiles.ids[i], tiles.ids[j]
-            new = fresh(a, b)
-            yield _pairs(a[new], b[new], None)
-            big = np.array(list(tiles.large()), np.int64).reshape(-1, 2)
-            yield _pairs(tiles.ids[big[:, 0]], tiles.ids[big[:, 1]], tiles.shingle[big[:, 0]])
+        for table in _whole_units(batches):
+            found = _Units(table, table["bits"].to_pylist(), percent).met()
+            yield from table.select(["unit", "side", "root", "set_id", "n"]).filter(pa.array(found)).to_batches()
 
     return run
 
 
-def _propose_apart(percent: int):
+def _settle(percent: int):
+    """Links of whole units, by exact intersection; a pair that does not link stays in its task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_tiles(batches):
-            tiles = _Tiles(table, percent)
-            for i, j in tiles.apart():
-                yield _pairs(tiles.ids[i], tiles.ids[j], None)
+        for table in _whole_units(batches):
+            sets = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
+            units = _Units(table, [signature(s) for s in sets], percent)
+            units.root = units.root.copy()
+            found = np.array(list(units.links(sets)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(units.ids[found[:, k]], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -320,41 +300,73 @@ def _arrays(n: int):
     return run
 
 
-def _verify(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
-
-    return run
-
+def _links(units: DataFrame, prefixes: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
+    """(a, b): links that join different roots of ``units`` (unit, side, root, set_id, n).
 
-def _settled(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """Pairs (a, b) with linked, by exact intersection.  Texts are met again by row key, once per class."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct().join(classes, "set_id").select("set_id", "row_key")
-    needed = stored(needed, "needed")
+    Bitmaps say which rows of a unit may link at all; those meet again with their sorted hash arrays, made from
+    the texts of their classes once, and are intersected.
+    """
+    columns = ["unit", "side", "root", "set_id", "n"]
+    with_bits = units.join(prefixes.select("set_id", "bits"), "set_id").select(*columns, "bits")
+    passed = stored(with_bits.repartition("unit").sortWithinPartitions("unit", "n", "set_id").mapInArrow(_screen(percent), _UNIT), "passed", free=True)
+    needed = stored(passed.select("set_id").distinct().join(classes, "set_id").select("set_id", "row_key"), "needed")
     if needed.count() <= broadcast_rows:
         needed = F.broadcast(needed)
     arrays = docs.join(needed, "row_key").dropDuplicates(["set_id"]).select("set_id", "text").mapInArrow(_arrays(n), "set_id long, members binary")
     arrays = stored(arrays, "members", free=True)
-    met = pairs.join(arrays.select(F.col("set_id").alias("a"), F.col("members").alias("x")), "a").join(arrays.select(F.col("set_id").alias("b"), F.col("members").alias("y")), "b")
-    return stored(met.select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, linked boolean"), "links")
+    met = passed.join(arrays, "set_id").select(*columns, "members").repartition("unit").sortWithinPartitions("unit", "n", "set_id")
+    return stored(met.mapInArrow(_settle(percent), "a long, b long"), "links", free=True)
+
+
+def _tiles(prefixes: DataFrame, shared) -> DataFrame:
+    """(tile, set_id, n): sets that share a shingle of their prefixes are in a tile together, tiles of two sets and more.
+
+    Tiles of one smallest set are one tile under its id: near copies share many shingles and still meet once.
+    """
+    prefix = prefixes.select("set_id", "prefix")
+    rare = prefix.mapInArrow(_by_shingle(shared, False), "shingle long, set_id long")
+    same = Window.partitionBy("shingle")
+    rare = rare.select("set_id", F.min("set_id").over(same).alias("tile"), F.count(F.lit(1)).over(same).alias("rows")).where("rows > 1").select("tile", "set_id")
+    # frequent shingles may be in a third of all sets: they are counted where they lie, and are heavy_limit rows at most
+    hot = prefix.mapInArrow(_by_shingle(shared, True), "shingle long, set_id long")
+    lowest = hot.groupBy("shingle").agg(F.min("set_id").alias("tile"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
+    hot = hot.join(F.broadcast(lowest), "shingle").select("tile", "set_id")
+    met = stored(rare.unionByName(hot).distinct(), "met", free=True)
+    return stored(met.join(prefixes.select("set_id", "n"), "set_id").select("tile", "set_id", "n"), "tiles")
+
+
+def _crossed(tiles: DataFrame, roots: DataFrame) -> DataFrame:
+    """Units that bring rows of different parts of a tile together: rows outside the tile's largest component with all rows.
+
+    A tile that one component fills has no such unit, so a large group of near copies costs what it has besides its
+    component.
+    """
+    rooted = tiles.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    of_root = rooted.groupBy("tile", "root").agg(F.count(F.lit(1)).alias("rows"))
+    most = of_root.groupBy("tile").agg(F.max_by("root", F.struct("rows", "root")).alias("most"), F.max("rows").alias("top"), F.sum("rows").alias("all")).where("all > top")
+    rows = rooted.join(most, "tile").withColumn("few", F.ceil((F.col("all") - F.col("top")) * F.col("parts") / F.col("all")).cast("int"))
+
+    def part(seed: int, parts: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(seed), "tile", "set_id"), F.col(parts)).cast("int")
+
+    def every(parts: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    outside = rows.where("root <> most").select("*", part(3, "few").alias("i"), every("parts").alias("j")).withColumn("side", F.lit(0))
+    everyone = rows.select("*", every("few").alias("i"), part(5, "parts").alias("j")).withColumn("side", F.lit(1))
+    return outside.unionByName(everyone).select(F.xxhash64("tile", "i", "j").alias("unit"), "side", "root", "set_id", "n")
 
 
-def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, frequent: float = 0.004, heavy_limit: int = 200_000, broadcast_rows: int = 300_000) -> DataFrame:
+def similar_groups(
+    docs: DataFrame, n: int = 4, percent: int = 85, frequent: float = 0.004, heavy_limit: int = 200_000, broadcast_rows: int = 300_000, part_rows: int = 384, part_bytes: int = 1 << 24
+) -> DataFrame:
     """Per row of ``docs``: doc_id, row_key, n_shingles, root and component_id (smallest doc_id reachable by links).
 
     ``root`` names the component; null for empty sets, which are linked with nothing.
 
     ``frequent`` and ``heavy_limit`` bound the shingles that are moved to the end of the order (held by that
-    share of a slice's texts, at most so many); they change the work done and never the result.
+    share of a slice's texts, at most so many); ``part_rows`` and ``part_bytes`` (of hash arrays) say how much of
+    a tile one task takes at once.  They change the work done and never the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -368,28 +380,19 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, frequent: flo
     shared = spark.sparkContext.broadcast((heavy_keys[by_key], np.array([r["n"] for r in heavy], np.int64)[by_key]))
     prefixes = base.select("text").mapInArrow(_prefixes(n, percent, shared), "set_id long, n long, prefix binary, bits binary")
     prefixes = stored(prefixes.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "prefixes", free=True)
-    rows = prefixes.select("set_id", "prefix").mapInArrow(_by_shingle, "shingle long, set_id long")
-    shared_rows = rows.withColumn("tile", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("tile > 1").drop("tile")
-    shared_rows = stored(shared_rows, "shared", free=True)
-    tiles = shared_rows.join(prefixes.select("set_id", "n", "bits"), "set_id")
-    in_tiles = tiles.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
-    proposed = stored(in_tiles.select("shingle", "set_id", "n", "bits").mapInArrow(_propose(percent), _PAIRS), "proposed", free=True)
-    pairs = proposed.select("a", "b").distinct()
-    settled = _settled(pairs, classes, base, n, percent, broadcast_rows)
-    links = settled.where("linked").select("a", "b")
-    # tiles that rest on a proposal that failed
-    again = stored(proposed.where("tile IS NOT NULL").join(settled.where("NOT linked"), ["a", "b"]).select(F.col("tile").alias("shingle")).distinct(), "again")
+    tiles = _tiles(prefixes, shared)
+    parts = F.ceil(F.greatest(F.count(F.lit(1)) / part_rows, F.sum(8 * F.col("n") + 64) / part_bytes)).cast("int")
+    large = stored(tiles.groupBy("tile").agg(parts.alias("parts")).where("parts > 1"), "large")
+    parted = tiles.join(large, "tile", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64(F.lit(5), "tile", "set_id"), F.col("parts")).cast("int")
+    units = parted.select(F.xxhash64("tile", own).alias("unit"), F.lit(0).alias("side"), F.col("set_id").alias("root"), "set_id", "n")
+    links = _links(units, prefixes, classes, base, n, percent, broadcast_rows)
     roots = components(links)
-    if again.limit(1).count():
-        labelled = tiles.join(again, "shingle").join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-        # a set has at most as many tiles as its prefix has shingles
-        labelled = labelled.join(labelled.groupBy("set_id").agg(F.collect_list("shingle").alias("shared")), "set_id")
-        in_order = labelled.repartition("shingle").sortWithinPartitions("shingle", "n", "set_id")
-        rest = in_order.select("shingle", "set_id", "n", "bits", "root", "shared").mapInArrow(_propose_apart(percent), _PAIRS).select("a", "b").distinct().join(settled.select("a", "b"), ["a", "b"], "left_anti")
-        rest = stored(rest, "rest")
-        if rest.limit(1).count():
-            more = _settled(rest, classes, base, n, percent, broadcast_rows).where("linked").select("a", "b")
-            roots = components(links.unionByName(more))
+    if large.limit(1).count():
+        crossed = stored(_crossed(tiles.join(large, "tile"), roots.select(F.col("node").alias("set_id"), "root")), "crossed")
+        if crossed.limit(1).count():
+            links = links.unionByName(_links(crossed, prefixes, classes, base, n, percent, broadcast_rows))
+            roots = components(links)
     members = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = members.groupBy("root").agg(F.min("low_doc").alias("component_id"))
     named = members.join(lowest, "root").select("set_id", "root", "component_id")
@@ -399,13 +402,14 @@ def similar_groups(docs: DataFrame, n: int = 4, percent: int = 85, frequent: flo
 
 def keep_one_per_group(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` with one row of each component, that of its smallest doc_id; rows without words all stay."""
+    key = unused("row_key", docs)
     has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     groups = similar_groups(docs, **settings).where("root IS NOT NULL")
     # nulls come first in structs' order, so a null doc_id is kept only if flagged last
-    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"))).alias("low")).select(F.col("low.k").alias("_row_key"))
-    rows = docs.where(has_word).withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"))).alias("low")).select(F.col("low.k").alias(key))
+    rows = docs.where(has_word).withColumn(key, F.xxhash64("doc_id", "text"))
     # rows alike in doc_id and text share a key: one of them stays
-    kept = rows.join(chosen, "_row_key", "left_semi").dropDuplicates(["_row_key"]).select(*docs.columns)
+    kept = rows.join(chosen, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
     return kept.unionByName(docs.where(~has_word))
 
 

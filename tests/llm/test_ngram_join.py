@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratalake.llm import ngram_join as N
 
@@ -66,12 +67,21 @@ def test_dense_groups(spark, settings):
     assert got(N.similar_groups(df, **settings)) == brute(rows)
 
 
-def test_failed_proposals_are_made_up_for(spark, monkeypatch):
-    """Bitmaps of one word let nearly everything pass, so many proposals of large tiles fail."""
+@pytest.mark.parametrize("part_rows", [3, 17])
+def test_tiles_in_parts(spark, part_rows):
+    """Large tiles in many parts give the links of all pairs."""
     rows = dense(seed=9, groups=2, size=40)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(N, "signature", lambda members: bytes(8))
-    assert got(N.similar_groups(df, frequent=1e9)) == brute(rows)
+    assert got(N.similar_groups(df, frequent=1e9, part_rows=part_rows)) == brute(rows)
+    assert got(N.similar_groups(df, part_bytes=4000)) == brute(rows)
+
+
+def test_own_names_do_not_clash(spark):
+    rows = [(1, "a b c d e f", "r"), (2, "a b c d e f", "s"), (3, "z", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ROW_KEY string").withColumn("set_id", F.lit("u")).withColumn("root", F.lit(1.5))
+    kept = N.keep_one_per_group(df)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [(1, "a b c d e f", "r", "u", 1.5), (3, "z", "t", "u", 1.5)]
 
 
 def test_signatures_bound_the_overlap():
