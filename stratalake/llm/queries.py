@@ -68,17 +68,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND CASE WHEN word_chars > 0 THEN 1 - good_ch / word_chars <= 0.5 ELSE false END AS kept, n_lines, n_lines_removed
         FROM f""",
+    # no seeds: all alignments on which tokens are equal
     "op3_decontaminate": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
-        b AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 9 GROUP BY w),
-        m AS (SELECT * FROM (VALUES (0, [0, 1, 2, 4, 7, 8]), (1, [0, 2, 3, 5, 6, 8])) AS t(mask, places)),
-        ds AS (SELECT doc_id, p, mask, list_transform(places, lambda k: w[p + k]) AS s FROM (SELECT *, unnest(range(1, len(w) - 7)) AS p FROM d), m),
-        bs AS (SELECT item_id, min(p) AS q, mask, s FROM (SELECT item_id, p, mask, list_transform(places, lambda k: w[p + k]) AS s FROM (SELECT *, unnest(range(1, len(w) - 7)) AS p FROM b), m) GROUP BY item_id, mask, s),
-        hit AS (SELECT DISTINCT doc_id, item_id, p - q AS shift FROM ds JOIN bs USING (mask, s)),
-        pos AS (SELECT doc_id, item_id, shift, i, (i + shift >= 1 AND coalesce(d.w[greatest(i + shift, 1)] = b.w[i], false))::INTEGER AS e, len(b.w) AS n
-            FROM (SELECT hit.*, unnest(range(1, len(b.w) + 1)) AS i FROM hit JOIN b USING (item_id)) JOIN d USING (doc_id) JOIN b USING (item_id)),
-        run AS (SELECT doc_id, item_id, least(n, 13) AS c, sum(e) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS matched FROM pos)
-        SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(c)::BIGINT AS compared FROM run WHERE matched >= ceil(c * 0.84) GROUP BY doc_id, item_id""",
+        b AS (SELECT min(item_id) AS item_id, w FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 4 GROUP BY w),
+        dt AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+        bt AS (SELECT item_id, len(w) AS n, least(len(w), 13) AS c, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS i FROM b),
+        need AS (SELECT item_id, CASE WHEN c < 9 THEN c ELSE ceil(c * 0.84) END AS least_matched FROM bt GROUP BY ALL),
+        eq AS (SELECT doc_id, item_id, c, p - i AS shift, i FROM dt JOIN bt USING (t)),
+        near AS (SELECT doc_id, item_id, shift FROM eq JOIN need USING (item_id) GROUP BY doc_id, item_id, shift, least_matched HAVING count(*) >= least_matched),
+        run AS (SELECT doc_id, item_id, c, count(*) OVER (PARTITION BY doc_id, item_id, shift ORDER BY i RANGE BETWEEN CURRENT ROW AND 12 FOLLOWING) AS matched FROM eq SEMI JOIN near USING (doc_id, item_id, shift))
+        SELECT doc_id, item_id, max(matched)::BIGINT AS matched, max(c)::BIGINT AS compared FROM run JOIN need USING (item_id) WHERE matched >= least_matched GROUP BY doc_id, item_id""",
     "op8_ngram_join": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {WORDS.replace("text", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
         s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS k FROM (SELECT *, unnest(range(1, greatest(len(ws) - 2, CASE WHEN len(ws) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
