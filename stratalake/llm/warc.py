@@ -9,9 +9,18 @@ Tasks write bundles straight to the shared folder (any file system that pyarrow
 of their own; only the names that successful tasks report enter the index, so a lost executor's leftovers are
 never read.
 
-Defined cases: null html is an empty payload; null url is an empty target; repeated rows and equal payloads
+Groups of equal payloads are settled on rows of ids, digests and lengths.  Payloads travel only if their group has other
+rows and this one is its response, or if there are more such groups than ``broadcast_groups``; then pages meet the groups
+in a shuffle in which a digest has ``_SALTS`` keys.
+
+Records are WARC/1.1: a response's block is an HTTP message whose body is the payload, a revisit's block is empty and its
+``WARC-Refers-To`` is the record id of the response.  Record ids hold page_id and row_key, the key of the index.  A null or empty url is
+written as ``about:blank``; all other characters than those of URIs are percent-encoded.
+
+Defined cases: null html is an empty payload; repeated rows and equal payloads
 form one group whose largest page_id is the response (of rows that repeat that page_id, one); null page_id is
-smaller than all others; an empty table gives no bundle and an empty index; other columns are ignored.
+smaller than all others, so a group of null page_ids only has a response of null page_id and revisits whose refers_to is null; an
+empty table gives no bundle and an empty index; payloads may be of any length that a string may have; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,15 +28,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import urllib.parse
 import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalake.llm._shared import shared_dir
+from stratalake.llm._shared import shared_dir, small_batches, stored
 
 FRAME_BYTES = 1 << 18
 BUNDLE_BYTES = 1 << 26
@@ -42,29 +53,42 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(row: dict) -> bytes:
+def record_id(page_id: int | None, row_key: int) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{row_key}>"
+
+
+def page_and_key(uri: str) -> tuple[int | None, int]:
+    """What ``record_id`` was made of."""
+    page, _, key = uri.removeprefix("<urn:page:").removesuffix(">").partition(":")
+    return int(page) if page else None, int(key)
+
+
+def record(row: dict, date: str) -> bytes:
     """One WARC/1.1 record; header fields that do not fit the standard are prefixed X-."""
-    payload = b"" if row["refers_to"] is not None else (row["html"] or "").encode()
-    page = "" if row["page_id"] is None else str(row["page_id"])
+    if row["revisit"]:
+        block, kind = b"", [("WARC-Refers-To", record_id(row["refers_page"], row["refers_key"])), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
+    else:
+        payload = (row["html"] or "").encode()
+        block, kind = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode() + payload, []
     fields = [
-        ("WARC-Type", "response" if row["refers_to"] is None else "revisit"),
-        ("WARC-Record-ID", f"<urn:page:{page}:{row['row_key']}>"),
-        ("WARC-Target-URI", "".join((row["url"] or "").split("\r\n")).replace("\n", "%0A").replace("\r", "%0D")),
-        ("WARC-Payload-Digest", f"sha1:{row['digest']}"),
+        ("WARC-Type", "revisit" if row["revisit"] else "response"),
+        ("WARC-Record-ID", record_id(row["page_id"], row["row_key"])),
+        ("WARC-Date", date),
+        ("WARC-Target-URI", urllib.parse.quote(row["url"] or "about:blank", safe="%:/?#[]@!$&'()*+,;=-._~")),
+        ("WARC-Payload-Digest", f"sha1:{base64.b32encode(row['digest']).decode()}"),
         ("X-Payload-Length", str(row["payload_bytes"])),
-        *([("WARC-Refers-To", f"<urn:page:{row['refers_to']}>"), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")] if row["refers_to"] is not None else []),
-        ("Content-Length", str(len(payload))),
+        *kind,
+        ("Content-Type", "application/http; msgtype=response"),
+        ("Content-Length", str(len(block))),
     ]
-    head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
-    return head.encode() + payload + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields and payload of a record."""
+    """Header fields and payload of a record; that of a revisit is empty here."""
     head, _, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    fields = dict(line.split(": ", 1) for line in lines[1:])
-    return fields, rest[: int(fields["Content-Length"])]
+    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+    return fields, rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
 
 
 class Bundle:
@@ -121,7 +145,7 @@ def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
 
 
-def _write(uri: str):
+def _write(uri: str, date: str):
     names = ("page_id", "row_key", "bundle", "frame", "offset", "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +157,7 @@ def _write(uri: str):
                 if bundle is None:
                     fs.create_dir(folder, recursive=True)
                     bundle = Bundle(fs, f"{folder}/{uuid.uuid4().hex}.warc.zst")
-                place = bundle.add(record(row))
+                place = bundle.add(record(row, date))
                 found.append((row["page_id"], row["row_key"], bundle.path.rpartition("/")[2], *place))
                 if bundle.written >= BUNDLE_BYTES:
                     bundle.close()
@@ -146,34 +170,47 @@ def _write(uri: str):
     return run
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payloads = [(x or "").encode() for x in batch.column("html").to_pylist()]
-        added = [pa.array([payload_digest(x) for x in payloads], pa.string()), pa.array([len(x) for x in payloads], pa.int64())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "digest", "payload_bytes"])
-
-
-def with_responses(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
-    """``pages`` (page_id, url, html) with row_key, digest, payload_bytes and refers_to (null for responses)."""
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    rows = rows.mapInArrow(_digests, "page_id long, url string, html string, digest string, payload_bytes long")
-    best = F.max(F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), F.xxhash64("url").alias("k")))
-    groups = rows.where(F.col("payload_bytes") >= revisit_from).groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # a payload that a third of all pages share meets its group under _SALTS keys
-    groups = groups.select("digest", "best", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int"))
-    joined = salted.join(groups, ["digest", "salt"], "left")
-    # rows alike in page_id, url and payload have one salt and are told apart by number, where the join has put them
-    twin = F.row_number().over(Window.partitionBy("digest", "salt", "page_id", "url").orderBy("payload_bytes"))
-    joined = joined.withColumn("twin", twin).withColumn("row_key", F.xxhash64("url", "digest", "twin"))
-    first = (F.coalesce("page_id", F.lit(-(1 << 63))) == F.col("best")["p"]) & (F.xxhash64("url") == F.col("best")["k"]) & (F.col("twin") == 1)
-    refers = F.when(F.col("best").isNotNull() & ~first, F.col("best")["p"])
-    return joined.select("page_id", "url", "html", "row_key", "digest", "payload_bytes", refers.alias("refers_to"))
-
-
-def write_bundles(pages: DataFrame, uri: str, revisit_from: int = 0) -> DataFrame:
-    """Write ``pages`` as bundles under ``uri``/bundles and their index as Parquet under ``uri``/index; the index."""
-    with_responses(pages, revisit_from).mapInArrow(_write(f"{uri}/bundles"), INDEX).write.parquet(f"{uri}/index")
+def _is_best(best: Column) -> Column:
+    return F.col("page_id").eqNullSafe(best["page_id"]) & (F.xxhash64("url") == best["url_key"])
+
+
+def with_roles(pages: DataFrame, revisit_from: int = 0, broadcast_groups: int = 200_000) -> DataFrame:
+    """The records of ``pages`` (page_id, url, html): with digest, payload_bytes, row_key, revisit, refers_page and refers_key.
+
+    Revisits come without html.
+    """
+    payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.unhex(F.sha1(payload)).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
+    slim = stored(rows.drop("html").withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS))), "payloads")
+    # nulls come first in structs' order; of rows alike the least salt has the response
+    best = F.max(F.struct("page_id", F.xxhash64("url").alias("url_key"), (-F.col("salt")).alias("salt")))
+    groups = stored(slim.where(F.col("payload_bytes") >= revisit_from).groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "groups")
+    if groups.count() <= broadcast_groups:
+        met, joined = rows.join(F.broadcast(groups), "digest", "left"), slim.join(F.broadcast(groups), "digest")
+    else:
+        groups = groups.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        deal = F.pmod(F.xxhash64("page_id", "url"), F.lit(_SALTS)).cast("int")
+        met, joined = rows.withColumn("deal", deal).join(groups, ["digest", "deal"], "left"), slim.withColumn("deal", deal).join(groups, ["digest", "deal"])
+    joined = joined.withColumn("twin", F.row_number().over(Window.partitionBy("digest", "page_id", "url", "salt").orderBy("payload_bytes")))
+    first = _is_best(F.col("best")) & (-F.col("salt") == F.col("best")["salt"]) & (F.col("twin") == 1)
+    revisits = joined.where(~first).select(
+        "page_id", "url", F.lit(None).cast("string").alias("html"), "digest", "payload_bytes", F.xxhash64("url", "digest", "salt", "twin").alias("row_key"),
+        F.lit(True).alias("revisit"), F.col("best")["page_id"].alias("refers_page"), F.xxhash64("digest").alias("refers_key"),
+    )
+    own = ["page_id", "url", "html", "digest", "payload_bytes"]
+    single = met.where("best IS NULL").select(*own, F.when(F.col("payload_bytes") < revisit_from, F.xxhash64("digest", F.monotonically_increasing_id())).otherwise(F.xxhash64("digest")).alias("row_key"))
+    shared = met.where(F.col("best").isNotNull() & _is_best(F.col("best"))).select(*own).dropDuplicates(["digest"]).select(*own, F.xxhash64("digest").alias("row_key"))
+    return single.unionByName(shared).withColumns({"revisit": F.lit(False), "refers_page": F.lit(None).cast("long"), "refers_key": F.lit(None).cast("long")}).unionByName(revisits)
+
+
+def write_bundles(pages: DataFrame, uri: str, revisit_from: int = 0, broadcast_groups: int = 200_000, date: datetime | None = None) -> DataFrame:
+    """Write ``pages`` as bundles under ``uri``/bundles and their index as Parquet under ``uri``/index; the index.
+
+    ``date``: of all records; the time of the call if unset.
+    """
+    small_batches(pages.sparkSession)
+    stamp = (date or datetime.now(UTC)).astimezone(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    with_roles(pages, revisit_from, broadcast_groups).mapInArrow(_write(f"{uri}/bundles", stamp), INDEX).write.parquet(f"{uri}/index")
     return pages.sparkSession.read.schema(INDEX).parquet(f"{uri}/index")
 
 
@@ -197,13 +234,14 @@ def _read(uri: str):
                     f.seek(start)
                     frame = zstd.decompress(f.read(size), max_output_size=full)
                 fields, payload = parse(frame[row["offset"] : row["offset"] + row["length"]])
-                page, key = fields["WARC-Record-ID"][len("<urn:page:") : -1].split(":")
+                page, key = page_and_key(fields["WARC-Record-ID"])
                 digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                kind = fields["WARC-Type"]
-                if kind == "response" and payload_digest(payload) != digest:
+                kind, refers = fields["WARC-Type"], None
+                if kind == "revisit":
+                    refers, _ = page_and_key(fields["WARC-Refers-To"])
+                elif payload_digest(payload) != digest:
                     raise ValueError(f"record {page} in {name} is damaged")
-                refers = fields.get("WARC-Refers-To")
-                out.append((int(page) if page else None, int(key), int(fields["X-Payload-Length"]) if refers else len(payload), digest, kind, int(refers[len("<urn:page:") : -1]) if refers else None))
+                out.append((page, key, int(fields["X-Payload-Length"]) if kind == "revisit" else len(payload), digest, kind, refers))
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["page_id", "row_key", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
