@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stratalake.storage import shared_dir, stored
 
-__all__ = ["shared_dir", "small_batches", "stored", "unused"]
+__all__ = ["shared_dir", "set_aside", "small_batches", "stored", "unused"]
 
 _RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
@@ -21,3 +21,9 @@ def unused(name: str, *tables: DataFrame) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with all columns renamed by number, and the new name of each, so that any other name is free."""
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names

@@ -8,13 +8,15 @@ in a later pass over the source.
 A source's target is its share of all words by weight, but at most ``max_repeats`` times its own words; the
 excess is shared again by weight until no target is above that.
 
-Scale: documents are shuffled by a hash and laid out with two-level running sums (hash bins, then rows of a
-bin), so no source, however hot, is ordered in one task.  The schedule has ``slots`` points whatever the
-input; tables of sources and of slots are aggregates and small.
+Scale: documents are shuffled by a hash and laid out with two-level running sums (hash bins of about ``bin_rows`` rows, then
+rows of a bin), so no source, however hot, is ordered in one task; neither are the sources themselves, which may be as many
+as hosts.  The schedule has ``slots`` points whatever the input.  Its table of blocks has as many rows as slots and
+sources at most, and is broadcast only up to ``broadcast_rows``.
 
 Defined cases: null text has size 0; null source is a source of its own, after all others; sizes of 0 take
-nothing; repeated rows of a doc_id are separate documents; null doc_id is kept; an empty table gives an empty
-result; other columns pass through in ``mix_sources`` unless they clash with the added names, which win.
+nothing; repeated rows of a doc_id are separate documents; null doc_id is kept; texts of any length are one row; an empty
+table gives an empty result; other columns, whatever their names, pass through in ``mix_sources`` but for those called as
+the added ones, which win.
 """
 
 from __future__ import annotations
@@ -22,9 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalake.llm._shared import set_aside, stored
+
 PHI = 0.6180339887498949
 _GRID = 4096
-_BINS = 512
+_CHUNK = 1024
+#: Weights of quotas are whole numbers, so that sums of them are exact.
+_UNITS = 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -32,24 +38,35 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with the sums of whole numbers over all rows up to each, in the given order.
+
+    Rows are dealt by ranges of the order, so no task has more than its range; the ranges' totals are summed once more.
+    """
+    ranged = stored(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("range").agg(*[F.sum(c).alias(f"{name}_all") for name, c in sums.items()])
+    earlier, inside = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # one row of each partition of a shuffle
+    before = totals.select("range", *[F.coalesce(F.sum(f"{name}_all").over(earlier), F.lit(0)).alias(f"{name}_all") for name in sums])
+    met = ranged.join(F.broadcast(before), "range").withColumns({name: (F.col(f"{name}_all") + F.sum(c).over(inside)).cast("long") for name, c in sums.items()})
+    return met.drop("range", *[f"{name}_all" for name in sums])
+
+
 def source_targets(sizes: DataFrame, max_repeats: int = 3) -> DataFrame:
-    """From (source, source_size): sid, a number by code point with null last, weight 1, 2, 3, repeating, and target.
+    """From (source, source_size): sid, a number by code point with null last, weight 1, 2, 3, repeating, target, and upto, the words of all sources up to it.
 
     With caps c and weights w, sources in order of c/w reach their cap as long as c/w is at most
     (all - caps before) / (weights from here on); the rest share what is left by weight.
     """
-    sid = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    weighted = sizes.withColumn("sid", sid).withColumns({"weight": ((F.col("sid") - 1) % 3 + 1).cast("double"), "cap": (F.col("source_size") * max_repeats).cast("double")})
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), "sid")
-    everything = Window.partitionBy()
-    before = F.coalesce(F.sum("cap").over(by_level.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    from_here = F.sum("weight").over(by_level.rowsBetween(0, Window.unboundedFollowing))
-    level = (F.sum("source_size").over(everything) - before) / from_here
-    capped = weighted.withColumn("capped", F.col("cap") <= level * F.col("weight"))
-    free = F.sum("source_size").over(everything) - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(everything), F.lit(0.0))
-    weights = F.sum(F.when(~F.col("capped"), F.col("weight"))).over(everything)
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.least(F.col("cap"), free * F.col("weight") / weights))
-    return capped.select("source", "sid", "source_size", "weight", target.alias("target"))
+    numbered = running(sizes, [F.col("source").asc_nulls_last()], {"sid": F.lit(1), "upto": F.col("source_size")})
+    weighted = numbered.withColumns({"weight": (F.col("sid") - 1) % 3 + 1, "cap": F.col("source_size") * max_repeats})
+    levels = running(weighted, [F.col("cap") / F.col("weight"), F.col("sid")], {"caps": F.col("cap"), "weights": F.col("weight")})
+    total, weight = levels.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(total or 0) - F.col("caps") + F.col("cap")) / (F.lit(weight or 0) - F.col("weights") + F.col("weight"))
+    capped = stored(levels.withColumn("capped", F.col("cap") <= level * F.col("weight")), "capped")
+    taken, left = capped.agg(F.sum(F.when(F.col("capped"), F.col("cap"))), F.sum(F.when(~F.col("capped"), F.col("weight")))).first()
+    cap, share = F.col("cap").cast("double"), F.lit(float((total or 0) - (taken or 0))) * F.col("weight") / F.lit(float(left or 1))
+    return stored(capped.select("source", "sid", "source_size", "upto", F.col("weight").cast("double").alias("weight"), F.when(F.col("capped"), cap).otherwise(F.least(cap, share)).alias("target")), "targets")
 
 
 def schedule(targets: DataFrame, slots: int = 1 << 16) -> DataFrame:
@@ -58,21 +75,28 @@ def schedule(targets: DataFrame, slots: int = 1 << 16) -> DataFrame:
     ``order`` places the slot in the mix, ``block`` (of the source's ``blocks``) is what it takes and ``part``
     the share of it: 1 but for a source's last slot, which makes the source's words meet its target.
     """
-    total, by_sid = Window.partitionBy(), Window.orderBy("sid")
-    block = F.greatest(F.sum("source_size").over(total) / slots, F.lit(1.0))
+    total = targets.agg(F.sum("source_size")).first()[0] or 0
     planned = (
         targets.where("source_size > 0")
-        .withColumn("blocks", F.greatest(F.round(F.col("source_size") / block), F.lit(1)).cast("long"))
+        .withColumn("blocks", F.greatest(F.round(F.col("source_size") / max(total / slots, 1.0)), F.lit(1)).cast("long"))
         .withColumn("quota", F.col("target") * F.col("blocks") / F.col("source_size"))
+        .withColumn("units", F.round(F.col("quota") * _UNITS).cast("long"))
+        .select("sid", "blocks", "quota", "units")
     )
-    # both ends come from the same running sum, so the parts tile [0, 1) without gaps
-    parts = planned.withColumn("upper", F.sum(F.col("quota") / F.sum("quota").over(total)).over(by_sid.rowsBetween(Window.unboundedPreceding, 0)))
-    parts = parts.withColumn("lower", F.coalesce(F.lag("upper").over(by_sid), F.lit(0.0))).select("sid", "blocks", "quota", "lower", "upper")
+    summed = stored(running(planned, [F.col("sid")], {"end": F.col("units")}), "quotas")
+    all_units = float(summed.agg(F.sum("units")).first()[0] or 1)
+    # both ends are sums of the same whole numbers, so the parts tile [0, 1) without gaps
+    parts = summed.select("sid", "blocks", "quota", ((F.col("end") - F.col("units")) / all_units).alias("lower"), (F.col("end") / all_units).alias("upper"))
     # points meet parts by grid cell: sources + cells rows, not sources x points
     cells = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lower") * _GRID), F.floor(F.col("upper") * _GRID))))
     points = targets.sparkSession.range(1, slots + 1).select(F.col("id").alias("order"), F.expr(f"id * {PHI}D - floor(id * {PHI}D)").alias("x"))
     placed = points.withColumn("cell", F.floor(F.col("x") * _GRID)).join(cells, "cell").where("x >= lower AND x < upper")
-    ranked = placed.select("sid", "order", "blocks", "quota", (F.row_number().over(Window.partitionBy("sid").orderBy("order")) - 1).cast("long").alias("rank"))
+    # ranks by runs of points, so that a heavy source's points are not in one task
+    placed = placed.select("sid", "order", "blocks", "quota", F.expr(f"order div {_CHUNK}").alias("chunk"))
+    runs = placed.groupBy("sid", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    runs = runs.select("sid", "chunk", (F.sum("n").over(Window.partitionBy("sid").orderBy("chunk")) - F.col("n")).alias("earlier"))
+    inside = F.row_number().over(Window.partitionBy("sid", "chunk").orderBy("order")) - 1
+    ranked = placed.join(runs, ["sid", "chunk"]).select("sid", "order", "blocks", "quota", (F.col("earlier") + inside).cast("long").alias("rank"))
     got = F.coalesce(F.col("got"), F.lit(0).cast("long"))
     # a source that the points served less than its quota gets the rest at the end of the mix
     missing = (
@@ -89,7 +113,7 @@ def schedule(targets: DataFrame, slots: int = 1 << 16) -> DataFrame:
 
 
 def block_takes(slots: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per (sid, block): first word, times taken whole, words of a part taken once more, words taken before it.
+    """Per (sid, block): first word, times taken whole, words of a part taken once more, words taken before it (of this and all earlier sources).
 
     Block b of n blocks is the words [b * S div n, (b + 1) * S div n) of a source of S words.
     """
@@ -101,43 +125,48 @@ def block_takes(slots: DataFrame, targets: DataFrame) -> DataFrame:
     table = every.join(counted, ["sid", "blocks", "block"], "left").select(
         "sid", "block", begin.alias("begin"), length.alias("length"), F.coalesce("whole", F.lit(0).cast("long")).alias("whole"), F.round(F.coalesce("part", F.lit(0.0)) * length).cast("long").alias("once")
     )
-    before = F.sum(F.col("whole") * F.col("length") + F.col("once")).over(Window.partitionBy("sid").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
-    return table.select("sid", "block", "begin", "whole", "once", F.coalesce(before, F.lit(0).cast("long")).alias("before"))
+    taken = F.col("whole") * F.col("length") + F.col("once")
+    table = running(table, [F.col("sid"), F.col("block")], {"upto": taken})
+    return table.select("sid", "block", "begin", "whole", "once", (F.col("upto") - taken).alias("before"))
 
 
-def mix_sources(docs: DataFrame, slots: int = 1 << 16, max_repeats: int = 3) -> DataFrame:
+def mix_sources(docs: DataFrame, slots: int = 1 << 16, max_repeats: int = 3, bin_rows: int = 1000, broadcast_rows: int = 300_000) -> DataFrame:
     """``docs`` with size, source_size, target and taken: how many of its words the mix takes, repeats counted."""
     added = ("size", "source_size", "target", "taken")
-    key = F.xxhash64(F.lit(29), "doc_id", "text")
-    base = docs.drop(*added).withColumns({"size": word_count(F.col("text")), "_key": key, "_bin": F.pmod(F.shiftright(key, 20), F.lit(_BINS)).cast("int")})
+    base, own = set_aside(docs)
+    bins = max(1, -(-docs.count() // bin_rows))
+    key = F.xxhash64(F.lit(29), own["doc_id"], own["text"])
     # null sources meet under a flag and an empty name, which joins can compare
-    base = base.withColumns({"_none": F.col("source").isNull(), "_name": F.coalesce(F.col("source"), F.lit(""))})
-    per_bin = base.groupBy("_none", "_name", "_bin").agg(F.sum("size").alias("bin_size"))
-    sizes = per_bin.groupBy("_none", "_name").agg(F.sum("bin_size").alias("source_size")).select(F.when(~F.col("_none"), F.col("_name")).alias("source"), "source_size")
+    base = base.withColumns(
+        {"size": word_count(F.col(own["text"])), "key": key, "bin": F.pmod(F.shiftright(key, 20), F.lit(bins)), "none": F.col(own["source"]).isNull(), "name": F.coalesce(F.col(own["source"]).cast("string"), F.lit(""))}
+    )
+    per_bin = stored(base.groupBy("none", "name", "bin").agg(F.sum("size").alias("bin_size")), "bins")
+    sizes = per_bin.groupBy("none", "name").agg(F.sum("bin_size").alias("source_size")).select(F.when(~F.col("none"), F.col("name")).alias("source"), "source_size")
     targets = source_targets(sizes, max_repeats)
-    plan = schedule(targets, slots)
-    takes = block_takes(plan, targets)
-    by_source = Window.partitionBy("_none", "_name").orderBy("_bin")
-    named = targets.select(F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_name"), "sid", "source_size", "target")
+    plan = stored(schedule(targets, slots), "schedule")
+    takes = stored(block_takes(plan, targets), "takes")
+    if takes.count() <= broadcast_rows:
+        takes = F.broadcast(takes)
+    named = targets.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "sid", "source_size", "target", (F.col("upto") - F.col("source_size")).alias("earlier"))
+    # sources in the order of their numbers, so that words before a bin are words of its source once those of earlier sources are taken off
+    laid_bins = running(per_bin, [F.col("none"), F.col("name"), F.col("bin")], {"upto": F.col("bin_size")})
     context = (
-        per_bin.withColumn("_offset", F.sum("bin_size").over(by_source) - F.col("bin_size"))
-        .drop("bin_size")
-        .join(named, ["_none", "_name"])
+        laid_bins.join(named, ["none", "name"])
+        .withColumn("offset", F.col("upto") - F.col("bin_size") - F.col("earlier"))
+        .drop("upto", "bin_size", "earlier")
         .join(plan.select("sid", "blocks").distinct(), "sid", "left")
     )
-    row = Window.partitionBy("_none", "_name", "_bin").orderBy("_key", "doc_id")
-    laid = base.join(context, ["_none", "_name", "_bin"]).withColumn("_from", F.col("_offset") + F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    laid = laid.withColumn("_to", F.col("_from") + F.col("size"))
+    row = Window.partitionBy("none", "name", "bin").orderBy("key", own["doc_id"])
+    laid = base.join(context, ["none", "name", "bin"]).withColumn("start", F.col("offset") + F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    laid = laid.withColumn("stop", F.col("start") + F.col("size"))
     # words taken before a position, at both ends; the block of word p of n blocks over S words is ((p + 1) * n - 1) div S
-    for end, word in (("_from", "_from"), ("_to", "_to - 1")):
+    for end, word in (("start", "start"), ("stop", "stop - 1")):
         block = F.when(F.col("size") > 0, F.expr(f"(({word} + 1) * blocks - 1) div source_size"))
         inside = F.col(end) - F.col("begin")
         upto = F.col("before") + F.col("whole") * inside + F.least(F.col("once"), inside)
-        laid = laid.withColumn("block", block)
-        # at most slots + sources rows of five numbers
-        laid = laid.join(F.broadcast(takes), ["sid", "block"], "left").withColumn(f"{end}_taken", upto).drop("block", "begin", "whole", "once", "before")
-    taken = F.coalesce(F.col("_to_taken") - F.col("_from_taken"), F.lit(0).cast("long"))
-    return laid.withColumn("taken", taken).select(*[c for c in docs.columns if c not in added], *added)
+        laid = laid.withColumn("block", block).join(takes, ["sid", "block"], "left").withColumn(f"{end}_taken", upto).drop("block", "begin", "whole", "once", "before")
+    taken = F.coalesce(F.col("stop_taken") - F.col("start_taken"), F.lit(0).cast("long"))
+    return laid.withColumn("taken", taken).select(*[F.col(own[c]).alias(c) for c in docs.columns if c not in added], *added)
 
 
 def op9_query(docs: DataFrame) -> DataFrame:

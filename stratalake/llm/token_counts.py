@@ -4,8 +4,12 @@ A text's key is the SHA-256 of its normalised content (null counts as empty; not
 any change could change the count) with a digest of the tokenizer file.  Keys found in the cache take the
 stored count; of the rest each distinct text is encoded once and its count appended.
 
+Copies are brought together before they are shuffled, and the counts lie in a table of their own when the rows meet
+them, so Spark can split a digest that a third of all rows share.
+
 Defined cases: null and empty texts have 0 bytes and 0 tokens; repeated rows each get their count; null
-doc_id is kept; an empty table gives an empty result; other columns are ignored.
+doc_id is kept; texts of any length are counted whole, one at a time beyond a megabyte; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.llm._shared import shared_dir
+from stratalake.llm._shared import shared_dir, small_batches, stored
 
 _CHUNK_BYTES = 1 << 20
 _CACHE = "digest binary, version string, n_tokens long"
@@ -83,16 +87,18 @@ def token_counts(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", cache: s
         version = hashlib.sha256(f.read()).hexdigest()[:16]
     text = F.coalesce(F.col("text"), F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
-    misses = docs.select(digest, text.alias("text"))
+    small_batches(spark)
+    misses = docs.select(digest, text.alias("text")).groupBy("digest").agg(F.first("text").alias("text"))
     try:
-        known = spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version).select("digest")
+        known = spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version).select("digest").distinct()
         misses = misses.join(known, "digest", "left_anti")
-    except AnalysisException:  # nothing stored yet
-        pass
-    counted = misses.groupBy("digest").agg(F.first("text").alias("text")).mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    counted = misses.mapInArrow(_encode(tokenizer), "digest binary, n_tokens long")
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     # two writers may have counted the same text; one row per key goes into the join
-    counts = spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = stored(spark.read.schema(_CACHE).parquet(cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest)
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", "digest")
 

@@ -70,13 +70,13 @@ def test_taken_equals_blocks(spark):
     """Words taken of each document, counted block by block from the schedule."""
     data = [(i, "w " * (i * 7 % 23), "ab"[i % 2]) for i in range(40)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    got = {r.doc_id: r.taken for r in M.mix_sources(df, slots=32).collect()}
+    got = {r.doc_id: r.taken for r in M.mix_sources(df, slots=32, bin_rows=7).collect()}
     sizes = df.groupBy("source").agg(F.sum(M.word_count(F.col("text"))).alias("source_size"))
     t = {r.source: r for r in M.source_targets(sizes).collect()}
     slots = {}
     for r in M.schedule(M.source_targets(sizes), 32).collect():
         slots.setdefault(r.sid, []).append(r)
-    order = df.withColumn("k", F.xxhash64(F.lit(29), "doc_id", "text")).withColumn("b", F.pmod(F.shiftright("k", 20), F.lit(M._BINS))).orderBy("b", "k", "doc_id").collect()
+    order = df.withColumn("k", F.xxhash64(F.lit(29), "doc_id", "text")).withColumn("b", F.pmod(F.shiftright("k", 20), F.lit(6))).orderBy("b", "k", "doc_id").collect()
     for source, info in t.items():
         stream = [r.doc_id for r in order if r.source == source for _ in range((r.doc_id * 7) % 23)]
         n, counts = slots[info.sid][0].blocks, {}
@@ -89,5 +89,23 @@ def test_taken_equals_blocks(spark):
             assert got[d] == counts.get(d, 0)
 
 
+def test_many_sources_and_no_broadcast(spark):
+    """As many sources as rows, and tables of blocks that are shuffled."""
+    df = spark.createDataFrame([(i, "w " * (1 + i % 9), None if i == 7 else f"host{i}.example") for i in range(300)], "doc_id long, text string, source string").repartition(3)
+    got = M.mix_sources(df, slots=512, bin_rows=20).collect()
+    sizes = {r.source: r.size for r in got}
+    assert {r.source: r.target for r in got} == pytest.approx(targets(sizes))
+    assert all(r.source_size == r.size and abs(r.taken - r.target) <= 1 for r in got)
+    assert sorted(map(str, M.mix_sources(df, slots=512, bin_rows=20, broadcast_rows=0).collect())) == sorted(map(str, got))
+
+
+def test_clashing_names_and_very_long_texts(spark):
+    rows = [(1, "w " * 400_000, "a", 1, "k"), (2, "w", "b", 2, None), (None, None, None, None, "x"), (1, "w", "b", 3, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, bin int, name string").withColumn("SID", F.lit("s")).withColumn("in_0", F.lit(4)).withColumn("taken", F.lit("mine"))
+    got = M.mix_sources(df).collect()
+    assert M.mix_sources(df).columns == ["doc_id", "text", "source", "bin", "name", "SID", "in_0", "size", "source_size", "target", "taken"]
+    assert sorted((r.bin or 0, r.name or "", r.SID, r.in_0, r.size) for r in got) == [(0, "x", "s", 4, 0), (1, "k", "s", 4, 400_000), (2, "", "s", 4, 1), (3, "y", "s", 4, 1)]
+
+
 def test_empty(empty):
     assert M.op9_query(empty).collect() == []

@@ -40,3 +40,18 @@ def test_other_tokenizer_and_empty(spark, empty):
     df = spark.createDataFrame([(1, "plain words")], "doc_id long, text string")
     assert T.token_counts(df, "piece_bpe_32k.model").first().n_tokens > 0
     assert T.op10_query(empty).collect() == []
+
+
+def test_unreadable_cache_is_an_error(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        T.token_counts(spark.createDataFrame([(1, "a")], "doc_id long, text string"), cache=f"{tmp_path}/broken").collect()
+
+
+def test_very_long_text_and_clashing_names(spark):
+    texts = ["long words " * 300_000, None, "a", "a"]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, digest string, n_tokens int")
+    assert [r.n_tokens for r in T.op10_query(df).orderBy("doc_id").collect()] == brute(texts)
