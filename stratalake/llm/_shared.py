@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalake.storage import shared_dir, stored
+from stratalake.storage import forget, shared_dir, stored
 
-__all__ = ["shared_dir", "set_aside", "small_batches", "stored", "unused"]
+__all__ = ["forget", "shared_dir", "set_aside", "small_batches", "stored", "unused"]
 
 _RECORDS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalake.llm._components import components
-from stratalake.llm._shared import small_batches, stored, unused
+from stratalake.llm._shared import forget, small_batches, stored, unused
 from stratalake.llm._words import Words, mix
 
 SMALL_UNIT = 24
@@ -291,31 +291,40 @@ def _settle(percent: int):
 
 
 def _arrays(n: int):
+    """Rows of units with their sorted hash arrays; of rows that repeat a text of one doc_id a task keeps one."""
+    names = ["unit", "side", "root", "set_id", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        had = set()
         for batch in batches:
-            for part in text_slices(batch):
+            keys = list(zip(batch.column("unit").to_pylist(), batch.column("side").to_pylist(), batch.column("set_id").to_pylist(), strict=True))
+            new = []
+            for key in keys:
+                new.append(key not in had)
+                had.add(key)
+            for part in text_slices(batch.filter(pa.array(new, pa.bool_()))):
                 sets = [s.tobytes() for s in shingle_sets(part.column("text"), n)]
-                yield pa.RecordBatch.from_arrays([part.column("set_id"), pa.array(sets, pa.binary())], ["set_id", "members"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "members"])
 
     return run
 
 
-def _links(units: DataFrame, prefixes: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
+def _links(units: DataFrame, bits: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
     """(a, b): links that join different roots of ``units`` (unit, side, root, set_id, n).
 
-    Bitmaps say which rows of a unit may link at all; those meet again with their sorted hash arrays, made from
-    the texts of their classes once, and are intersected.
+    Bitmaps say which rows of a unit may link at all; those meet again with their sorted hash arrays, made where the
+    texts of their classes lie, and are intersected.
     """
     columns = ["unit", "side", "root", "set_id", "n"]
-    with_bits = units.join(prefixes.select("set_id", "bits"), "set_id").select(*columns, "bits")
-    passed = stored(with_bits.repartition("unit").sortWithinPartitions("unit", "n", "set_id").mapInArrow(_screen(percent), _UNIT), "passed", free=True)
-    needed = stored(passed.select("set_id").distinct().join(classes, "set_id").select("set_id", "row_key"), "needed")
-    if needed.count() <= broadcast_rows:
-        needed = F.broadcast(needed)
-    arrays = docs.join(needed, "row_key").dropDuplicates(["set_id"]).select("set_id", "text").mapInArrow(_arrays(n), "set_id long, members binary")
-    arrays = stored(arrays, "members", free=True)
-    met = passed.join(arrays, "set_id").select(*columns, "members").repartition("unit").sortWithinPartitions("unit", "n", "set_id")
-    return stored(met.mapInArrow(_settle(percent), "a long, b long"), "links", free=True)
+    with_bits = units.join(bits.select("set_id", "bits"), "set_id").select(*columns, "bits")
+    passed = with_bits.repartition("unit").sortWithinPartitions("unit", "n", "set_id").mapInArrow(_screen(percent), _UNIT)
+    needed = stored(passed.join(classes.select("set_id", "row_key"), "set_id"), "needed", free=True)
+    rows = F.broadcast(needed) if needed.count() <= broadcast_rows else needed
+    arrays = docs.select("row_key", "text").join(rows, "row_key").select(*columns, "text").mapInArrow(_arrays(n), f"{_UNIT}, members binary")
+    met = arrays.repartition("unit").sortWithinPartitions("unit", "n", "set_id")
+    links = stored(met.mapInArrow(_settle(percent), "a long, b long"), "links", free=True)
+    forget(needed)
+    return links
 
 
 def _tiles(prefixes: DataFrame, shared) -> DataFrame:
@@ -332,7 +341,9 @@ def _tiles(prefixes: DataFrame, shared) -> DataFrame:
     lowest = hot.groupBy("shingle").agg(F.min("set_id").alias("tile"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
     hot = hot.join(F.broadcast(lowest), "shingle").select("tile", "set_id")
     met = stored(rare.unionByName(hot).distinct(), "met", free=True)
-    return stored(met.join(prefixes.select("set_id", "n"), "set_id").select("tile", "set_id", "n"), "tiles")
+    tiles = stored(met.join(prefixes.select("set_id", "n"), "set_id").select("tile", "set_id", "n"), "tiles")
+    forget(met)
+    return tiles
 
 
 def _crossed(tiles: DataFrame, roots: DataFrame) -> DataFrame:
@@ -381,17 +392,19 @@ def similar_groups(
     prefixes = base.select("text").mapInArrow(_prefixes(n, percent, shared), "set_id long, n long, prefix binary, bits binary")
     prefixes = stored(prefixes.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "prefixes", free=True)
     tiles = _tiles(prefixes, shared)
+    bits = stored(prefixes.join(tiles.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "bits"), "bits", free=True)
+    forget(prefixes)
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / part_rows, F.sum(8 * F.col("n") + 64) / part_bytes)).cast("int")
     large = stored(tiles.groupBy("tile").agg(parts.alias("parts")).where("parts > 1"), "large")
     parted = tiles.join(large, "tile", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(5), "tile", "set_id"), F.col("parts")).cast("int")
     units = parted.select(F.xxhash64("tile", own).alias("unit"), F.lit(0).alias("side"), F.col("set_id").alias("root"), "set_id", "n")
-    links = _links(units, prefixes, classes, base, n, percent, broadcast_rows)
+    links = _links(units, bits, classes, base, n, percent, broadcast_rows)
     roots = components(links)
     if large.limit(1).count():
         crossed = stored(_crossed(tiles.join(large, "tile"), roots.select(F.col("node").alias("set_id"), "root")), "crossed")
         if crossed.limit(1).count():
-            links = links.unionByName(_links(crossed, prefixes, classes, base, n, percent, broadcast_rows))
+            links = links.unionByName(_links(crossed, bits, classes, base, n, percent, broadcast_rows))
             roots = components(links)
     members = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = members.groupBy("root").agg(F.min("low_doc").alias("component_id"))
