@@ -140,5 +140,7 @@ class Words:
             piece[(begin + size - 1)[space]] = 0x20
             pieces.append(piece)
         body = np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
+        if lengths.sum() >= 1 << 31:
+            raise OverflowError("a batch's joined texts pass 2 GiB: deal the texts into more groups")
         out_offsets = np.r_[0, np.cumsum(lengths)].astype(np.int32)
         return pa.Array.from_buffers(pa.utf8(), len(self.counts), [None, pa.py_buffer(out_offsets), pa.py_buffer(body)])

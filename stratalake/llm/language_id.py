@@ -7,8 +7,10 @@ costs one lookup per subword.  A temperature and the rejection bound are set on
 training does not see.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; without labelled
-rows all texts are ``und``; repeated rows each get their row; null doc_id is kept (and never trained on);
-other columns are ignored.
+rows all texts are ``und``; repeated rows each get their row and are drawn once for training; null doc_id is kept (and
+never trained on); equal scores go to the language that is first by name; texts of any length are scored whole, by
+pieces; an empty table gives an empty result; ``predict`` ignores other columns, ``keep_accepted`` passes them through,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.llm._shared import small_batches
+from stratalake.llm._shared import small_batches, unused
 from stratalake.llm._words import mix
 
 BUCKETS = 1 << 13
@@ -31,15 +33,15 @@ _FOLD[65:91] += 32
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
 
 
-def _subwords(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Buckets of the 2-, 3- and 4-byte subwords that start at each byte; shorter at the end of the data."""
+def _subwords(data: np.ndarray, starts: int | None = None) -> Iterator[np.ndarray]:
+    """Buckets of the 2-, 3- and 4-byte subwords that start at each of the first ``starts`` bytes (at all if None)."""
     folded = _FOLD[data].astype(np.uint32)
     code = folded.copy()
     for n in (2, 3, 4):
         if len(folded) < n:
             return
         code = code[: len(folded) - n + 1] | (folded[n - 1 :] << np.uint32(8 * (n - 1)))
-        h = code * np.uint32(0x9E3779B1) + np.uint32(n)
+        h = code[:starts] * np.uint32(0x9E3779B1) + np.uint32(n)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA77)
         yield (h >> np.uint32(19)).astype(np.int64)
@@ -54,10 +56,13 @@ def _text_bytes(column: pa.Array) -> list[np.ndarray]:
     return [data[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
-    """Slices that overlap by three bytes, so that no subword is lost and long texts stay within memory."""
-    for a in range(0, max(1, len(data) - 3), _PIECE):
-        yield data[a : a + _PIECE + 3]
+def _counts(data: np.ndarray) -> np.ndarray:
+    """How often each bucket occurs; by pieces with the three bytes after them, so that long texts stay within memory."""
+    seen = np.zeros(BUCKETS, np.int64)
+    for a in range(0, len(data), _PIECE):
+        for buckets in _subwords(data[a : a + _PIECE + 3], _PIECE):
+            seen += np.bincount(buckets, minlength=BUCKETS)
+    return seen
 
 
 @dataclass
@@ -71,14 +76,8 @@ class Model:
     reject_below: float = 0.0
 
     def logits(self, data: np.ndarray) -> np.ndarray:
-        total, count = np.zeros(len(self.languages)), 0
-        for piece in _pieces(data):
-            seen = np.zeros(BUCKETS, np.int64)
-            for buckets in _subwords(piece):
-                seen += np.bincount(buckets, minlength=BUCKETS)
-                count += len(buckets)
-            total += seen @ self.table
-        return total / max(count, 1) + self.bias
+        seen = _counts(data)
+        return seen @ self.table / max(seen.sum(), 1) + self.bias
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -90,10 +89,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = [], []
         for data in _text_bytes(batch.column("text")):
-            seen = np.zeros(BUCKETS, np.int64)
-            for piece in _pieces(data):
-                for buckets in _subwords(piece):
-                    seen += np.bincount(buckets, minlength=BUCKETS)
+            seen = _counts(data)
             at = np.flatnonzero(seen)
             ids.append(at.astype(np.uint16).tobytes())
             counts.append((seen[at] / max(seen.sum(), 1)).astype(np.float32).tobytes())
@@ -133,11 +129,12 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def train(labelled: DataFrame, max_rows_per_language: int = 600, max_languages: int = 256, dim: int = 16, epochs: int = 8, rate: float = 2.0) -> Model:
+def train(labelled: DataFrame, max_rows_per_language: int = 600, max_rows: int = 8000, max_languages: int = 1000, dim: int = 16, epochs: int = 8, rate: float = 2.0) -> Model:
     """Fit on rows (doc_id, text, lang).
 
-    The sample is bounded: about ``max_rows_per_language`` rows (by a hash of doc_id) of each of the
-    ``max_languages`` most frequent languages; the driver gets their hashed subword shares only.
+    The sample is bounded: about ``max_rows_per_language`` rows (by a hash of doc_id and text) of each of the
+    ``max_languages`` most frequent languages, and fewer of each where they would be over ``max_rows`` together.  The
+    driver gets their hashed subword shares only, 49 KB a row at most.
     """
     small_batches(labelled.sparkSession)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & has_letter(F.col("text")))
@@ -145,13 +142,13 @@ def train(labelled: DataFrame, max_rows_per_language: int = 600, max_languages:
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1_000_000))
-    share = {r["lang"]: min(1.0, max_rows_per_language / r["count"]) for r in sizes}
-    keep = F.lit(False)
-    for lang, part in share.items():
-        keep = keep | ((F.col("lang") == lang) & (draw < int(np.ceil(part * 1_000_000))))
-    sample = usable.where(keep).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    rows = sorted(sample.mapInArrow(_features, "doc_id long, lang string, ids binary, shares binary").collect(), key=lambda r: (r.doc_id, r.lang, r.ids))
+    wanted = min(max_rows_per_language, max(1, max_rows // len(languages)))
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, wanted / r["count"]))])
+    key = F.xxhash64("doc_id", "text", F.lit(17))
+    keep = F.pmod(key, F.lit(1_000_000)) < F.ceil(share[F.col("lang")] * 1_000_000)
+    # rows that repeat are one: a hash of them all would draw all or none
+    sample = usable.where(keep).select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").groupBy("key", "lang").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    rows = sorted(sample.select("doc_id", "lang", "text").mapInArrow(_features, "doc_id long, lang string, ids binary, shares binary").collect(), key=lambda r: (r.doc_id, r.lang, r.ids))
     y = np.array([languages.index(r.lang) for r in rows])
     aside = mix(np.array([r.doc_id for r in rows], np.int64).astype(np.uint64)) % np.uint64(5) == 0
     if aside.all() or not aside.any():
@@ -210,14 +207,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
-def _accepted(shared):
+def _accepted(shared, letter_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
         for batch in batches:
             keep = []
-            for data, letter in zip(_text_bytes(batch.column("text")), batch.column("_letter").to_pylist(), strict=True):
+            for data, letter in zip(_text_bytes(batch.column("text")), batch.column(letter_name).to_pylist(), strict=True):
                 keep.append(bool(letter and model.languages) and float(model.probabilities(model.logits(data)).max()) >= model.reject_below)
-            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["_letter"])
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns([letter_name])
 
     return run
 
@@ -226,7 +223,8 @@ def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all columns, whose language the calibrated rejection accepts."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.withColumn("_letter", has_letter(F.col("text"))).mapInArrow(_accepted(shared), docs.schema)
+    name = unused("letter", docs)
+    return docs.withColumn(name, has_letter(F.col("text"))).mapInArrow(_accepted(shared, name), docs.schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -5,13 +5,13 @@ probes them.  With ``2 * block - 1 <= n`` each run of ``n`` words holds an index
 every repeated run.  Hits are extended to all windows of ``n`` words around them, whose full hashes decide
 which start earlier elsewhere; the union of such windows is the set of maximal exact repeats.
 
-Shape of the job: texts are dealt once into groups by a hash of doc_id.  A group sends each *distinct* block
+Shape of the job: texts are dealt once into groups by a hash of doc_id and text, as many as the bytes of all texts ask for.  A group sends each *distinct* block
 hash once (48 bits, sorted, so a key present in a third of all rows arrives once per group) and gets a bit
 mask back; then the same with the surviving windows.  No pair of documents is ever formed.
 
 Defined cases: null text is no words; null doc_id sorts before all ids and is kept as null; rows that share
-a doc_id are separate documents, ordered by text; an empty table gives an empty result; other columns are
-ignored.  Words are compared by 64-bit hashes of 64-bit word hashes.
+a doc_id (or have none) are separate documents in a fixed order, by group and then by text; a text of any length is one
+document of one group; an empty table gives an empty result; other columns are ignored.  Words are compared by 64-bit hashes of 64-bit word hashes.
 """
 
 from __future__ import annotations
@@ -186,7 +186,7 @@ def _match_spans(key: tuple, table: pa.Table) -> pa.Table:
     sizes = [len(x) for x in hashes]
     ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).ravel() for x in table["ids"].to_pylist()])
     keys = np.concatenate(hashes)
-    order = np.lexsort((ids, keys))
+    order = np.lexsort((np.repeat(table["g"].to_numpy(), sizes), ids, keys))
     flags = np.ones(len(order), bool)
     flags[order[_segments(keys[order])]] = False
     return _masks(1, key[0].as_py(), table["g"].to_pylist(), flags, sizes)
@@ -224,20 +224,22 @@ def _remove(n: int, block: int, buckets: int):
     return run
 
 
-def substring_dedup(docs: DataFrame, n: int = 20, block: int = 10, groups: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, n: int = 20, block: int = 10, groups: int | None = None, group_bytes: int = 1 << 26) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_text and the removed word spans.
 
     A word goes if a window of ``n`` words over it also starts earlier (smaller doc_id, or earlier in the
-    same document).  ``groups``: into how many groups texts are dealt; twice the shuffle partitions if unset,
-    so it grows with the input as that setting does.  Hashes meet in half as many buckets, since each group
+    same document).  ``groups``: into how many groups texts are dealt; if unset one for each ``group_bytes`` of text, and
+    twice the shuffle partitions at least.  Hashes meet in half as many buckets, since each group
     and bucket exchange one row.
     """
     if 2 * block - 1 > n:
         raise ValueError("a window of n words must hold an aligned block: 2 * block - 1 <= n")
     spark = docs.sparkSession
-    groups = min(groups or 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), _SUB)
-    buckets = max(1, groups // 2)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g"))
+    if groups is None:
+        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes))
+    buckets = max(1, min(groups // 2, _SUB))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"))
     blocks = texts.groupBy("g").applyInArrow(_probe(n, block, buckets), "g int, bucket int, counts binary, rest binary, indexed binary, multi binary")
     hits = blocks.groupBy("bucket").applyInArrow(_match_blocks, _MASKS)
     spans = texts.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_extend(n, block, buckets), "g int, bucket int, hashes binary, ids binary")

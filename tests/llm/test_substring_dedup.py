@@ -43,3 +43,18 @@ def test_repeated_ids_and_spans(spark):
 
 def test_empty_table(empty):
     assert op1_query(empty).collect() == []
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Of a passage in several such rows all but one lose it, whatever group they are dealt to."""
+    passage = " ".join(f"p{i}" for i in range(25))
+    data = [(i, f"a{k} " + passage + f" z{k}") for k, i in enumerate([None, None, None, 4, 4, 4, 9])]
+    got = [(r.doc_id, r.n_removed) for r in substring_dedup(spark.createDataFrame(data, "doc_id long, text string"), groups=5).collect()]
+    assert sorted(n for d, n in got if d is None) == [0, 25, 25] and {n for d, n in got if d is not None} == {25}
+
+
+def test_very_long_text_and_clashing_names(spark):
+    text = " ".join(f"w{i}" for i in range(300_000))
+    df = spark.createDataFrame([(1, text, 1, "a"), (2, text + " more", 2, "b"), (3, None, 3, None)], "doc_id long, text string, g int, bits string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in op1_query(df).collect())
+    assert got == [(1, 300_000, 0), (2, 300_001, 300_000), (3, 0, 0)]
