@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratalake.functions.geo import edge_weight
 from stratalake.operators.delaunay import delaunay_edges
 from stratalake.operators.knn import knn
+from stratalake.storage import stored
 
 RADIUS_FT = 2000 * 3.280839895
 EDGE = ["src", "dst", "edge_type"]
@@ -19,9 +20,20 @@ def undirected(pairs: DataFrame, edge_type: str) -> DataFrame:
     return ends.groupBy("src", "dst").agg(F.max("weight").alias("weight")).select("src", "dst", F.lit(edge_type).alias("edge_type"), "weight")
 
 
+def _nearest_edges(near: DataFrame, k: int) -> DataFrame:
+    return undirected(near.where(F.col("rank") <= k).select("qid", "id", edge_weight(F.col("d")).alias("weight")), "knn")
+
+
+def _unit_edges(near: DataFrame, points: DataFrame, k: int, radius: float) -> DataFrame:
+    close = near.where((F.col("rank") < k) & (F.col("d") <= radius))
+    unit = points.where("unit IS NOT NULL AND unit <> ''").select("id", "unit")
+    both = close.join(unit.select(F.col("id").alias("qid"), F.col("unit").alias("u")), "qid").join(unit, "id").where("u = unit")
+    return undirected(both.select("qid", "id", F.lit(1.0).alias("weight")), "same_geology")
+
+
 def knn_edges(points: DataFrame, k: int = 8) -> DataFrame:
     """Edges of points (id, x, y) to their k nearest."""
-    return undirected(knn(points, points, k, same=True).select("qid", "id", edge_weight(F.col("d")).alias("weight")), "knn")
+    return _nearest_edges(knn(points, points, k, same=True), k)
 
 
 def same_unit_edges(points: DataFrame, k: int = 26, radius: float = RADIUS_FT) -> DataFrame:
@@ -29,10 +41,7 @@ def same_unit_edges(points: DataFrame, k: int = 26, radius: float = RADIUS_FT) -
 
     ``points``: (id, x, y, unit).  The cap counts before the unit is looked at.
     """
-    near = knn(points, points, k - 1, same=True).where(F.col("d") <= radius)
-    unit = points.where("unit IS NOT NULL AND unit <> ''").select("id", "unit")
-    both = near.join(unit.select(F.col("id").alias("qid"), F.col("unit").alias("u")), "qid").join(unit, "id").where("u = unit")
-    return undirected(both.select("qid", "id", F.lit(1.0).alias("weight")), "same_geology")
+    return _unit_edges(knn(points, points, k - 1, same=True), points, k, radius)
 
 
 def label_edges(labels: DataFrame, borings: DataFrame, k: int = 6) -> DataFrame:
@@ -40,14 +49,26 @@ def label_edges(labels: DataFrame, borings: DataFrame, k: int = 6) -> DataFrame:
     return knn(labels, borings, k).select(F.col("qid").alias("src"), F.col("id").alias("dst"), F.lit("label_boring").alias("edge_type"), edge_weight(F.col("d")).alias("weight"))
 
 
-def boring_graph(points: DataFrame, k: int = 8, delaunay: bool = True, unit_k: int = 26) -> DataFrame:
-    """Union of kNN, Delaunay and same-unit edges of (id, x, y, unit)."""
-    edges = knn_edges(points, k).unionByName(same_unit_edges(points, unit_k))
+def boring_graph(points: DataFrame, k: int = 8, delaunay: bool = True, unit_k: int = 26, radius: float = RADIUS_FT, few_points: bool = True) -> DataFrame:
+    """Union of kNN, Delaunay and same-unit edges of (id, x, y, unit); one search serves the first and the last.
+
+    Not ``few_points``: up to k + 1 points make no graph at all.
+    """
+    if not few_points:
+        enough = points.where("x IS NOT NULL AND y IS NOT NULL").limit(k + 2).count() > k + 1
+        points = points.where(F.lit(enough))
+    near = knn(points, points, max(k, unit_k - 1), same=True)
+    edges = _nearest_edges(near, k).unionByName(_unit_edges(near, points, unit_k, radius))
     if delaunay:
         edges = edges.unionByName(delaunay_edges(points.select("id", "x", "y")).withColumn("edge_type", F.lit("delaunay")))
     return edges
 
 
+def edge_subset(edges: DataFrame, types: list[str]) -> DataFrame:
+    """Edges of some types, as ablations use them."""
+    return edges.where(F.col("edge_type").isin(types))
+
+
 def union_graph(borings: DataFrame, labels: DataFrame, k: int = 8, cross_k: int = 6, delaunay: bool = True) -> DataFrame:
     """Graph over ids ``b:`` and ``l:`` of borings and labels (id, x, y, unit), with the types of both ends."""
     def named(rows: DataFrame, prefix: str) -> DataFrame:
@@ -83,12 +104,15 @@ def graph_context(edges: DataFrame, features: DataFrame, columns: list[str], hop
 
 def reachability(edges: DataFrame, hops: int = 3) -> DataFrame:
     """One row: labels with edges, those of them that reach a boring within ``hops``, and their share."""
-    both = directed(edges.select("src", "dst"))
-    reached = both.select(F.col("src").alias("id")).distinct().where("id LIKE 'b:%'")
+    ways = stored(directed(edges.select("src", "dst")).distinct(), "ways")
+    nodes = ways.select(F.col("src").alias("id")).distinct()
+    reached = frontier = stored(nodes.where("id LIKE 'b:%'"), "reached")
     for _ in range(hops):
-        reached = reached.unionByName(both.join(reached.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"))).distinct()
-    labels = both.select(F.col("src").alias("id")).distinct().where("id LIKE 'l:%'")
-    hit = labels.join(reached.withColumn("r", F.lit(1)), "id", "left")
+        # only what the last hop added goes on
+        met = ways.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
+        frontier = stored(met.join(reached, "id", "left_anti"), "frontier")
+        reached = reached.unionByName(frontier)
+    hit = nodes.where("id LIKE 'l:%'").join(reached.withColumn("r", F.lit(1)), "id", "left")
     return hit.agg(F.count(F.lit(1)).alias("labels"), F.count("r").alias("reached"), F.round(F.try_divide(F.count("r"), F.count(F.lit(1))), 6).alias("share"))
 
 

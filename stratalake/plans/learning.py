@@ -10,7 +10,7 @@ from stratalake.operators.normalize import SAFE_COLUMNS
 from stratalake.plans.fixtures import Tables
 from stratalake.plans.registry import query
 from stratalake.plans.soils import _DERIVED
-from stratalake.plans.spatial import _LAB, _PTS, _near, graph_labels, graph_points, union_points, whole_edges
+from stratalake.plans.spatial import _LAB, _PTS, _near, graph_labels, graph_points, union_points, union_edges
 from stratalake.storage import stored
 
 
@@ -235,7 +235,7 @@ def random_forest_baseline(t: Tables) -> DataFrame:
 @query("graph_model_baseline")
 def graph_model_baseline(t: Tables) -> DataFrame:
     nodes = class_nodes(t).where("class_id IS NOT NULL")
-    context = graph.graph_context(stored(whole_edges(t), "union-edges"), union_points(t), ["x", "y"])
+    context = graph.graph_context(stored(union_edges(t), "union-edges"), union_points(t), ["x", "y"])
     rows = nodes.select("id", "class_id").join(context.where("id LIKE 'l:%'").withColumn("id", F.expr("substr(id, 3)")), "id")
     columns = [c for c in rows.columns if c not in ("id", "class_id")]
     test = F.expr("CAST(id AS INT) % 5 = 0")

@@ -130,6 +130,26 @@ _UNION = f"""u_pts AS ({_BOTH}), {_near('u8', 'SELECT * FROM u_pts', 'SELECT * F
     u_e AS (SELECT * FROM u_k UNION ALL SELECT * FROM u_u UNION ALL SELECT qid, id, 'label_boring', {_W} FROM u6)"""
 
 
+
+
+def _delaunay(name: str, points: str) -> str:
+    """Delaunay edges by the empty-circle test: pairs whose interval of circle centres the nearest points leave open, then against all."""
+    open_ = """coalesce(max(CASE WHEN cross_ < 0 THEN over_ / (2 * cross_) END), -1e300) <= coalesce(min(CASE WHEN cross_ > 0 THEN over_ / (2 * cross_) END), 1e300) + 1e-12
+        AND NOT bool_or(cross_ = 0 AND over_ < -1e-12 * w2)"""
+    measured = "qx * wy - qy * wx AS cross_, wx * wx + wy * wy - (wx * qx + wy * qy) AS over_, wx * wx + wy * wy AS w2"
+    return f"""{name}_s AS (SELECT min(id) AS id, x, y FROM ({points}) AS p WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY x, y),
+    {name}_n AS (SELECT * FROM (SELECT a.id, b.x - a.x AS wx, b.y - a.y AS wy, row_number() OVER (PARTITION BY a.id ORDER BY (b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y), b.id) AS k FROM {name}_s AS a JOIN {name}_s AS b ON a.id <> b.id) WHERE k <= 8),
+    {name}_p AS (SELECT src, dst, qx, qy, x, y FROM (SELECT src, dst, qx, qy, x, y, {measured} FROM (SELECT a.id AS src, b.id AS dst, b.x - a.x AS qx, b.y - a.y AS qy, a.x, a.y FROM {name}_s AS a JOIN {name}_s AS b ON a.id < b.id) JOIN {name}_n AS n ON n.id = src)
+        GROUP BY src, dst, qx, qy, x, y HAVING {open_}),
+    {name}_e AS (SELECT src, dst, 'delaunay' AS edge_type, round(1 / (1 + sqrt(qx * qx + qy * qy)), 6) AS weight FROM (SELECT src, dst, qx, qy, {measured} FROM (SELECT p.src, p.dst, p.qx, p.qy, w.x - p.x AS wx, w.y - p.y AS wy FROM {name}_p AS p JOIN {name}_s AS w ON w.id <> p.src))
+        GROUP BY src, dst, qx, qy HAVING {open_})"""
+
+
+_DEL = _delaunay("del", _PTS)
+_GRAPH = f"{_KNN}, {_UNIT}, {_DEL}, g_e AS (SELECT * FROM knn_e UNION ALL SELECT * FROM unit_e UNION ALL SELECT * FROM del_e)"
+_WHOLE = f"{_UNION}, {_delaunay('u_del', 'SELECT * FROM u_pts')}, w_e AS (SELECT * FROM u_e UNION ALL SELECT * FROM u_del_e)"
+
+
 def graph_points(t: Tables) -> DataFrame:
     return t.borings.select(F.col("boring_id").alias("id"), F.col("x_ft").alias("x"), F.col("y_ft").alias("y"), F.col("pid").alias("unit"))
 
@@ -153,36 +173,36 @@ def same_geology_edges(t: Tables) -> DataFrame:
     return graph.same_unit_edges(graph_points(t))
 
 
-@query("delaunay_edges")
+@query("delaunay_edges", f"WITH {_DEL} SELECT src, dst, weight FROM del_e")
 def delaunay_edges(t: Tables) -> DataFrame:
     return graph.delaunay_edges(graph_points(t).select("id", "x", "y"))
 
 
-@query("boring_graph")
+@query("boring_graph", f"WITH {_GRAPH} SELECT * FROM g_e")
 def boring_graph(t: Tables) -> DataFrame:
     return graph.boring_graph(graph_points(t))
 
 
-@query("edge_type_counts", f"WITH {_KNN}, {_UNIT} SELECT edge_type, count(*) AS n FROM (SELECT * FROM knn_e UNION ALL SELECT * FROM unit_e) GROUP BY edge_type")
+@query("edge_type_counts", f"WITH {_GRAPH} SELECT edge_type, count(*) AS n FROM g_e GROUP BY edge_type")
 def edge_type_counts(t: Tables) -> DataFrame:
-    return report.count_by(graph.boring_graph(graph_points(t), delaunay=False), "edge_type")
+    return report.count_by(graph.boring_graph(graph_points(t)), "edge_type")
 
 
-@query("edge_subset", f"WITH {_KNN}, {_UNIT} SELECT * FROM (SELECT * FROM knn_e UNION ALL SELECT * FROM unit_e) WHERE edge_type IN ('knn')")
+@query("edge_subset", f"WITH {_GRAPH} SELECT * FROM g_e WHERE edge_type IN ('knn', 'delaunay')")
 def edge_subset(t: Tables) -> DataFrame:
-    return graph.boring_graph(graph_points(t), delaunay=False).where(F.col("edge_type").isin("knn"))
+    return graph.edge_subset(graph.boring_graph(graph_points(t)), ["knn", "delaunay"])
 
 
 def union_edges(t: Tables) -> DataFrame:
-    return graph.union_graph(graph_points(t), graph_labels(t), delaunay=False)
+    return graph.union_graph(graph_points(t), graph_labels(t))
 
 
-@query("union_graph", f"WITH {_UNION} SELECT *, CASE WHEN src LIKE 'b:%' THEN 'boring' ELSE 'label' END AS src_type, CASE WHEN dst LIKE 'b:%' THEN 'boring' ELSE 'label' END AS dst_type FROM u_e")
+@query("union_graph", f"WITH {_WHOLE} SELECT *, CASE WHEN src LIKE 'b:%' THEN 'boring' ELSE 'label' END AS src_type, CASE WHEN dst LIKE 'b:%' THEN 'boring' ELSE 'label' END AS dst_type FROM w_e")
 def union_graph(t: Tables) -> DataFrame:
     return union_edges(t)
 
 
-@query("k_hop_reachability", f"""WITH {_UNION}, ways AS (SELECT src, dst FROM u_e UNION SELECT dst, src FROM u_e), r0 AS (SELECT DISTINCT src AS id FROM ways WHERE src LIKE 'b:%'), r1 AS (SELECT id FROM r0 UNION SELECT dst FROM ways JOIN r0 ON src = id),
+@query("k_hop_reachability", f"""WITH {_WHOLE}, ways AS (SELECT src, dst FROM w_e UNION SELECT dst, src FROM w_e), r0 AS (SELECT DISTINCT src AS id FROM ways WHERE src LIKE 'b:%'), r1 AS (SELECT id FROM r0 UNION SELECT dst FROM ways JOIN r0 ON src = id),
     r2 AS (SELECT id FROM r1 UNION SELECT dst FROM ways JOIN r1 ON src = id), r3 AS (SELECT id FROM r2 UNION SELECT dst FROM ways JOIN r2 ON src = id), lab AS (SELECT DISTINCT src AS id FROM ways WHERE src LIKE 'l:%')
     SELECT count(*) AS labels, count(r3.id) AS reached, round(count(r3.id) / count(*), 6) AS share FROM lab LEFT JOIN r3 USING (id)""")
 def k_hop_reachability(t: Tables) -> DataFrame:
@@ -194,11 +214,11 @@ def directed_edges(t: Tables) -> DataFrame:
     return graph.directed(graph.knn_edges(graph_points(t)))
 
 
-@query("neighbor_mean", f"""WITH {_KNN}, {_UNIT}, e AS (SELECT * FROM knn_e UNION ALL SELECT * FROM unit_e), d AS (SELECT src, dst, edge_type FROM e UNION ALL SELECT dst, src, edge_type FROM e)
+@query("neighbor_mean", f"""WITH {_GRAPH}, d AS (SELECT src, dst, edge_type FROM g_e UNION ALL SELECT dst, src, edge_type FROM g_e)
     SELECT dst AS id, edge_type, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM d JOIN ({_PTS}) AS p ON p.id = src GROUP BY dst, edge_type""")
 def neighbor_mean(t: Tables) -> DataFrame:
     points = graph_points(t)
-    return graph.neighbor_mean(graph.boring_graph(points, delaunay=False), points, ["x", "y"])
+    return graph.neighbor_mean(graph.boring_graph(points), points, ["x", "y"])
 
 
 @query("edge_set_diff", f"""WITH {_KNN}, {_near('n6', _PTS, _PTS, 6, True)}, {_edges('six_e', 'n6', 'knn', _W)}
@@ -223,40 +243,20 @@ def knn_join(t: Tables) -> DataFrame:
     return knn.knn(graph_labels(t), graph_points(t), 3)
 
 
-# The whole graph, Delaunay edges included; SQL cannot state them cheaply, so the queries above with SQL go without.
-
-
-def whole_edges(t: Tables) -> DataFrame:
-    return graph.union_graph(graph_points(t), graph_labels(t))
-
-
 def union_points(t: Tables) -> DataFrame:
     """Nodes of the union graph."""
     b, lab = (rows.withColumn("id", F.concat(F.lit(k), F.col("id").cast("string"))) for k, rows in (("b:", graph_points(t)), ("l:", graph_labels(t))))
     return b.unionByName(lab)
 
 
-@query("union_graph_delaunay")
-def union_graph_delaunay(t: Tables) -> DataFrame:
-    return whole_edges(t)
-
-
-@query("edge_type_counts_delaunay")
-def edge_type_counts_delaunay(t: Tables) -> DataFrame:
-    return report.count_by(graph.boring_graph(graph_points(t)), "edge_type")
-
-
-@query("neighbor_mean_delaunay")
-def neighbor_mean_delaunay(t: Tables) -> DataFrame:
-    points = graph_points(t)
-    return graph.neighbor_mean(graph.boring_graph(points), points, ["x", "y"])
-
-
-@query("k_hop_reachability_delaunay")
-def k_hop_reachability_delaunay(t: Tables) -> DataFrame:
-    return graph.reachability(stored(whole_edges(t), "union-edges"))
+_HOPS = "\n    ".join(
+    f"""n{h} AS (SELECT d.dst AS id, d.edge_type, avg(v.x) AS x FROM ways AS d JOIN h{h - 1} AS v ON v.id = d.src GROUP BY d.dst, d.edge_type), h{h} AS (SELECT p.id, coalesce(m.x, 0) AS x FROM h0 AS p LEFT JOIN (SELECT id, avg(x) AS x FROM n{h} GROUP BY id) AS m USING (id)),"""
+    for h in (1, 2, 3)
+)
 
 
-@query("graph_context_features_delaunay")
-def graph_context_features_delaunay(t: Tables) -> DataFrame:
-    return graph.graph_context(stored(whole_edges(t), "union-edges"), union_points(t).withColumn("x", F.ln("x")), ["x"])
+@query("graph_context_features_union", f"""WITH {_WHOLE}, ways AS (SELECT src, dst, edge_type FROM w_e UNION ALL SELECT dst, src, edge_type FROM w_e), h0 AS (SELECT id, ln(x) AS x FROM u_pts),
+    {_HOPS} z AS (SELECT 1)
+    SELECT h0.id, round(h0.x, 6) AS x, round(h1.x, 6) AS x_1, round(h2.x, 6) AS x_2, round(h3.x, 6) AS x_3 FROM h0 JOIN h1 USING (id) JOIN h2 USING (id) JOIN h3 USING (id)""")
+def graph_context_features_union(t: Tables) -> DataFrame:
+    return graph.graph_context(stored(union_edges(t), "union-edges"), union_points(t).withColumn("x", F.ln("x")), ["x"])

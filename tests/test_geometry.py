@@ -123,3 +123,15 @@ def test_null_geometry_is_flagged(spark):
     rows = spark.createDataFrame([(None, None, None, None), (-80.0, 40.0, None, None), (-74.5, 40.0, 0.0, 0.0), (-74.5, 40.0, None, None)], "lon double, lat double, point_x double, point_y double")
     assert [r.coord_quality_flag for r in normalize.coord_quality(rows).collect()] == ["no_geom", "out_of_nj_bbox", "xy_geom_mismatch", "ok"]
     assert rows.select(F.lit(1)).count() == 4
+
+
+def test_delaunay_of_crowded_places_and_lines(spark, monkeypatch):
+    """A dense cluster far from a few others, a grid of cocircular points, and points on one line."""
+    monkeypatch.setattr(delaunay, "TILE_LIMIT", 60)
+    rng = random.Random(8)
+    crowd = {f"c{i:02d}": (5000 + rng.gauss(0, 1), 5000 + rng.gauss(0, 1)) for i in range(70)} | {f"f{i}": (rng.uniform(0, 9000), rng.uniform(0, 9000)) for i in range(12)}
+    grid = {f"g{i}{j}": (float(i), float(j)) for i in range(6) for j in range(6)}
+    line = {f"l{i}": (float(i * i), 3.0) for i in range(8)}
+    for points in (crowd, grid, line):
+        df = spark.createDataFrame([(k, *v) for k, v in points.items()], "id string, x double, y double")
+        assert {(r.src, r.dst) for r in delaunay.delaunay_edges(df, 3).collect()} == circles(points)

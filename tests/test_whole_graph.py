@@ -26,13 +26,15 @@ def tables(spark):
 
 def test_union_graph_has_delaunay_edges(tables):
     points = {f"b:{r[0]}": (r[1], r[2]) for r in tables.borings.collect()} | {f"l:{r[0]}": (r[1], r[2]) for r in tables.soil_labels.collect()}
-    rows = spatial.union_graph_delaunay(tables).collect()
+    rows = spatial.union_graph(tables).collect()
     assert {(r.src, r.dst) for r in rows if r.edge_type == "delaunay"} == circles(points)
     assert {r.edge_type for r in rows} == {"knn", "delaunay", "same_geology", "label_boring"}
 
 
-def test_names_are_registered():
-    assert {f"{n}_delaunay" for n in ("union_graph", "edge_type_counts", "neighbor_mean", "k_hop_reachability", "graph_context_features")} <= set(entry.queries())
+def test_few_points_make_no_graph_if_asked(spark):
+    points = spark.createDataFrame([(f"p{i}", float(i), float(i * i), "u") for i in range(9)], "id string, x double, y double, unit string")
+    assert graph.boring_graph(points, few_points=False).collect() == [] and graph.boring_graph(points).count() > 0
+    assert graph.boring_graph(points, k=7, few_points=False).count() > 0
 
 
 def test_graph_model_sees_the_whole_graph(tables, monkeypatch):
