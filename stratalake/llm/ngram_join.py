@@ -6,7 +6,7 @@ global order (shingles that many texts share come last in it), so classes meet i
 A tile is sorted by set size and only sizes within the threshold of each other, a band of it, are compared, by
 parity bitmaps: the bits in which two bitmaps differ bound the symmetric difference from below, and so the overlap
 from above.  Classes that pass with any other meet once more with their sorted hash arrays and are intersected in
-their task.  What leaves a task is a forest of true links, never a pair that only might link.
+their task.  What leaves a task is a star for each component of true links, never a pair that only might link.
 
 A large tile is dealt into parts, each a unit of its own.  When the links inside the parts are known, classes outside
 the tile's largest component meet all parts; a tile that one component fills is done by then.  So a group of near
@@ -277,15 +277,26 @@ def _screen(percent: int):
 
 
 def _settle(percent: int):
-    """Links of whole units, by exact intersection; a pair that does not link stays in its task."""
+    """Of whole units the roots that exact intersection joins, each with the least root of its component in the unit.
+
+    A pair that does not link stays in its task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_units(batches):
             sets = [np.frombuffer(x, np.uint64) for x in table["members"].to_pylist()]
             units = _Units(table, [signature(s) for s in sets], percent)
-            units.root = units.root.copy()
-            found = np.array(list(units.links(sets)), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(units.ids[found[:, k]], pa.int64()) for k in (0, 1)], ["a", "b"])
+            before, units.root = units.root, units.root.copy()
+            joined = {int(np.searchsorted(units.bounds, i, "right")) - 1 for i, _ in units.links(sets)}
+            stars = [np.zeros((0, 2), np.int64)]
+            for u in joined:
+                a, b = units.bounds[u : u + 2]
+                _, part = np.unique(units.root[a:b], return_inverse=True)
+                low = np.full(part.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(low, part, before[a:b])
+                stars.append(np.stack([before[a:b], low[part]], 1)[before[a:b] != low[part]])
+            found = np.unique(np.concatenate(stars), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, k], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
@@ -310,7 +321,7 @@ def _arrays(n: int):
 
 
 def _links(units: DataFrame, bits: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """(a, b): links that join different roots of ``units`` (unit, side, root, set_id, n).
+    """(a, b): stars over different roots of ``units`` (unit, side, root, set_id, n) whose sets link.
 
     Bitmaps say which rows of a unit may link at all; those meet again with their sorted hash arrays, made where the
     texts of their classes lie, and are intersected.
@@ -399,14 +410,17 @@ def similar_groups(
     parted = tiles.join(large, "tile", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(5), "tile", "set_id"), F.col("parts")).cast("int")
     units = parted.select(F.xxhash64("tile", own).alias("unit"), F.lit(0).alias("side"), F.col("set_id").alias("root"), "set_id", "n")
-    links = _links(units, bits, classes, base, n, percent, broadcast_rows)
-    roots = components(links)
+    roots = components(_links(units, bits, classes, base, n, percent, broadcast_rows)).select(F.col("node").alias("set_id"), "root")
     if large.limit(1).count():
-        crossed = stored(_crossed(tiles.join(large, "tile"), roots.select(F.col("node").alias("set_id"), "root")), "crossed")
-        if crossed.limit(1).count():
-            links = links.unionByName(_links(crossed, bits, classes, base, n, percent, broadcast_rows))
-            roots = components(links)
-    members = classes.join(roots.select(F.col("node").alias("set_id"), "root"), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        crossed = stored(_crossed(tiles.join(large, "tile"), roots), "crossed")
+        more = _links(crossed, bits, classes, base, n, percent, broadcast_rows)
+        if more.limit(1).count():
+            # links of roots: sets follow theirs
+            above = components(more).select(F.col("node").alias("root"), F.col("root").alias("top"))
+            every = roots.unionByName(above.select(F.col("root").alias("set_id"), "root")).distinct()
+            roots = every.join(above, "root", "left").select("set_id", F.coalesce("top", "root").alias("root")).distinct()
+        forget(crossed)
+    members = classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = members.groupBy("root").agg(F.min("low_doc").alias("component_id"))
     named = members.join(lowest, "root").select("set_id", "root", "component_id")
     filled = sets.withColumn("set_id", F.when(F.col("n_shingles") > 0, F.col("set_id")))
