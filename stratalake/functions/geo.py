@@ -16,15 +16,21 @@ E2 = (2 - 1 / INV_F) / INV_F
 EP2 = E2 / (1 - E2)
 
 
+def _arc_terms() -> tuple[float, ...]:
+    """Factors of lat, sin 2 lat, sin 4 lat and sin 6 lat in the meridian arc length."""
+    e4, e6 = E2 * E2, E2**3
+    return 1 - E2 / 4 - 3 * e4 / 64 - 5 * e6 / 256, -(3 * E2 / 8 + 3 * e4 / 32 + 45 * e6 / 1024), 15 * e4 / 256 + 45 * e6 / 1024, -(35 * e6 / 3072)
+
+
 def _arc(lat: str) -> str:
     """Meridian arc length from the equator."""
-    e4, e6 = E2 * E2, E2**3
-    terms = (1 - E2 / 4 - 3 * e4 / 64 - 5 * e6 / 256, 3 * E2 / 8 + 3 * e4 / 32 + 45 * e6 / 1024, 15 * e4 / 256 + 45 * e6 / 1024, 35 * e6 / 3072)
-    return f"({A!r} * ({terms[0]:.17e} * {lat} - {terms[1]:.17e} * sin(2 * {lat}) + {terms[2]:.17e} * sin(4 * {lat}) - {terms[3]:.17e} * sin(6 * {lat})))"
+    t = _arc_terms()
+    return f"({A!r} * (({t[0]:.17e}) * {lat} + ({t[1]:.17e}) * sin(2 * {lat}) + ({t[2]:.17e}) * sin(4 * {lat}) + ({t[3]:.17e}) * sin(6 * {lat})))"
 
 
 def _arc_at(lat: float) -> float:
-    return eval(_arc(repr(lat)), {"sin": math.sin})  # noqa: S307 - our own text
+    t = _arc_terms()
+    return A * (t[0] * lat + sum(t[k] * math.sin(2 * k * lat) for k in (1, 2, 3)))
 
 
 def project_sql(lon: str, lat: str) -> tuple[str, str]:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from stratalake.functions.geo import block_id
 from stratalake.operators.knn import knn
 from stratalake.operators.normalize import SAFE_COLUMNS, guard_features, sanity_gate
+from stratalake.storage import shared_dir, stored
 
 
 def union_nodes(borings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,7 +211,12 @@ def boosted_trees(train: DataFrame, test: DataFrame, columns: list[str], label:
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
+    spark = train.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark, "boosting"))
     assemble = VectorAssembler(inputCols=guard_features(columns), outputCol="features")
-    model = GBTRegressor(labelCol=label, predictionCol="mu", maxIter=rounds, seed=seed).fit(assemble.transform(train))
-    sigma = model.transform(assemble.transform(train)).agg(F.stddev_pop(F.col(label) - F.col("mu"))).first()[0]
+    fitted = stored(train.select(*columns, label), "boosting-rows")
+    # each round's errors build on the last one's: checkpoints keep their lineage short
+    model = GBTRegressor(labelCol=label, predictionCol="mu", maxIter=rounds, checkpointInterval=10, cacheNodeIds=False, seed=seed).fit(assemble.transform(fitted))
+    sigma = model.transform(assemble.transform(fitted)).agg(F.stddev_pop(F.col(label) - F.col("mu"))).first()[0]
     return model.transform(assemble.transform(test)).withColumn("sigma", F.lit(sigma)).drop("features")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalake.functions.geo import project
 
+#: Fixed bounds of valid coordinates, and how far a stored position may be off.
 BBOX = (-75.7, 38.8, -73.8, 41.4)
 TOLERANCE_FT = 50.0
 #: Fixed tokens of field names.
@@ -19,6 +20,11 @@ def fallback_id(lid: Column, objectid: Column) -> Column:
     return F.coalesce(lid, F.concat(F.lit("OID-"), objectid.cast("string")))
 
 
+def page_number(text: Column) -> Column:
+    """A page number kept as text; null where it is no number."""
+    return F.nullif(text, F.lit("")).try_cast("int")
+
+
 def coord_quality(rows: DataFrame, bbox: tuple[float, float, float, float] = BBOX, tolerance: float = TOLERANCE_FT) -> DataFrame:
     """``rows`` (lon, lat, point_x, point_y) with coord_quality_flag; the first that holds."""
     x, y = project("lon", "lat")

@@ -102,3 +102,9 @@ def sanity(derived: DataFrame) -> DataFrame:
         F.count_if(~F.col("phi_peck_deg").between(20, 45)).alias("phi_out"),
         F.count_if(F.col("su_tsf") <= 0).alias("su_not_positive"),
     )
+
+
+def monotone_violations(rows: DataFrame, column: str = "sigma_eff_v0_tsf", tolerance: float = 1e-6) -> DataFrame:
+    """(boring_id, n): per boring how often ``column`` falls with depth."""
+    before = F.lag(column).over(Window.partitionBy("boring_id").orderBy("depth_ft", "interval_index"))
+    return rows.where("depth_ft IS NOT NULL").withColumn("_p", before).where(F.col(column) < F.col("_p") - tolerance).groupBy("boring_id").agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from stratalake.operators.normalize import SAFE_COLUMNS
 from stratalake.plans.fixtures import Tables
 from stratalake.plans.registry import query
 from stratalake.plans.soils import _DERIVED
-from stratalake.plans.spatial import _LAB, _PTS, _near, graph_labels, graph_points, union_points, union_edges
+from stratalake.plans.spatial import _LAB, _PTS, _near, covariates, graph_labels, graph_points, union_points, union_edges
 from stratalake.storage import stored
 
 
@@ -224,12 +224,29 @@ def fold_wins(t: Tables) -> DataFrame:
     return metrics.fold_wins(fold_results(t), "a", "b")
 
 
+_CV = f"SELECT method, metric, avg(value) AS value FROM ({_RESULTS_SQL}) AS r WHERE NOT isnan(value) GROUP BY method, metric"
+
+
+@query("ablation_table", f"WITH m AS ({_CV}) SELECT m.method, m.metric, round(m.value, 6) AS value, round(m.value - b.value, 6) + 0e0 AS delta FROM m LEFT JOIN m AS b ON b.metric = m.metric AND b.method = 'a'")
+def ablation_table(t: Tables) -> DataFrame:
+    return metrics.ablation(fold_results(t), "a")
+
+
+def indexed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with an index for each column."""
+    return features.encode(rows, features.vocabulary(rows, columns), columns)
+
+
 @query("random_forest_baseline")
 def random_forest_baseline(t: Tables) -> DataFrame:
     nodes = class_nodes(t).where("class_id IS NOT NULL")
-    rows = nodes.join(features.vocabulary(nodes, ["unit"]).select(F.col("value").alias("unit"), F.col("idx").alias("unit_idx")), "unit", "left").na.fill({"unit_idx": 0})
+    units = ["surficial_unit", "bedrock_unit", "ssurgo_component"]
+    rows = nodes.join(covariates(t, t.soil_labels, "objectid").select(F.col("id").cast("string").alias("id"), *units), "id", "left")
+    numbers = features.node_numeric(nodes.withColumn("elevation", F.lit(None).cast("double")))
+    rows = indexed(rows, ["unit", *units]).join(numbers, "id")
+    columns = ["x", "y", *[f"{c}_idx" for c in ("unit", *units)], *[c for c in numbers.columns if c != "id"]]
     test = F.expr("CAST(id AS INT) % 5 = 0")
-    return features.random_forest(rows.where(~test), rows.where(test), ["x", "y", "unit_idx"]).select("id", "class_id", F.col("prediction").cast("int").alias("pred"))
+    return features.random_forest(rows.where(~test), rows.where(test), columns).select("id", "class_id", F.col("prediction").cast("int").alias("pred"))
 
 
 @query("graph_model_baseline")
@@ -245,6 +262,9 @@ def graph_model_baseline(t: Tables) -> DataFrame:
 @query("boosted_trees_baseline")
 def boosted_trees_baseline(t: Tables) -> DataFrame:
     rows = features.depth_samples(t.strata, profile.derive(t.strata)).where("y_spt_log IS NOT NULL").withColumnRenamed("y_spt_log", "y")
+    units = ["surficial_unit", "bedrock_unit"]
+    geology = covariates(t).select(F.col("id").alias("boring_id"), *units)
+    rows = indexed(rows.join(geology, "boring_id", "left"), units)
     test = F.col("interval_index") % 5 == 0
-    columns = ["depth_std", *[f"{c}_{k}" for c in ("sigma_v0_tsf", "sigma_eff_v0_tsf", "gamma_pcf") for k in ("std", "mask")]]
+    columns = ["depth_std", *[f"{c}_idx" for c in units], *[f"{c}_{k}" for c in ("sigma_v0_tsf", "sigma_eff_v0_tsf", "gamma_pcf") for k in ("std", "mask")]]
     return features.boosted_trees(rows.where(~test), rows.where(test), columns).select("boring_id", "interval_index", "y", "mu", "sigma")

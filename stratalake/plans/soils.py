@@ -133,14 +133,16 @@ def derived_sanity(t: Tables) -> DataFrame:
     return profile.sanity(profile.derive(t.strata))
 
 
-@query("stress_monotone_violations", f"""WITH {_DERIVED}, s AS (SELECT boring_id, sigma_eff_v0_tsf AS e, lag(sigma_eff_v0_tsf) OVER (PARTITION BY boring_id ORDER BY depth_ft, interval_index) AS p FROM derived WHERE depth_ft IS NOT NULL)
+_UPSET = "CASE WHEN interval_index % 4 = 3 THEN e * 0.5e0 ELSE e END"
+
+
+@query("stress_monotone_violations", f"""WITH {_DERIVED}, u AS (SELECT boring_id, interval_index, depth_ft, sigma_eff_v0_tsf AS e FROM derived WHERE depth_ft IS NOT NULL),
+    s AS (SELECT boring_id, {_UPSET} AS e, lag({_UPSET}) OVER (PARTITION BY boring_id ORDER BY depth_ft, interval_index) AS p FROM u)
     SELECT boring_id, count(*) AS n FROM s WHERE e < p - 1e-6 GROUP BY boring_id""")
 def stress_monotone_violations(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("boring_id").orderBy("depth_ft", "interval_index")
-    rows = profile.stresses(t.strata).where("depth_ft IS NOT NULL").withColumn("p", F.lag("sigma_eff_v0_tsf").over(w))
-    return rows.where("sigma_eff_v0_tsf < p - 1e-6").groupBy("boring_id").agg(F.count(F.lit(1)).alias("n"))
+    """Stresses of which every fourth is halved, so that there is something to find."""
+    rows = profile.stresses(t.strata).withColumn("sigma_eff_v0_tsf", F.expr(_UPSET.replace("e *", "sigma_eff_v0_tsf *").replace("ELSE e", "ELSE sigma_eff_v0_tsf")))
+    return profile.monotone_violations(rows)
 
 
 _COUNTED = ("n60", "n1_60", "phi_peck_deg", "su_tsf", "sigma_v0_tsf")
@@ -239,7 +241,7 @@ def ocr_boxes(t: Tables) -> DataFrame:
     own = F.when(spoon, F.array(
         box(9, 200, y, F.concat(F.lit("S-"), (i + 1).cast("string"))), box(10, 260, y + 3, F.coalesce(F.col("top_depth").cast("string"), F.lit("-"))), box(11, 330, y + 1, F.coalesce(F.col("bottom_depth").cast("string"), F.lit("-"))),
         box(12, 400, y, F.lit("5")), box(13, 450, y + 2, F.coalesce(F.col("spt_n").cast("string"), F.lit("-"))), box(14, 500, y - 2, F.lit("1")), box(15, 700, y, phrase),
-    )).otherwise(F.array(box(9, 50, y, (10 + 5 * i).cast("string")), box(15, 500, y + 10, phrase)))
+    )).otherwise(F.array(box(9, 50, y + (F.col("o") % 7) * (i % 3), (10 + 5 * i).cast("string")), box(15, 500, y + 10, phrase)))
     head = s.select("boring_id", "o").distinct()
     h = lambda seq, yy, text: F.struct(F.lit(seq).alias("seq"), F.lit(500.0).alias("x"), F.lit(yy).alias("y"), text.alias("text"))
     title = head.select("boring_id", F.explode(F.array(
@@ -263,14 +265,25 @@ def spoon_format_pages(t: Tables) -> DataFrame:
     return log_ops.page_text(ocr_boxes(t)).where(log_ops.is_spoon(F.col("emitted"))).select("boring_id")
 
 
-@query("depth_axis_fit", f"SELECT boring_id, 0.05e0 AS a, 0e0 AS b FROM ({_BOX}) AS b WHERE o % 2 = 1 GROUP BY boring_id HAVING count(*) >= 3")
+_TICK_Y = "(200e0 + 100 * interval_index + (o % 7) * (interval_index % 3))"
+_AXIS = f"SELECT boring_id, regr_slope(10e0 + 5 * interval_index, {_TICK_Y}) AS a, regr_intercept(10e0 + 5 * interval_index, {_TICK_Y}) AS b FROM ({_BOX}) AS b WHERE o % 2 = 1 GROUP BY boring_id HAVING count(*) >= 3"
+
+
+@query("depth_axis_fit", f"SELECT boring_id, round(a, 6) + 0e0 AS a, round(b, 6) + 0e0 AS b FROM ({_AXIS}) AS x")
 def depth_axis_fit(t: Tables) -> DataFrame:
     return log_ops.depth_axis(ocr_boxes(t)).select("boring_id", "a", "b")
 
 
-_GENERIC = f"""SELECT boring_id, row_number() OVER (PARTITION BY boring_id ORDER BY i) - 1 AS k, CASE WHEN n >= 3 THEN 10.5e0 + 5 * i END AS a, CASE WHEN n >= 3 THEN 10.5e0 + 5 * lead(i) OVER (PARTITION BY boring_id ORDER BY i) END AS b, f,
+def _generic(where: str) -> str:
+    """Intervals of descriptive pages over the boxes that ``where`` keeps."""
+    box = f"(SELECT * FROM ({_BOX}) AS b WHERE o % 2 = 1 AND {where})"
+    axis = _AXIS.replace(f"({_BOX})", box)
+    return f"""SELECT boring_id, row_number() OVER (PARTITION BY boring_id ORDER BY i) - 1 AS k, y AS a, CASE WHEN y IS NOT NULL THEN lead(y) OVER (PARTITION BY boring_id ORDER BY i) END AS b, f,
     CAST(NULL AS INT) AS spt, CASE WHEN o % 3 = 0 THEN CAST(o % 40 AS DOUBLE) END AS gw, CAST(o % 300 AS DOUBLE) AS el, round(0.36e0 + 0.6e0 * c, 2) AS conf
-    FROM (SELECT boring_id, o, interval_index AS i, count(*) OVER (PARTITION BY boring_id) AS n, {_family('((o + interval_index) % 12)')} AS f, {_family_conf('((o + interval_index) % 12)')} AS c FROM ({_BOX}) AS b WHERE o % 2 = 1) AS g WHERE f IS NOT NULL"""
+    FROM (SELECT g.boring_id, o, interval_index AS i, round(a * (210e0 + 100 * interval_index) + b, 2) AS y, {_family('((o + interval_index) % 12)')} AS f, {_family_conf('((o + interval_index) % 12)')} AS c FROM {box} AS g LEFT JOIN ({axis}) AS x USING (boring_id)) AS h WHERE f IS NOT NULL"""
+
+
+_GENERIC = _generic("true")
 _SPOON = f"""SELECT boring_id, interval_index AS k, a, b, {_family('((o + interval_index) % 12)')} AS f, coalesce(CASE WHEN spt_n < 100 THEN spt_n END, 5) + 1 AS spt, CASE WHEN o % 3 = 0 THEN CAST(o % 40 AS DOUBLE) END AS gw, CAST(o % 300 AS DOUBLE) AS el,
     CASE WHEN a IS NULL THEN 0.7e0 ELSE 1e0 END AS conf, 'S' || (interval_index + 1) AS sample FROM (SELECT *, coalesce(t1, b1) AS a, CASE WHEN t1 IS NOT NULL THEN b1 END AS b FROM (SELECT *, CASE WHEN top_depth < 100 THEN top_depth END AS t1, CASE WHEN bottom_depth BETWEEN 0 AND 99.9 THEN bottom_depth WHEN bottom_depth < 0 THEN -bottom_depth END AS b1 FROM ({_BOX}) AS b WHERE o % 2 = 0)) AS s"""
 
@@ -292,9 +305,16 @@ def boxes_spoon(t: Tables) -> DataFrame:
     return log_ops.parse_spoon(pages_of(t, True)).drop("page")
 
 
-@query("ocr_page_policy", f"SELECT boring_id, CAST(k AS INT) AS interval_index, a AS top_depth, f AS uscs_class FROM (SELECT boring_id, k, a, f FROM ({_SPOON}) AS s UNION ALL SELECT boring_id, k, a, f FROM ({_GENERIC}) AS g) AS u")
+def paged_boxes(t: Tables) -> DataFrame:
+    """Boxes over several pages: spoon logs with one interval a page, the others with four; heads on page 1 only."""
+    per_page = F.when(F.substring("boring_id", 2, 9).cast("int") % 2 == 0, 20).otherwise(80)
+    return ocr_boxes(t).withColumn("page", (F.floor(F.col("seq") / per_page) + 1).cast("int"))
+
+
+@query("ocr_page_policy", f"""SELECT boring_id, CAST(k AS INT) AS interval_index, a AS top_depth, f AS uscs_class FROM (SELECT boring_id, k, a, f FROM ({_SPOON}) AS s WHERE k < 4
+    UNION ALL SELECT boring_id, k, a, f FROM ({_generic('interval_index < 4')}) AS g) AS u""")
 def ocr_page_policy(t: Tables) -> DataFrame:
-    return log_ops.parse_pages(ocr_boxes(t)).select("boring_id", "interval_index", "top_depth", "uscs_class")
+    return log_ops.parse_pages(paged_boxes(t)).select("boring_id", "interval_index", "top_depth", "uscs_class")
 
 
 @query("parse_outcomes", f"""WITH l AS ({_LINES_SQL}), ok AS (SELECT DISTINCT boring_id FROM (SELECT boring_id, CAST({_re(logs.DEPTH)} AS DOUBLE) AS a, CAST({_re(logs.DEPTH, 2)} AS DOUBLE) AS b FROM l) WHERE b >= a AND b - a <= 100)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalake.functions import geo
@@ -10,15 +10,17 @@ from stratalake.operators import normalize
 from stratalake.plans.fixtures import Tables
 from stratalake.plans.registry import query
 from stratalake.sources import geojson, tables
+from stratalake.storage import shared_dir
+from stratalake.streaming.ingest import ingest_logs, ingest_pages
 
 _X, _Y = geo.project_sql("lon", "lat")
 
 
-def page_payloads(t: Tables, per_page: int = 200) -> DataFrame:
+def page_payloads(t: Tables, per_page: int = 200, label: Column | None = None) -> DataFrame:
     """(src_offset, payload): borings as GeoJSON page texts."""
     b = t.borings
     properties = F.create_map(
-        F.lit("OBJECTID"), F.col("objectid").cast("string"), F.lit("LID"), F.when(F.col("objectid") % 3 != 0, F.col("boring_id")), F.lit("LABEL"), F.col("label"), F.lit("PID"), F.col("pid"),
+        F.lit("OBJECTID"), F.col("objectid").cast("string"), F.lit("LID"), F.when(F.col("objectid") % 3 != 0, F.col("boring_id")), F.lit("LABEL"), F.col("label") if label is None else label, F.lit("PID"), F.col("pid"),
         F.lit("SRCE"), F.when(F.col("objectid") % 5 == 0, F.lit("x")).otherwise((F.col("objectid") % 9).cast("string")), F.lit("POINT_X"), F.col("x_ft").cast("string"), F.lit("POINT_Y"), F.lit(""),
     )
     geometry = F.when(F.col("lon").isNotNull(), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")))
@@ -59,17 +61,19 @@ def header_json_table(t: Tables) -> DataFrame:
     return geojson.header_table(payload, {"cokey": "string", "mukey": "string", "compname": "string", "comppct_r": "int"})
 
 
-_INFOS = "SELECT l_orderkey AS objectid, l_linenumber AS n, min(l_partkey) AS id, min(CASE WHEN l_partkey % 3 = 0 THEN 'application/pdf' ELSE 'image/tiff' END) AS kind FROM lineitem WHERE l_quantity > 10 GROUP BY l_orderkey, l_linenumber"
+_INFOS = "SELECT l_orderkey AS objectid, l_linenumber AS n, min(l_partkey) AS id, min(CASE WHEN l_partkey % 3 = 0 THEN 'application/pdf' ELSE 'image/tiff' END) AS kind FROM lineitem GROUP BY l_orderkey, l_linenumber"
 
 
 @query("attachment_pick", f"""
-    WITH a AS ({_INFOS}), r AS (SELECT *, row_number() OVER (PARTITION BY objectid ORDER BY kind <> 'application/pdf', n) AS k FROM a)
+    WITH a AS ({_INFOS}), r AS (SELECT *, row_number() OVER (PARTITION BY objectid ORDER BY kind <> 'application/pdf', n) AS k FROM a WHERE objectid % 7 <> 0)
     SELECT objectid, id AS attachment_id, 'log' || id AS name, kind AS content_type, 'https://host/x/' || objectid || '/attachments/' || id AS log_url FROM r WHERE k = 1""")
 def attachment_pick(t: Tables) -> DataFrame:
-    infos = t.lineitem.where("l_quantity > 10").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("id"), F.min(F.when(F.col("l_partkey") % 3 == 0, "application/pdf").otherwise("image/tiff")).alias("kind"))
+    infos = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("id"), F.min(F.when(F.col("l_partkey") % 3 == 0, "application/pdf").otherwise("image/tiff")).alias("kind"))
     info = F.struct(F.col("id"), F.concat(F.lit("log"), F.col("id").cast("string")).alias("name"), F.col("kind").alias("contentType"), F.lit(1).alias("size"))
     groups = infos.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), info.alias("i")))), lambda x: x["i"]).alias("attachmentInfos"))
-    group = F.struct(F.col("l_orderkey").alias("parentObjectId"), "attachmentInfos")
+    # some parents have no files
+    files = F.when(F.col("l_orderkey") % 7 == 0, F.slice("attachmentInfos", 1, 0)).otherwise(F.col("attachmentInfos"))
+    group = F.struct(F.col("l_orderkey").alias("parentObjectId"), files.alias("attachmentInfos"))
     return geojson.pick_attachments(groups.select(F.to_json(F.struct(F.array(group).alias("attachmentGroups"))).alias("payload")), "https://host/x")
 
 
@@ -239,12 +243,45 @@ def work_cap(t: Tables) -> DataFrame:
     return t.orders.where("o_orderstatus = 'O'").select("o_orderkey").orderBy("o_orderkey").limit(500)
 
 
-@query("incremental_page_ingest")
+@query("incremental_page_ingest", """
+    SELECT CAST(floor(objectid / 200e0) * 200 AS BIGINT) AS src_offset, objectid, CASE WHEN objectid % 3 <> 0 THEN boring_id END AS lid, CASE WHEN floor(objectid / 200e0) % 3 = 1 THEN 'second' ELSE label END AS label, lon, lat
+    FROM borings WHERE floor(objectid / 200e0) % 3 <> 2""")
 def incremental_page_ingest(t: Tables) -> DataFrame:
-    from stratalake.storage import shared_dir
-    from stratalake.streaming.ingest import ingest_pages
-
+    """Pages land twice: every third one with other labels, every third one empty."""
     home = shared_dir(t.spark, "ingest")
-    page_payloads(t).write.parquet(f"{home}/landed")
+    pages = page_payloads(t)
+    pages.write.parquet(f"{home}/landed")
+    ingest_pages(t.spark, f"{home}/landed", f"{home}/table", f"{home}/checkpoint")
+    turn = F.floor(F.col("src_offset") / 200) % 3
+    again = page_payloads(t, label=F.lit("second")).where(turn == 1).unionByName(pages.where(turn == 2).withColumn("payload", F.lit('{"type": "FeatureCollection", "features": []}')))
+    again.write.mode("append").parquet(f"{home}/landed")
     ingest_pages(t.spark, f"{home}/landed", f"{home}/table", f"{home}/checkpoint")
-    return t.spark.read.parquet(f"{home}/table").select("src_offset", "objectid", "lid", "label", "lon", "lat")
+    rows = tables.read_buckets(t.spark, f"{home}/table", geojson.page_rows(geojson.parse_pages(pages), "borings").schema)
+    return rows.select("src_offset", "objectid", "lid", "label", "lon", "lat")
+
+
+@query("incremental_logs", "SELECT boring_id, count(*) AS n FROM strata WHERE top_depth IS NOT NULL AND bottom_depth >= top_depth AND CAST(substr(boring_id, 2) AS INT) % 3 <> 0 GROUP BY boring_id")
+def incremental_logs(t: Tables) -> DataFrame:
+    """Logs of plain interval lines; those of every third boring land again without any."""
+    home = shared_dir(t.spark, "logs")
+    line = F.concat(F.format_string("%.1f - %.1f", "top_depth", "bottom_depth"), F.lit("  SS  3-4-5  12  SM"))
+    logs = t.strata.where("top_depth IS NOT NULL AND bottom_depth >= top_depth").groupBy("boring_id").agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("text"))
+    logs.write.parquet(f"{home}/landed")
+    ingest_logs(t.spark, f"{home}/landed", f"{home}/table", f"{home}/checkpoint")
+    logs.where(F.substring("boring_id", 2, 9).cast("int") % 3 == 0).withColumn("text", F.lit("no intervals here")).write.mode("append").parquet(f"{home}/landed")
+    ingest_logs(t.spark, f"{home}/landed", f"{home}/table", f"{home}/checkpoint")
+    return tables.read_buckets(t.spark, f"{home}/table", "boring_id string, interval_index int").groupBy("boring_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fallback_id", "SELECT objectid, CASE WHEN objectid % 3 <> 0 THEN boring_id ELSE 'OID-' || objectid END AS boring_id FROM borings")
+def fallback_id(t: Tables) -> DataFrame:
+    rows = geojson.page_rows(geojson.parse_pages(page_payloads(t)), "borings")
+    return rows.select("objectid", normalize.fallback_id(F.col("lid"), F.col("objectid")).alias("boring_id"))
+
+
+@query("page_number", "SELECT objectid, CASE WHEN objectid % 4 = 0 THEN CAST(objectid % 50 AS INT) END AS pdf_pg_num FROM soil_labels")
+def page_number(t: Tables) -> DataFrame:
+    """Page numbers of labels as they are landed: text, some of it no number."""
+    k = F.col("objectid") % 4
+    text = F.when(k == 0, (F.col("objectid") % 50).cast("string")).when(k == 1, "4-5").when(k == 2, "")
+    return t.soil_labels.select("objectid", normalize.page_number(text).alias("pdf_pg_num"))

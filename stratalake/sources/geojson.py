@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake.sources.tables import refresh
+
 _FEATURES = "features array<struct<properties: map<string,string>, geometry: string>>"
 PAGE = f"struct<{_FEATURES.replace('features', 'features:', 1)}>"
 _POINT = "struct<type: string, coordinates: array<double>>"
@@ -58,10 +60,14 @@ def geometry_polygon(geometry: Column) -> Column:
     return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
 
 
-def load_whole(spark: SparkSession, path: str, expected: int | None = None) -> tuple[DataFrame, bool]:
-    """Features of whole files, and whether their number is as expected (a difference is no error)."""
-    rows = spark.read.schema(_FEATURES).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties", geometry_polygon(F.col("f.geometry")).alias("rings"))
-    return rows, expected is None or rows.count() == expected
+def load_whole(spark: SparkSession, path: str) -> DataFrame:
+    """Features of whole files: properties and rings."""
+    return spark.read.schema(_FEATURES).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties", geometry_polygon(F.col("f.geometry")).alias("rings"))
+
+
+def refresh_layer(spark: SparkSession, path: str, table: str, expected: int | None = None) -> bool:
+    """Replace ``table`` by the features of the files at ``path``; whether their number is as expected."""
+    return refresh(load_whole(spark, path), table, expected)
 
 
 def header_table(payloads: DataFrame, columns: dict[str, str]) -> DataFrame:

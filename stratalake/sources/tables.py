@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from stratalake.storage import forget, stored
 
 
 def file_inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -27,14 +30,51 @@ def replace_keys(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return table.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
 
-def write_pages(rows: DataFrame, path: str) -> None:
-    """Replace the pages (src_offset) that ``rows`` holds; other pages stay."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("src_offset").parquet(path)
+def replace_on_disk(rows: DataFrame, keys: DataFrame, path: str, key: str, buckets: int = 64) -> None:
+    """Replace in the table at ``path`` all rows of ``keys`` (one column, called ``key``) by ``rows``; a key without rows is emptied.
+
+    The table lies in ``buckets`` folders by a hash of the key.  Only buckets that a key falls into are read and written; those
+    that keep no row lose their folder.  The number of buckets is the table's for good.
+    """
+    spark = rows.sparkSession
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+    touched = [r[0] for r in keys.select(bucket.alias("b")).distinct().collect()]  # numbers below ``buckets``
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    new = rows.withColumn("bucket", bucket)
+    if fs.exists(home) and fs.listStatus(home):
+        old = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+        new = old.join(keys.select(key).distinct(), key, "left_anti").select(*new.columns).unionByName(new)
+    merged = stored(new, "replaced")
+    full = {r[0] for r in merged.select("bucket").distinct().collect()}
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    for b in set(touched) - full:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(home, f"bucket={b}"), True)
+    forget(merged)
+
+
+def read_buckets(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A table of ``replace_on_disk``; empty if nothing is left of it or nothing was written yet."""
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(home):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+def write_pages(rows: DataFrame, path: str, pages: DataFrame | None = None) -> None:
+    """Replace the pages ``pages`` (src_offset), or those that ``rows`` has rows of; other pages stay."""
+    replace_on_disk(rows, rows if pages is None else pages, path, "src_offset")
+
+
+def refresh(rows: DataFrame, path: str, expected: int | None = None) -> bool:
+    """Replace a whole table; whether its number of rows is as expected (another number is no error)."""
+    rows.write.mode("overwrite").parquet(path)
+    return expected is None or rows.sparkSession.read.parquet(path).count() == expected
 
 
-def refresh(rows: DataFrame, path: str) -> None:
-    """Replace a whole table."""
-    rows.write.mode("overwrite").parquet(path)
+def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """Long-form vocabulary (column, value, idx) as JSON lines, in order."""
+    vocabulary.repartitionByRange("column", "idx").sortWithinPartitions("column", "idx").write.mode("overwrite").json(path)
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Resumable ingestion of landed files: each file once, a page that comes again replaces what it held."""
+"""Resumable ingestion of landed files: each file once, a page or log that comes again replaces what it held."""
 
 from __future__ import annotations
 
@@ -7,27 +7,38 @@ from pyspark.sql import functions as F
 
 from stratalake.operators.logs import parse_log_text
 from stratalake.sources.geojson import page_rows, parse_pages
-from stratalake.sources.tables import write_pages
+from stratalake.sources.tables import replace_on_disk, write_pages
+
+
+def _landed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """New rows with the time and name of their file."""
+    return spark.readStream.schema(schema).parquet(path).select("*", F.col("_metadata.file_modification_time").alias("landed"), F.col("_metadata.file_name").alias("file"))
+
+
+def newest(batch: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, value) of the file that landed last; of one moment that with the greatest name, of one file the greatest value."""
+    return batch.groupBy(key).agg(F.max_by(value, F.struct("landed", "file", value)).alias(value))
+
+
+def _drain(stream: DataFrame, replace, checkpoint: str) -> None:
+    stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def ingest_pages(spark: SparkSession, landed: str, table: str, checkpoint: str, layer: str = "borings") -> None:
-    """Take what is new in ``landed`` (Parquet rows src_offset, payload) into ``table``, then stop."""
-    pages = spark.readStream.schema("src_offset bigint, payload string").parquet(landed)
+    """Take what is new in ``landed`` (Parquet rows src_offset, payload) into ``table``, then stop.  A page without features empties its offset."""
 
     def replace(batch: DataFrame, _: int) -> None:
-        # of a page that is in the batch twice the later text counts, whatever the order of files
-        newest = batch.groupBy("src_offset").agg(F.max("payload").alias("payload"))
-        write_pages(page_rows(parse_pages(newest), layer), table)
+        pages = newest(batch, "src_offset", "payload")
+        write_pages(page_rows(parse_pages(pages), layer), table, pages)
 
-    pages.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _drain(_landed(spark, landed, "src_offset bigint, payload string"), replace, checkpoint)
 
 
 def ingest_logs(spark: SparkSession, landed: str, table: str, checkpoint: str) -> None:
-    """Parse new logs (Parquet rows boring_id, text); a boring's intervals are replaced as a whole."""
-    logs = spark.readStream.schema("boring_id string, text string").parquet(landed)
+    """Parse new logs (Parquet rows boring_id, text); a boring's intervals are replaced as a whole, by none if none are found."""
 
     def replace(batch: DataFrame, _: int) -> None:
-        rows = parse_log_text(batch.groupBy("boring_id").agg(F.max("text").alias("text")))
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("boring_id").parquet(table)
+        logs = newest(batch, "boring_id", "text")
+        replace_on_disk(parse_log_text(logs), logs, table, "boring_id")
 
-    logs.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    _drain(_landed(spark, landed, "boring_id string, text string"), replace, checkpoint)

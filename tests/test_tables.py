@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,9 +36,38 @@ def test_file_inventory(spark, tmp_path):
 
 def test_page_replace_on_disk(spark, tmp_path):
     rows = lambda data: spark.createDataFrame(data, "v int, src_offset long")
-    tables.write_pages(rows([(1, 0), (2, 200)]), f"{tmp_path}/t")
-    tables.write_pages(rows([(9, 200)]), f"{tmp_path}/t")
-    assert sorted((r.v, r.src_offset) for r in spark.read.parquet(f"{tmp_path}/t").collect()) == [(1, 0), (9, 200)]
+    path = f"{tmp_path}/t"
+    read = lambda: sorted((r.v, r.src_offset) for r in tables.read_buckets(spark, path, "v int, src_offset long").collect())
+    assert read() == []
+    tables.write_pages(rows([(1, 0), (2, 200), (3, 200)]), path)
+    tables.write_pages(rows([(9, 200)]), path)
+    assert read() == [(1, 0), (9, 200)]
+    # a page that comes without rows is emptied, also if it was alone in its folder
+    tables.write_pages(rows([(5, 400)]), path, rows([(0, 200), (0, 400)]))
+    assert read() == [(1, 0), (5, 400)]
+    tables.write_pages(rows([]), path, rows([(0, 0), (0, 400)]))
+    assert read() == []
+
+
+def test_refresh_tells_of_other_counts(spark, tmp_path):
+    (tmp_path / "a.json").write_text(page(({"k": "1"}, None), ({"k": "2"}, None)))
+    assert geojson.refresh_layer(spark, f"{tmp_path}/a.json", f"{tmp_path}/layer", 2)
+    assert not geojson.refresh_layer(spark, f"{tmp_path}/a.json", f"{tmp_path}/layer", 3)
+    assert spark.read.parquet(f"{tmp_path}/layer").count() == 2
+
+
+def test_vocabulary_and_metric_sinks(spark, tmp_path):
+    vocabulary = features.vocabulary(spark.createDataFrame([("b",), ("a",), ("",), (None,)], "unit string"), ["unit"])
+    tables.write_vocabulary(vocabulary, f"{tmp_path}/v")
+    assert sorted(map(tuple, spark.read.json(f"{tmp_path}/v").select("column", "value", "idx").collect())) == [("unit", "a", 2), ("unit", "b", 3)]
+    tables.write_metrics(spark.createDataFrame([("rf", 0, "f1", 0.5)], "tag string, fold int, metric string, value double"), f"{tmp_path}/m")
+    assert spark.read.json(f"{tmp_path}/m").first().value == 0.5
+
+
+def test_ids_and_page_numbers(spark):
+    rows = spark.createDataFrame([("L1", 1, "7"), (None, 2, "x"), (None, 3, "")], "lid string, objectid long, page string")
+    got = rows.select(normalize.fallback_id(F.col("lid"), F.col("objectid")).alias("id"), normalize.page_number(F.col("page")).alias("n")).collect()
+    assert [tuple(r) for r in got] == [("L1", 7), ("OID-2", None), ("OID-3", None)]
 
 
 def test_edge_and_feature_sinks(spark, tmp_path):
@@ -95,8 +125,17 @@ def test_ingestion_resumes_and_replaces(spark, tmp_path):
     land("pages", [(0, page(({"OBJECTID": "9"}, None)))], "src_offset bigint, payload string")
     run()
     assert sorted(r.objectid for r in spark.read.parquet(f"{tmp_path}/table").collect()) == [3, 9]
+    # twice in one batch: the one that landed last counts, whatever its text; an empty page empties its offset
+    land("pages", [(0, page(({"OBJECTID": "8"}, None))), (200, page(({"OBJECTID": "99"}, None)))], "src_offset bigint, payload string")
+    time.sleep(0.05)
+    land("pages", [(0, page(({"OBJECTID": "7"}, None))), (200, page())], "src_offset bigint, payload string")
+    run()
+    assert sorted(r.objectid for r in spark.read.parquet(f"{tmp_path}/table").collect()) == [7]
     land("logs", [("b", "0 - 2 SM\n2 - 4 CL")], "boring_id string, text string")
     ingest_logs(spark, f"{tmp_path}/logs", f"{tmp_path}/strata", f"{tmp_path}/check2")
     land("logs", [("b", "0 - 3 SP")], "boring_id string, text string")
     ingest_logs(spark, f"{tmp_path}/logs", f"{tmp_path}/strata", f"{tmp_path}/check2")
     assert [(r.top_depth, r.bottom_depth, r.uscs_class) for r in spark.read.parquet(f"{tmp_path}/strata").collect()] == [(0, 3, "SP")]
+    land("logs", [("b", "nothing of the kind"), ("c", "0 - 1 ML")], "boring_id string, text string")
+    ingest_logs(spark, f"{tmp_path}/logs", f"{tmp_path}/strata", f"{tmp_path}/check2")
+    assert [(r.boring_id, r.uscs_class) for r in spark.read.parquet(f"{tmp_path}/strata").collect()] == [("c", "ML")]
