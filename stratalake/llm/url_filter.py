@@ -58,8 +58,11 @@ def folded(host: Column, path: Column) -> Column:
     return F.concat(F.lit("^" * ORDER), F.regexp_replace(text, r"[^a-z0./-]", "*"), F.lit("$"))
 
 
-def _grams(text: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(text) - ORDER), lambda i: F.substring(text, i, F.lit(ORDER + 1)))
+def exploded(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep`` with each 4-gram of ``folded``; shifted copies of its characters are zipped, so long urls cost their length."""
+    chars = F.split("folded", "")
+    placed = rows.select(*keep, chars.alias("chars")).select(*keep, F.explode(F.arrays_zip(*[F.slice("chars", k + 1, F.size("chars")).alias(str(k)) for k in range(ORDER + 1)])).alias("at"))
+    return placed.where(F.col("at")[str(ORDER)].isNotNull()).select(*keep, F.concat(*[F.col("at")[str(k)] for k in range(ORDER + 1)]).alias("gram"))
 
 
 def gram_scores(grams: DataFrame, counts: DataFrame) -> DataFrame:
@@ -99,18 +102,17 @@ def filter_urls(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) ->
     rule = matched_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("m", rule).select("page_id", "host", "path", F.col("m")["rule"].alias("rule"), F.col("m")["action"].alias("action"))
     # labelled rows are put aside for calibration by their text, so copies stay on one side
-    rows = rows.withColumns({"grams": _grams(folded(F.col("host"), F.col("path"))), "held_out": F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0})
-    counts = rows.where("action IS NOT NULL AND NOT held_out").select("action", F.explode("grams").alias("gram")).groupBy("gram").agg(F.count_if(F.col("action") == "allow").alias("ok"), F.count_if(F.col("action") == "block").alias("bad"))
+    rows = rows.withColumns({"row": F.monotonically_increasing_id(), "folded": folded(F.col("host"), F.col("path")), "held_out": F.pmod(F.xxhash64("host", "path"), F.lit(5)) == 0})
+    rows = stored(rows, "urls")
+    counts = exploded(rows.where("action IS NOT NULL AND NOT held_out"), ["action"]).groupBy("gram").agg(F.count_if(F.col("action") == "allow").alias("ok"), F.count_if(F.col("action") == "block").alias("bad"))
     counts = stored(counts, "url-grams")
     both = counts.agg(F.sum("ok") > 0, F.sum("bad") > 0).first()
     if not (both[0] and both[1]):
         return rows.select("page_id", "host", "path", "rule", F.coalesce("action", F.lit("allow")).alias("verdict"), F.lit(0.0).alias("score"))
-    table = gram_scores(rows.select(F.explode("grams").alias("gram")).distinct(), counts)
-    keys = ["row", "page_id", "host", "path", "rule", "action", "held_out"]
-    each = rows.withColumn("row", F.monotonically_increasing_id()).select(*keys, F.explode("grams").alias("gram"))
-    # a row's grams lie together, so their scores add up before the shuffle
-    scored = each.join(F.broadcast(table), "gram").groupBy(*keys).agg(F.avg("llr").alias("score")).drop("row")
-    scored = stored(scored, "url-scores")
+    table = gram_scores(exploded(rows, []).distinct(), counts)
+    # a row's grams lie together, so their scores add up before the shuffle; they carry a number only, not the url
+    means = exploded(rows, ["row"]).join(F.broadcast(table), "gram").groupBy("row").agg(F.avg("llr").alias("score"))
+    scored = stored(rows.drop("folded").join(means, "row"), "url-scores")
     verdict = F.coalesce(F.col("action"), F.when(F.col("score") >= calibrated_cut(scored), "allow").otherwise("block"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "score")
 

@@ -65,3 +65,25 @@ def test_no_labels_and_empty(spark):
     one = spark.createDataFrame([(1, "http://q.info/x")], "page_id long, url string")
     assert [(r.verdict, r.score) for r in U.op2_query(one).collect()] == [("allow", 0.0)]
     assert U.op2_query(one.limit(0)).collect() == []
+
+
+def test_verdicts_follow_the_best_cut_of_held_out_rows(pages):
+    """The cut by plain loops over the held-out labelled rows: best sum of both hit rates, ties to the cut nearest to 0, then the lower."""
+    flags = {(r.h, r.p): (r.action, r.held) for r in pages.select(U.host_of(F.col("url")).alias("h"), U.path_of(F.col("url")).alias("p")).select("h", "p", U.matched_rule(F.col("h"), F.col("p"))["action"].alias("action"), (F.pmod(F.xxhash64("h", "p"), F.lit(5)) == 0).alias("held")).collect()}
+    got = U.filter_urls(pages).collect()
+    aside = [(max(-1000, min(1000, math.floor(abs(r.score) * 100 + 0.5) * (1 if r.score >= 0 else -1))), flags[r.host, r.path][0]) for r in got if flags[r.host, r.path][0] and flags[r.host, r.path][1]]
+    ok, bad = [s for s, a in aside if a == "allow"], [s for s, a in aside if a == "block"]
+    assert ok and bad
+    rate = {s: sum(x >= s for x in ok) / len(ok) + sum(x < s for x in bad) / len(bad) for s in ok + bad}
+    best = min(rate, key=lambda s: (-rate[s], abs(s), s))
+    cut = (best - 0.5) / 100
+    for r in got:
+        action = flags[r.host, r.path][0]
+        assert r.verdict == (action or ("allow" if r.score >= cut else "block"))
+
+
+def test_other_columns_and_very_long_urls(spark):
+    long = "http://host.example.org/" + "path/" * 20_000
+    df = spark.createDataFrame([(1, long, "x", 1), (2, "http://a.example.com/en/1", "y", 2), (3, "http://b.net/de/1", None, None), (3, "http://b.net/de/1", "z", 3)], "page_id long, url string, GRAMS string, score int")
+    got = U.filter_urls(df).collect()
+    assert sorted(r.page_id for r in got) == [1, 2, 3, 3] and next(r for r in got if r.page_id == 1).path == "/" + "path/" * 20_000
