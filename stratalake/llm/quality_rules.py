@@ -7,8 +7,9 @@ removed; a document that loses more than ``max_loss`` of its word characters, or
 Whole-document base rules (too few words, too many repeated word windows) reject on their own.
 
 Defined cases: null and empty texts have no words and fail the base rules; null doc_id and repeated rows are
-kept as they are; a text of any length is one row and never leaves its task; other columns are ignored by the
-query and kept by ``clean_lines``.
+kept as they are; of equal lines the first stays; a text of any length is one row and never leaves its task; an empty table
+gives an empty result; other columns are ignored by the query and kept by ``clean_lines`` and ``base_measures``, whatever
+their names, but for those called as the added ones, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalake.llm._shared import unused
+
 _BLANK = r"[\x20\x09-\x0D]"
 _WORD = r"[^\x20\x09-\x0D]+"
-#: Fixed phrases of boilerplate lines.
+#: Fixed phrases of boilerplate lines, in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "accept cookies",
     "subscribe to our newsletter", "sign up", "log in", "lorem ipsum", "enable javascript", "click here", "licensed under", "copyright",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl", "cookie-richtlinie", "newsletter abonnieren", "hier klicken",
+    "tous droits r", "conditions d'utilisation", "politique de confidentialit", "accepter les cookies", "abonnez-vous", "cliquez ici",
+    "todos los derechos reservados", "condiciones de uso", "pol.tica de privacidad", "aceptar cookies", "suscr.bete", "haga clic aqu",
 )
 
 
@@ -96,10 +102,12 @@ def clean_lines(docs: DataFrame, max_loss: float = 0.5) -> DataFrame:
     judged = let(lines, lambda x: F.struct(F.size(x).alias("n"), F.filter(F.array_distinct(x), line_ok).alias("good")))
     total = word_chars(text)
     added = ("clean_text", "n_lines", "n_lines_removed", "char_loss", "lines_kept")
-    rows = docs.drop(*added, "_judged", "_total").withColumns({"_judged": judged, "_total": total})
-    rows = rows.withColumn("clean_text", F.array_join(F.col("_judged")["good"], "\n"))
-    loss = F.when(F.col("_total") > 0, 1 - word_chars(F.col("clean_text")) / F.col("_total")).otherwise(F.lit(1.0))
-    rows = rows.withColumns({"n_lines": F.col("_judged")["n"].cast("long"), "n_lines_removed": (F.col("_judged")["n"] - F.size(F.col("_judged")["good"])).cast("long"), "char_loss": loss})
+    rows = docs.drop(*added)
+    of_lines, of_text = unused("judged", docs), unused("total", docs)
+    rows = rows.withColumns({of_lines: judged, of_text: total})
+    rows = rows.withColumn("clean_text", F.array_join(F.col(of_lines)["good"], "\n"))
+    loss = F.when(F.col(of_text) > 0, 1 - word_chars(F.col("clean_text")) / F.col(of_text)).otherwise(F.lit(1.0))
+    rows = rows.withColumns({"n_lines": F.col(of_lines)["n"].cast("long"), "n_lines_removed": (F.col(of_lines)["n"] - F.size(F.col(of_lines)["good"])).cast("long"), "char_loss": loss})
     return rows.withColumn("lines_kept", F.col("char_loss") <= max_loss).select(*[c for c in docs.columns if c not in added], *added)
 
 
@@ -107,7 +115,8 @@ def base_measures(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.col("text")
     counts = let(words(text), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), n_repeat_words(ws).alias("r")))
-    return docs.withColumns({"_c": counts, "word_chars": word_chars(text), "n_symbols": n_symbols(text), "n_dup_lines": n_dup_lines(text)}).withColumns({"n_words": F.col("_c")["n"], "n_repeat_words": F.col("_c")["r"]}).drop("_c")
+    both = unused("counts", docs)
+    return docs.withColumns({both: counts, "word_chars": word_chars(text), "n_symbols": n_symbols(text), "n_dup_lines": n_dup_lines(text)}).withColumns({"n_words": F.col(both)["n"], "n_repeat_words": F.col(both)["r"]}).drop(both)
 
 
 def op6_query(docs: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from stratalake.llm.quality_rules import clean_lines, op6_query
+from stratalake.llm.quality_rules import base_measures, clean_lines, op6_query
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -40,3 +40,17 @@ def test_other_columns_stay(docs):
 
 def test_empty(empty):
     assert op6_query(empty).collect() == []
+
+
+def test_boilerplate_of_four_languages(spark):
+    lines = ["Alle Rechte vorbehalten durch den Betreiber dieser Seite.", "Tous droits réservés par la maison de ce site web.", "Todos los derechos reservados por la casa de este sitio.", "Ein guter Satz mit genug Wörtern steht hier noch am Ende."]
+    row = clean_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string")).first()
+    assert row.clean_text == lines[3]
+
+
+def test_clashing_names_and_very_long_text(spark):
+    long = "\n".join(f"Line {i} is one of a great many lines of this text." for i in range(40_000))
+    df = spark.createDataFrame([(1, long, 1, "a", 2.0), (2, None, 2, None, None)], "doc_id long, text string, JUDGED int, total string, counts double")
+    out = base_measures(clean_lines(df))
+    by = {r.doc_id: r for r in out.collect()}
+    assert (by[1].JUDGED, by[1].total, by[1].counts, by[1].n_lines, by[1].n_words) == (1, "a", 2.0, 40_000, 480_000) and by[2].n_words == 0
