@@ -1,4 +1,11 @@
-"""From raw documents to packed training rows, stage by stage; each stage calls one operator of stratalake.llm."""
+"""From raw documents to packed training rows, stage by stage; each stage calls one operator of stratalake.llm.
+
+Defined cases, for all stages: a null or empty text has no language and goes in the first stage, and would pass all others
+but the mix, which takes no document without words, and the packing, which has no row for it; a null doc_id, lang or source
+is kept (a null source is a source of its own); rows that repeat are near duplicates and all but one of them go; ties are broken by
+the smallest doc_id, then by a hash; texts of any length are read whole; other columns pass through all stages but the last,
+whatever their names; an empty table gives an empty table of the same columns, and no packed rows.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalake.llm import decontaminate, language_id, mixing, ngram_join, packing
-from stratalake.llm._shared import shared_dir
+from stratalake.llm._shared import set_aside, shared_dir
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +36,12 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents as the mix takes them, to the nearest whole document."""
+    read = ("doc_id", "text", "source")
+    aside, name = set_aside(docs)  # columns may be called as what the mix adds
+    mixed = mixing.mix_sources(aside.withColumnsRenamed({name[c]: c for c in read}))
     copies = F.when(F.col("size") > 0, F.expr("(2 * taken + size) div (2 * size)")).otherwise(F.lit(0)).cast("int")
-    return mixing.mix_sources(docs).withColumn("size", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns)
+    taken = mixed.withColumn("size", F.explode(F.array_repeat(F.lit(0), copies)))
+    return taken.select(*[F.col(c if c in read else name[c]).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
