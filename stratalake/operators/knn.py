@@ -2,7 +2,8 @@
 
 A query point looks into the 3 x 3 cells around it.  Its k nearest are final once the k-th is no farther than
 the edge of that block; the others try again with cells of twice the side, until a block covers all points.
-The first side follows from the density of the fullest cells, so clusters do not blow up the first round.
+The first side follows from the density of the fullest cells, so clusters do not blow up the first round; points in one
+place count as k + 1 at most, however many they are.
 Ties are broken by id; a point is never its own neighbour in the self join.
 """
 
@@ -36,7 +37,10 @@ def knn(queries: DataFrame, points: DataFrame, k: int, same: bool = False) -> Da
     ``same``: both sides are one set; a point is not its own neighbour.
     """
     schema = F.lit(None)
-    points = points.where("x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y")
+    # of points in one place the first k by id can be among anyone's nearest, and one more where a point passes itself over
+    by_place = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
+    points = points.where("x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y", by_place.alias("n")).where(F.col("n") <= k + 1).drop("n")
+    points = stored(points, "knn-points")
     left = queries.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
     found = _start(points, k)
     if found is None:

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -135,3 +136,17 @@ def test_delaunay_of_crowded_places_and_lines(spark, monkeypatch):
     for points in (crowd, grid, line):
         df = spark.createDataFrame([(k, *v) for k, v in points.items()], "id string, x double, y double")
         assert {(r.src, r.dst) for r in delaunay.delaunay_edges(df, 3).collect()} == circles(points)
+
+
+def test_knn_of_many_points_in_one_place(spark):
+    """Ties by id, the point itself passed over, though most of the place's points are never candidates."""
+    places = [(f"a{i:03d}", 5.0, 5.0) for i in range(200)] + [(f"b{i}", 5.0 + i, 6.0) for i in range(5)]
+    df = spark.createDataFrame(places, "id string, x double, y double")
+    got = {}
+    for r in knn.knn(df, df, 3, same=True).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    at = {i: (x, y) for i, x, y in places}
+    for q, near in got.items():
+        order = sorted((math.dist(at[q], at[i]), i) for i in at if i != q)
+        assert near == [i for _, i in order[:3]]
+    assert len(got) == len(places)
