@@ -116,14 +116,16 @@ def _place(folds: int):
     return run
 
 
-def spatial_kfold(nodes: DataFrame, size: float = 20000.0, folds: int = 5, seed: int = 1337) -> DataFrame:
+def spatial_kfold(nodes: DataFrame, size: float = 20000.0, folds: int = 5, seed: int = 1337, most: int = 1_000_000) -> DataFrame:
     """(id, block, fold): whole blocks, largest first, to the fold with fewest of their dominant class, then smallest.
 
     The greedy pass sees the block summary only: one row per block and class, whose number follows the area and
-    not the number of nodes.
+    not the number of nodes.  The pass is one task, so a summary of over ``most`` rows is an error: choose larger blocks.
     """
     rows = nodes.withColumn("block", block_id(F.col("x"), F.col("y"), size))
-    counts = rows.groupBy("block", "class_id").count().withColumn("draw", F.xxhash64("block", F.lit(seed)))
+    counts = stored(rows.groupBy("block", "class_id").count().withColumn("draw", F.xxhash64("block", F.lit(seed))), "blocks")
+    if counts.count() > most:
+        raise ValueError("too many blocks for one greedy pass: choose a larger size")
     placed = counts.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_place(folds), "block long, fold int")
     return rows.join(placed, "block").select("id", "block", "fold")
 

@@ -101,6 +101,8 @@ def test_folds_keep_blocks_whole(spark):
     per_block = got.groupBy("block").agg(F.countDistinct("fold").alias("n")).agg(F.max("n")).first()[0]
     sizes = [r["count"] for r in got.groupBy("fold").count().collect()]
     assert per_block == 1 and len(sizes) == 5 and max(sizes) < 2 * min(sizes)
+    with pytest.raises(ValueError, match="larger size"):
+        features.spatial_kfold(got.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1).alias("class_id")), most=0)
     roles = features.fold_roles(got).groupBy("id").pivot("role").count().select("test", "val", "train").distinct().collect()
     assert [tuple(r) for r in roles] == [(1, 1, 3)]
 
