@@ -67,13 +67,12 @@ def test_dense_groups(spark, settings):
     assert got(N.similar_groups(df, **settings)) == brute(rows)
 
 
-@pytest.mark.parametrize("part_rows", [3, 17])
-def test_tiles_in_parts(spark, part_rows):
+@pytest.mark.parametrize("parts", [{"part_rows": 3}, {"part_bytes": 4000}])
+def test_tiles_in_parts(spark, parts):
     """Large tiles in many parts give the links of all pairs."""
     rows = dense(seed=9, groups=2, size=40)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert got(N.similar_groups(df, frequent=1e9, part_rows=part_rows)) == brute(rows)
-    assert got(N.similar_groups(df, part_bytes=4000)) == brute(rows)
+    assert got(N.similar_groups(df, frequent=1e9, **parts)) == brute(rows)
 
 
 def test_own_names_do_not_clash(spark):
