@@ -28,7 +28,7 @@ BOILERPLATE = (
     "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "uses cookies", "accept cookies",
     "subscribe to our newsletter", "sign up", "log in", "lorem ipsum", "enable javascript", "click here", "licensed under", "copyright",
     "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerkl", "cookie-richtlinie", "newsletter abonnieren", "hier klicken",
-    "tous droits r", "conditions d'utilisation", "politique de confidentialit", "accepter les cookies", "abonnez-vous", "cliquez ici",
+    "tous droits r", "conditions d.utilisation", "politique de confidentialit", "accepter les cookies", "abonnez-vous", "cliquez ici",
     "todos los derechos reservados", "condiciones de uso", "pol.tica de privacidad", "aceptar cookies", "suscr.bete", "haga clic aqu",
 )
 
