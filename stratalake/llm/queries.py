@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalake.llm.conversation_repair import op11_query
 from stratalake.llm.decontaminate import op3_query
 from stratalake.llm.language_id import op7_query
 from stratalake.llm.mixing import op9_query
@@ -24,6 +25,19 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
     return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+_CRC_BYTE = "xor(c, CASE WHEN k % 8 = 0 THEN ascii(substr(s, (k // 8 + 1)::INTEGER, 1)) ELSE 0 END)"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * length(s))), lambda c, k: CASE WHEN {_CRC_BYTE} & 1 = 1 THEN xor({_CRC_BYTE} >> 1, 3988292384) ELSE {_CRC_BYTE} >> 1 END), 4294967295)"
+
+
+def _more(weight: str, cost: str, letter: str) -> str:
+    """SQL of a weight, eight digits of cost and then letters, after one more edit."""
+    return f"(lpad((left({weight}, 8)::INTEGER + {cost})::VARCHAR, 8, '0') || substr({weight}, 9) || '{letter}')"
+
+
+_STAYS = "CASE WHEN fault = 't' THEN 5 ELSE 0 END"
+_EVEN = "least(w0, w1, w3)"
+_KEEP = "m.r = '{}' AND fault IN ('k', 't')"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": _over("documents", op1_query),
     "op2_url_filter": _over("pages", op2_query),
@@ -35,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_join": _over("documents", op8_query),
     "op9_mixing": _over("documents", op9_query),
     "op10_token_counts": _over("documents", op10_query),
+    "op11_conversation_repair": _over("conversations", op11_query),
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -68,6 +83,35 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND CASE WHEN word_chars > 0 THEN 1 - good_ch / word_chars <= 0.5 ELSE false END AS kept, n_lines, n_lines_removed
         FROM f""",
+    # without Insert: whom an inserted message stands beside can be deleted with it for less, and a lone s as well
+    "op11_conversation_repair": rf"""
+        WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+        crc AS (SELECT *, {_CRC} % 20 AS f FROM keyed),
+        d AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+            unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy FROM crc WHERE f <> 0),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+        nth AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM o),
+        m AS (SELECT *, left(role, 1) AS r, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS r0,
+            CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN nth > 1 THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 't' ELSE 'k' END AS fault FROM nth),
+        way AS (
+            SELECT DISTINCT conv_id, 0::BIGINT AS i, repeat('0', 8) AS w0, NULL::VARCHAR AS w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3 FROM m
+            UNION ALL
+            SELECT m.conv_id, m.i, {_more("w0", "2", "D")},
+                least({_more("w1", "2", "D")}, CASE WHEN {_KEEP.format("s")} THEN {_more("w0", _STAYS, "K")} END),
+                least({_more("w2", "2", "D")}, CASE WHEN {_KEEP.format("u")} THEN {_more(_EVEN, _STAYS, "K")} END, CASE WHEN fault IN ('k', 't') THEN {_more(_EVEN, "1 + " + _STAYS, "R")} END),
+                least({_more("w3", "2", "D")}, CASE WHEN {_KEEP.format("a")} THEN {_more("w2", _STAYS, "K")} END, CASE WHEN fault IN ('k', 't') THEN {_more("w2", "1 + " + _STAYS, "R")} END)
+            FROM way JOIN m ON m.conv_id IS NOT DISTINCT FROM way.conv_id AND m.i = way.i + 1),
+        best AS (SELECT conv_id, left(w, 8)::BIGINT AS cost, substr(w, 9) AS audit FROM (SELECT conv_id, arg_max(least(w0, w3), i) AS w FROM way GROUP BY conv_id)),
+        letter AS (SELECT m.*, substr(audit, i::INTEGER, 1) AS e FROM m JOIN best ON m.conv_id IS NOT DISTINCT FROM best.conv_id),
+        placed AS (SELECT *, count(*) FILTER (e <> 'D' AND NOT (e = 'K' AND r = 's')) OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n FROM letter),
+        sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated,
+            count_if(r0 || r NOT IN ('su', 'ua', 'au')) AS illegal,
+            sha256(coalesce(string_agg(CASE WHEN e = 'K' THEN role WHEN n % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) FILTER (e <> 'D'), '')) AS repaired_sha256
+            FROM placed GROUP BY conv_id),
+        ids AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+            coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM ids LEFT JOIN best ON ids.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN sums ON ids.conv_id IS NOT DISTINCT FROM sums.conv_id""",
     # no seeds: all alignments on which tokens are equal
     "op3_decontaminate": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
