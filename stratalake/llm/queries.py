@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalake.llm.best_two_fit import op13_query
 from stratalake.llm.conversation_repair import op11_query
 from stratalake.llm.decontaminate import op3_query
 from stratalake.llm.language_id import op7_query
@@ -50,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": _over("documents", op9_query),
     "op10_token_counts": _over("documents", op10_query),
     "op11_conversation_repair": _over("conversations", op11_query),
+    "op13_best_two_fit": _over("documents", op13_query),
 }
 
 ORACLE_SQL: dict[str, str] = {

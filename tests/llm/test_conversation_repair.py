@@ -46,8 +46,7 @@ def test_least_integer_equals_brute_force(costs):
 
 
 def test_long_conversation():
-    cost, audit = repair.best_edits("s" + "ua" * 2000 + "u")
-    assert (cost, audit) == (2, "K" * 3999 + "DKK"[:0] + audit[3999:]) and len(audit) == 4002 and audit.count("D") == 1
+    assert repair.best_edits("s" + "ua" * 2000 + "u") == (2, "K" * 4001 + "D")
 
 
 def plain(rows):
