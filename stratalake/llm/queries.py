@@ -10,6 +10,7 @@ from stratalake.llm.best_two_fit import op13_query
 from stratalake.llm.conversation_repair import op11_query
 from stratalake.llm.decontaminate import op3_query
 from stratalake.llm.language_id import op7_query
+from stratalake.llm.lexical_search import op12_query
 from stratalake.llm.mixing import op9_query
 from stratalake.llm.ngram_join import op8_query
 from stratalake.llm.packing import op4_query
@@ -26,6 +27,8 @@ def _over(table: str, query: Callable[[DataFrame], DataFrame]) -> Callable[[Spar
     return lambda spark, sf_dir: query(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+TERMS = r"coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), [])"
+
 _CRC_BYTE = "xor(c, CASE WHEN k % 8 = 0 THEN ascii(substr(s, (k // 8 + 1)::INTEGER, 1)) ELSE 0 END)"
 _CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, range(8 * length(s))), lambda c, k: CASE WHEN {_CRC_BYTE} & 1 = 1 THEN xor({_CRC_BYTE} >> 1, 3988292384) ELSE {_CRC_BYTE} >> 1 END), 4294967295)"
 
@@ -51,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_mixing": _over("documents", op9_query),
     "op10_token_counts": _over("documents", op10_query),
     "op11_conversation_repair": _over("conversations", op11_query),
+    "op12_lexical_search": lambda spark, sf_dir: op12_query(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")),
     "op13_best_two_fit": _over("documents", op13_query),
 }
 
@@ -114,6 +118,17 @@ ORACLE_SQL: dict[str, str] = {
         SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
             coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
         FROM ids LEFT JOIN best ON ids.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN sums ON ids.conv_id IS NOT DISTINCT FROM sums.conv_id""",
+    "op12_lexical_search": rf"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS ws FROM documents WHERE len({TERMS}) > 0),
+        total AS (SELECT count(*) AS docs, sum(len(ws))::BIGINT AS length FROM d),
+        q AS (SELECT DISTINCT item_id, text FROM benchmark),
+        i AS (SELECT k, item_id, t, count(*) AS qf FROM (SELECT row_number() OVER () AS k, item_id, unnest({TERMS}) AS t FROM q) GROUP BY k, item_id, t),
+        o AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM i) GROUP BY r, t),
+        w AS (SELECT t, floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM o, total GROUP BY t),
+        m AS (SELECT r, doc_id, 100 - 75 + (75 * len(ws) * docs) // length AS m FROM d, total),
+        s AS (SELECT k, item_id, r, doc_id, sum(qf * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM i JOIN o USING (t) JOIN w USING (t) JOIN m USING (r) GROUP BY k, item_id, r, doc_id),
+        n AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY k ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM n WHERE rank <= 10""",
     # no seeds: all alignments on which tokens are equal
     "op3_decontaminate": r"""
         WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM documents),
