@@ -1,34 +1,112 @@
-"""Exact k-nearest-neighbour join on a grid of doubling cells.
+"""Exact k-nearest-neighbour join over a quadtree.
 
-A query point looks into the 3 x 3 cells around it.  Its k nearest are final once the k-th is no farther than
-the edge of that block; the others try again with cells of twice the side, until a block covers all points.
-The first side follows from the density of the fullest cells, so clusters do not blow up the first round; points in one
-place count as k + 1 at most, however many they are.
+Queries and points share one tree of leaves with a bounded number of either (``quadtree``).  The tree says which leaves can hold
+neighbours of which, so dense spots, however small, cost what even points do.  A task then streams the points of those leaves past the queries of
+a leaf, nearest leaves first, and keeps k of each query; it never holds more than a leaf's queries and one batch.
+Points in one place count as k + 1 at most, however many they are; a leaf that cannot be cut is dealt into parts.
 Ties are broken by id; a point is never its own neighbour in the self join.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from stratalake.functions.geo import distance
+from stratalake.operators import quadtree
 from stratalake.storage import stored
 
-PER_CELL = 48
+CAP = 256
+_PAIRS = 1 << 19
 
 
-def _start(points: DataFrame, k: int) -> tuple[float, float] | None:
-    """(first side, extent) of the grid; None without points."""
-    box = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    if not box[4]:
-        return None
-    extent = max(box[1] - box[0], box[3] - box[2], 1e-9)
-    side = extent / math.sqrt(max(1.0, box[4] / max(1.0, k / 2)))
-    fullest = points.groupBy(F.floor(F.col("x") / side), F.floor(F.col("y") / side)).count().agg(F.max("count")).first()[0]
-    return side * min(1.0, math.sqrt(PER_CELL / fullest)), extent
+def _values(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Ids as an array that sorts as they do."""
+    values = column.to_numpy(zero_copy_only=False)
+    return values if values.dtype.kind in "iu" else np.array(values.tolist(), dtype=str)
+
+
+class _Nearest:
+    """The k nearest so far of some queries."""
+
+    def __init__(self, ids: pa.Array, xy: np.ndarray, k: int, same: bool):
+        self.ids, self.xy, self.k, self.same = ids, xy, k, same
+        self.own = _values(ids) if same else None
+        self.d: np.ndarray = np.zeros((len(xy), 0))
+        self.at: np.ndarray | None = None  # ids of the nearest, as far as there are
+
+    def closed(self, gap: float) -> bool:
+        """Whether nothing that far off can be among them."""
+        return self.d.shape[1] == self.k and bool(self.d[:, -1].max(initial=-np.inf) < gap * (1 - 1e-9))
+
+    def meet(self, ids: np.ndarray, xy: np.ndarray) -> None:
+        step = max(1, _PAIRS // max(1, len(self.xy)))
+        for a in range(0, len(ids), step):
+            self._meet(ids[a : a + step], xy[a : a + step])
+
+    def _meet(self, ids: np.ndarray, xy: np.ndarray) -> None:
+        dx, dy = self.xy[:, :1] - xy[:, 0], self.xy[:, 1:] - xy[:, 1]
+        d = np.sqrt(dx * dx + dy * dy)
+        if self.same:
+            d[self.own[:, None] == ids] = np.inf
+        every = np.concatenate([self.d, d], 1)
+        names = np.broadcast_to(ids, d.shape)
+        if self.at is not None:
+            kind = np.promote_types(self.at.dtype, ids.dtype)
+            names = np.concatenate([self.at.astype(kind), names.astype(kind)], 1)
+        keep = min(self.k, every.shape[1])
+        last = np.partition(every, keep - 1, axis=1)[:, keep - 1]
+        # ties of the last are told apart by id
+        row, col = np.nonzero(every <= last[:, None])
+        order = np.lexsort((names[row, col], every[row, col], row))
+        row, col = row[order], col[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        row, col = row[place < keep].reshape(-1, keep), col[place < keep].reshape(-1, keep)
+        self.d, self.at = every[row, col], names[row, col]
+
+    def rows(self, names: list[str], kind: pa.DataType) -> pa.RecordBatch:
+        row, rank = np.nonzero(np.isfinite(self.d))
+        found = pa.array(self.at[row, rank] if self.at is not None else [], kind)
+        return pa.RecordBatch.from_arrays([self.ids.take(pa.array(row)), found, pa.array(self.d[row, rank]), pa.array(rank + 1, pa.int32())], names)
+
+
+def _stream(k: int, same: bool):
+    """Rows of groups (q, part): queries first, then points by the gap of their leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["qid", "id", "d", "rank"]
+        now, asked, nearest = None, [], None
+
+        def ready() -> _Nearest:
+            table = pa.Table.from_batches(asked)
+            xy = np.stack([table["x"].to_numpy(), table["y"].to_numpy()], 1)
+            return _Nearest(table["qid"].combine_chunks(), xy, k, same)
+
+        for batch in batches:
+            keys = np.stack([batch.column("q").to_numpy(), batch.column("part").to_numpy().astype(np.int64), ~batch.column("ask").to_numpy(zero_copy_only=False)], 1)
+            cuts = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, len(keys)] if len(keys) else [0]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                some, key = batch.slice(a, b - a), tuple(keys[a][:2])
+                if key != now:
+                    if nearest is not None:
+                        yield nearest.rows(names, kind)
+                    now, asked, nearest = key, [], None
+                kind = batch.schema.field("id").type
+                if not keys[a][2]:
+                    asked.append(some)
+                elif asked:
+                    nearest = nearest or ready()
+                    gap = some.column("gap").to_numpy()
+                    if not nearest.closed(gap[0]):
+                        nearest.meet(_values(some.column("id")), np.stack([some.column("x").to_numpy(), some.column("y").to_numpy()], 1))
+        if nearest is not None:
+            yield nearest.rows(names, kind)
+
+    return run
 
 
 def knn(queries: DataFrame, points: DataFrame, k: int, same: bool = False) -> DataFrame:
@@ -36,42 +114,22 @@ def knn(queries: DataFrame, points: DataFrame, k: int, same: bool = False) -> Da
 
     ``same``: both sides are one set; a point is not its own neighbour.
     """
-    schema = F.lit(None)
     # of points in one place the first k by id can be among anyone's nearest, and one more where a point passes itself over
     by_place = F.row_number().over(Window.partitionBy("x", "y").orderBy("id"))
-    points = points.where("x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y", by_place.alias("n")).where(F.col("n") <= k + 1).drop("n")
-    points = stored(points, "knn-points")
-    left = queries.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
-    found = _start(points, k)
-    if found is None:
-        return left.limit(0).select("qid", F.col("qid").alias("id"), schema.cast("double").alias("d"), schema.cast("int").alias("rank"))
-    side, extent = found
-    # queries may lie outside the points' box: all is searched once a block holds it from any of them
-    reach = left.agg(F.min("qx"), F.max("qx"), F.min("qy"), F.max("qy")).first()
-    far = points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if reach[0] is not None:
-        extent = max(extent, *(abs(reach[i] - far[j]) for i, j in ((0, 1), (1, 0), (2, 3), (3, 2))))
-    nearest = Window.partitionBy("qid").orderBy("d", "id")
-    done = None
-    while True:
-        last = side >= extent
-        cell = points.withColumns({"cx": F.floor(F.col("x") / side), "cy": F.floor(F.col("y") / side)})
-        spread = F.array(*[F.lit(v) for v in (-1, 0, 1)])
-        ask = left.withColumns({"ox": F.floor(F.col("qx") / side), "oy": F.floor(F.col("qy") / side)})
-        ask = ask.withColumn("dx", F.explode(spread)).withColumn("dy", F.explode(spread)).withColumns({"cx": F.col("ox") + F.col("dx"), "cy": F.col("oy") + F.col("dy")})
-        pairs = ask.join(cell, ["cx", "cy"])
-        if same:
-            pairs = pairs.where("qid <> id")
-        inner = F.least(F.col("qx") - F.col("ox") * side, (F.col("ox") + 1) * side - F.col("qx"), F.col("qy") - F.col("oy") * side, (F.col("oy") + 1) * side - F.col("qy"))
-        ranked = pairs.select("qid", "id", distance(F.col("qx"), F.col("qy"), F.col("x"), F.col("y")).alias("d"), (inner + side).alias("safe")).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
-        everyone = Window.partitionBy("qid")
-        ranked = ranked.withColumn("final", F.lit(last) | ((F.max("rank").over(everyone) == k) & (F.max("d").over(everyone) <= F.col("safe"))))
-        ranked = stored(ranked, "knn")
-        final = ranked.where("final").select("qid", "id", "d", "rank")
-        done = final if done is None else done.unionByName(final)
-        if last:
-            return done
-        left = stored(left.join(final.select("qid").distinct(), "qid", "left_anti"), "knn-left")
-        if not left.limit(1).count():
-            return done
-        side *= 2
+    points = points.where("x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y", by_place.alias("n")).where(F.col("n") <= k + 1)
+    ask = queries.select(F.lit(True).alias("ask"), F.col("id").alias("qid"), F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.col("x").cast("double"), F.col("y").cast("double"))
+    none = F.lit(None).cast(queries.schema["id"].dataType).alias("qid")
+    tree = quadtree.build(ask.unionByName(points.select(F.lit(False).alias("ask"), none, "id", F.col("x").cast("double"), F.col("y").cast("double"))), CAP)
+    schema = StructType(ask.select("qid", "id", F.col("x").alias("d"), F.lit(1).alias("rank")).schema.fields)
+    if tree is None:
+        return queries.sparkSession.createDataFrame([], schema)
+    pairs = quadtree.near_leaves(tree, k + same)
+    parts = F.ceil(F.col("nq") / CAP).cast("int")
+    dealt = pairs.groupBy(F.col("q").alias("leaf")).agg(F.max(parts).alias("parts"))
+    mine = tree.rows.where("ask").join(dealt, "leaf").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("parts")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), parts - 1))
+    theirs = tree.rows.where("NOT ask").join(pairs.withColumnRenamed("p", "leaf"), "leaf").withColumn("part", every)
+    columns = ["q", "part", "ask", "gap", "qid", "id", "x", "y"]
+    met = mine.withColumns({"q": F.col("leaf"), "gap": F.lit(0.0)}).select(*columns).unionByName(theirs.select(*columns))
+    near = met.repartition("q", "part").sortWithinPartitions("q", "part", F.desc("ask"), "gap").mapInArrow(_stream(k, same), schema)
+    return stored(near, "knn")
