@@ -12,6 +12,7 @@ rows / cap, and no pass reads the rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,14 +125,29 @@ def _between(low: str, high: str, other_low: str, other_high: str, far: bool) ->
     return F.greatest(-ahead, -behind, F.lit(0.0))
 
 
-def near_leaves(tree: Tree, need: int) -> DataFrame:
-    """(q, p, nq, gap): pairs of leaves; rows of p can be among the ``need`` nearest of an asking row of q.  Nearer than ``gap`` is none."""
-    waiting, pairs, done = None, None, None
+def _levels(tree: Tree) -> Iterator[DataFrame]:
+    """The nodes of each pass under their parents; a node that is cut into leaves waits, under its own number, for the last pass."""
+    waiting = None
     for k, step in enumerate(tree.steps):
-        last = k == len(tree.steps) - 1
         new = step.select("parent", "node", "nq", "np", *[f"{s}{c}" for s in "qp" for c in _BOX])
-        # a node that later passes did not cut waits for the last one, which has its leaves
-        down = new if last or waiting is None else new.unionByName(waiting)
+        yield new if waiting is None or k == len(tree.steps) - 1 else new.unionByName(waiting)
+        mine = new.join(step.where("cut = 0").select("node"), "node", "left_semi").withColumn("parent", F.col("node"))
+        waiting = mine if waiting is None else waiting.unionByName(mine)
+
+
+def visit(tree: Tree, asks: DataFrame, touches: Column) -> DataFrame:
+    """``asks`` once for each ``leaf`` with rows to find whose box, px0 to py1, fulfils ``touches``; so must the boxes that hold it."""
+    at = asks.withColumn("above", F.lit(-1).cast("long"))
+    for down in _levels(tree):
+        below = down.where("np > 0").select(F.col("parent").alias("above"), "node", *[f"p{c}" for c in _BOX])
+        at = at.join(below, "above").where(touches).select(*asks.columns, F.col("node").alias("above"))
+    return at.withColumnRenamed("above", "leaf")
+
+
+def near_leaves(tree: Tree, need: int) -> DataFrame:
+    """(q, p, nq, gap): pairs of leaves; rows of p can be among the ``need`` nearest of an asking row of q.  Nearer than ``gap`` is none."""
+    pairs, done = None, None
+    for down in _levels(tree):
         ask = down.where("nq > 0").select(F.col("parent").alias("above_q"), F.col("node").alias("q"), "nq", *[f"q{c}" for c in _BOX])
         found = down.where("np > 0").select(F.col("parent").alias("above_p"), F.col("node").alias("p"), "np", *[f"p{c}" for c in _BOX])
         if pairs is None:
@@ -151,6 +167,4 @@ def near_leaves(tree: Tree, need: int) -> DataFrame:
             forget(done)
         done = pairs
         pairs = pairs.select("above_q", "above_p", "reach")
-        mine = new.join(step.where("cut = 0").select("node"), "node", "left_semi").withColumn("parent", F.col("node"))
-        waiting = mine if waiting is None else waiting.unionByName(mine)
     return done.select(F.col("above_q").alias("q"), F.col("above_p").alias("p"), F.col("rows").alias("nq"), "gap")

@@ -91,13 +91,14 @@ def circles(points):
     return edges
 
 
-@pytest.mark.parametrize("n,blocks", [(3, 2), (45, 3), (120, 16)])
-def test_delaunay_equals_empty_circles(spark, n, blocks, monkeypatch):
-    monkeypatch.setattr(delaunay, "PER_TILE", 8)
+@pytest.mark.parametrize("n,nearest", [(1, 4), (3, 4), (45, 5), (120, 12)])
+def test_delaunay_equals_empty_circles(spark, n, nearest, monkeypatch):
+    monkeypatch.setattr(delaunay, "CAP", 8)
+    monkeypatch.setattr(delaunay, "NEAREST", nearest)
     rng = random.Random(n)
     points = {f"p{i:03d}": (rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(n)}
-    rows = [(k, *v) for k, v in points.items()] + [("z", *points["p001"])]
-    got = {(r.src, r.dst) for r in delaunay.delaunay_edges(spark.createDataFrame(rows, "id string, x double, y double"), blocks).collect()}
+    rows = [(k, *v) for k, v in points.items()] + [("z", *points["p000"])]
+    got = {(r.src, r.dst) for r in delaunay.delaunay_edges(spark.createDataFrame(rows, "id string, x double, y double")).collect()}
     assert got == circles(points)
 
 
@@ -107,6 +108,17 @@ def test_square_has_both_diagonals(spark):
     assert got == {("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("a", "c"), ("b", "d")}
 
 
+def test_one_diagonal_is_that_of_the_least_id(spark):
+    rows = [(f"g{i}{j}", float(i), float(j)) for i in range(4) for j in range(4)] + [("h0", 20.0, 0.0), ("h1", 24.0, 0.0), ("h2", 20.0, 3.0), ("h3", 24.0, 3.0), ("h4", 22.0, 1.5 + 2.5)]
+    got = {(r.src, r.dst) for r in delaunay.delaunay_edges(spark.createDataFrame(rows, "id string, x double, y double"), one_diagonal=True).collect()}
+    at = {k: (x, y) for k, x, y in rows}
+    diagonals = {(a, b) for a, b in got if a[0] == b[0] == "g" and at[a][0] != at[b][0] and at[a][1] != at[b][1]}
+    assert diagonals == {(f"g{i}{j}", f"g{i + 1}{j + 1}") for i in range(3) for j in range(3)}
+    assert ("h0", "h3") in got and ("h1", "h2") not in got
+    # a triangulation: 3 n - 3 - h edges, h of 21 points on the hull or its sides
+    assert got <= circles(at)
+
+
 def test_same_unit_cap_counts_before_the_unit(spark):
     rows = [("a", 0.0, 0.0, "u"), ("b", 1.0, 0.0, "v"), ("c", 2.0, 0.0, "u"), ("d", 3.0, 0.0, ""), ("e", 4.0, 0.0, "")]
     df = spark.createDataFrame(rows, "id string, x double, y double, unit string")
@@ -128,14 +140,14 @@ def test_null_geometry_is_flagged(spark):
 
 def test_delaunay_of_crowded_places_and_lines(spark, monkeypatch):
     """A dense cluster far from a few others, a grid of cocircular points, and points on one line."""
-    monkeypatch.setattr(delaunay, "TILE_LIMIT", 60)
+    monkeypatch.setattr(delaunay, "FOUND", 3)
     rng = random.Random(8)
     crowd = {f"c{i:02d}": (5000 + rng.gauss(0, 1), 5000 + rng.gauss(0, 1)) for i in range(70)} | {f"f{i}": (rng.uniform(0, 9000), rng.uniform(0, 9000)) for i in range(12)}
     grid = {f"g{i}{j}": (float(i), float(j)) for i in range(6) for j in range(6)}
     line = {f"l{i}": (float(i * i), 3.0) for i in range(8)}
     for points in (crowd, grid, line):
         df = spark.createDataFrame([(k, *v) for k, v in points.items()], "id string, x double, y double")
-        assert {(r.src, r.dst) for r in delaunay.delaunay_edges(df, 3).collect()} == circles(points)
+        assert {(r.src, r.dst) for r in delaunay.delaunay_edges(df).collect()} == circles(points)
 
 
 def test_knn_of_many_points_in_one_place(spark):
