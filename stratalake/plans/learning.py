@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalake.operators import features, graph, metrics, profile
+from stratalake.operators import ensembles, evaluate, features, graph, metrics, profile
 from stratalake.operators.normalize import SAFE_COLUMNS
 from stratalake.plans.fixtures import Tables
 from stratalake.plans.registry import query
@@ -237,34 +237,109 @@ def indexed(rows: DataFrame, columns: list[str]) -> DataFrame:
     return features.encode(rows, features.vocabulary(rows, columns), columns)
 
 
-@query("random_forest_baseline")
-def random_forest_baseline(t: Tables) -> DataFrame:
-    nodes = class_nodes(t).where("class_id IS NOT NULL")
+def label_runs(t: Tables) -> tuple[DataFrame, DataFrame, int]:
+    """Labels with a class, their runs and roles over spatial blocks, and the number of classes."""
+    nodes = stored(class_nodes(t).where("class_id IS NOT NULL"), "labels")
+    return nodes, evaluate.spatial_runs(nodes), (nodes.agg(F.max("class_id")).first()[0] or 0) + 1
+
+
+def label_inputs(t: Tables, nodes: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Coordinates, unit indices and the 23 numbers of labels."""
     units = ["surficial_unit", "bedrock_unit", "ssurgo_component"]
     rows = nodes.join(covariates(t, t.soil_labels, "objectid").select(F.col("id").cast("string").alias("id"), *units), "id", "left")
     numbers = features.node_numeric(nodes.withColumn("elevation", F.lit(None).cast("double")))
     rows = indexed(rows, ["unit", *units]).join(numbers, "id")
-    columns = ["x", "y", *[f"{c}_idx" for c in ("unit", *units)], *[c for c in numbers.columns if c != "id"]]
-    test = F.expr("CAST(id AS INT) % 5 = 0")
-    return features.random_forest(rows.where(~test), rows.where(test), columns).select("id", "class_id", F.col("prediction").cast("int").alias("pred"))
+    return rows, ["x", "y", *[f"{c}_idx" for c in ("unit", *units)], *[c for c in numbers.columns if c != "id"]]
+
+
+def forest_predictions(t: Tables) -> DataFrame:
+    """(run, id, y, probs): of each label by the forest of the run that tests its block."""
+    nodes, runs, classes = label_runs(t)
+    rows, columns = label_inputs(t, nodes)
+    return ensembles.forest(stored(rows.select("id", "class_id", *columns).join(runs, "id"), "forest-rows"), columns, classes)
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    return metrics.with_argmax(rows).select("id", "run", F.col("y").alias("class_id"), "pred", "probs")
+
+
+@query("random_forest_baseline")
+def random_forest_baseline(t: Tables) -> DataFrame:
+    return _classes(forest_predictions(t))
+
+
+#: Edge sets of the ablation: all, without the edges between labels and borings, and geometric ones alone.
+EDGE_SETS = {"all": ["knn", "delaunay", "same_geology", "label_boring"], "no_bridge": ["knn", "delaunay", "same_geology"], "knn_delaunay": ["knn", "delaunay"]}
+
+
+def graph_predictions(t: Tables, sets: dict[str, list[str]]) -> DataFrame:
+    """(method, run, id, y, probs): forests over graph context, one for each edge set and run, in one plan."""
+    nodes, runs, classes = label_runs(t)
+    edges, points = stored(union_edges(t), "union-edges"), stored(union_points(t), "union-points")
+    every = None
+    for k, types in enumerate(sets.values()):
+        context = graph.graph_context(graph.edge_subset(edges, types), points, ["x", "y"]).where("id LIKE 'l:%'").withColumn("id", F.expr("substr(id, 3)"))
+        rows = nodes.select("id", "class_id").join(context, "id").join(runs.withColumn("run", F.col("run") + 100 * k), "id")
+        every = rows if every is None else every.unionByName(rows)
+    columns = [c for c in every.columns if c not in ("id", "class_id", "run", "role")]
+    got = ensembles.forest(stored(every, "graph-rows"), columns, classes)
+    method = F.element_at(F.array(*[F.lit(n) for n in sets]), F.floor(F.col("run") / 100).cast("int") + 1)
+    return got.select(method.alias("method"), (F.col("run") % 100).alias("run"), "id", "y", "probs")
 
 
 @query("graph_model_baseline")
 def graph_model_baseline(t: Tables) -> DataFrame:
-    nodes = class_nodes(t).where("class_id IS NOT NULL")
-    context = graph.graph_context(stored(union_edges(t), "union-edges"), union_points(t), ["x", "y"])
-    rows = nodes.select("id", "class_id").join(context.where("id LIKE 'l:%'").withColumn("id", F.expr("substr(id, 3)")), "id")
-    columns = [c for c in rows.columns if c not in ("id", "class_id")]
-    test = F.expr("CAST(id AS INT) % 5 = 0")
-    return features.random_forest(rows.where(~test), rows.where(test), columns).select("id", "class_id", F.col("prediction").cast("int").alias("pred"))
+    return _classes(graph_predictions(t, {"all": EDGE_SETS["all"]}))
+
+
+@query("edge_ablation")
+def edge_ablation(t: Tables) -> DataFrame:
+    """Fold means of the graph model per edge set, and what each set changes."""
+    scores = evaluate.classification_folds(graph_predictions(t, EDGE_SETS), ["method", "run"]).withColumnRenamed("run", "fold")
+    return metrics.ablation(stored(scores, "scores"), "all")
+
+
+@query("spatial_cv_classes")
+def spatial_cv_classes(t: Tables) -> DataFrame:
+    """(method, fold, metric, value) of the class baselines over spatial folds."""
+    nodes, runs, classes = label_runs(t)
+    near = evaluate.nearest_labels(stored(nodes.join(runs, "id"), "vote-rows"), classes)
+    both = near.withColumn("method", F.lit("nearest_label")).unionByName(forest_predictions(t).withColumn("method", F.lit("rf_covariates")))
+    return evaluate.classification_folds(stored(both, "predictions"), ["method", "run"]).withColumnRenamed("run", "fold")
+
+
+def depth_rows(t: Tables) -> tuple[DataFrame, list[str], list[str]]:
+    """(run, role, id, boring_id, interval_index, y, columns) of depth samples with a blow count; columns of geology and depth, and of physics."""
+    samples = stored(features.depth_samples(t.strata, profile.derive(t.strata)).where("y_spt_log IS NOT NULL").withColumnRenamed("y_spt_log", "y"), "samples")
+    units = ["surficial_unit", "bedrock_unit"]
+    geology = indexed(covariates(t).select(F.col("id").alias("boring_id"), *units), units).drop(*units)
+    nodes = t.borings.join(t.dem_samples, "boring_id", "left").select(F.col("boring_id").alias("id"), F.col("x_ft").alias("x"), F.col("y_ft").alias("y"), F.col("elevation_m").alias("elevation"))
+    numbers = features.node_numeric(nodes)
+    places = samples.select("boring_id").join(nodes.select(F.col("id").alias("boring_id"), "x", "y"), "boring_id").where("x IS NOT NULL AND y IS NOT NULL")
+    runs = evaluate.spatial_runs(places.select(F.col("boring_id").alias("id"), "x", "y", F.lit(None).cast("int").alias("class_id"))).withColumnRenamed("id", "boring_id")
+    rows = samples.join(geology, "boring_id").join(numbers.withColumnRenamed("id", "boring_id"), "boring_id").join(runs, "boring_id").withColumn("id", F.concat_ws("/", "boring_id", "interval_index"))
+    plain = ["depth_std", *[f"{c}_idx" for c in units], *[c for c in numbers.columns if c != "id"]]
+    return stored(rows, "depth-rows"), plain, [*plain, *[f"{c}_{k}" for c in SAFE_COLUMNS for k in ("std", "mask")]]
 
 
 @query("boosted_trees_baseline")
 def boosted_trees_baseline(t: Tables) -> DataFrame:
-    rows = features.depth_samples(t.strata, profile.derive(t.strata)).where("y_spt_log IS NOT NULL").withColumnRenamed("y_spt_log", "y")
-    units = ["surficial_unit", "bedrock_unit"]
-    geology = covariates(t).select(F.col("id").alias("boring_id"), *units)
-    rows = indexed(rows.join(geology, "boring_id", "left"), units)
-    test = F.col("interval_index") % 5 == 0
-    columns = ["depth_std", *[f"{c}_idx" for c in units], *[f"{c}_{k}" for c in ("sigma_v0_tsf", "sigma_eff_v0_tsf", "gamma_pcf") for k in ("std", "mask")]]
-    return features.boosted_trees(rows.where(~test), rows.where(test), columns).select("boring_id", "interval_index", "y", "mu", "sigma")
+    rows, _, columns = depth_rows(t)
+    got = ensembles.boosting(rows, columns)
+    return got.join(rows.select("id", "boring_id", "interval_index").distinct(), "id").select("boring_id", "interval_index", "run", "y", "mu", "sigma")
+
+
+@query("spatial_cv_depth")
+def spatial_cv_depth(t: Tables) -> DataFrame:
+    """(method, fold, metric, value) of the blow-count baselines over spatial folds: mean, geology and depth, and with physics."""
+    rows, plain, physics = depth_rows(t)
+    mean = rows.where("role = 'train'").groupBy("run").agg(F.avg("y").alias("mu"), F.coalesce(F.nullif(F.stddev_pop("y"), F.lit(0.0)), F.lit(1.0)).alias("sigma"))
+    parts = {
+        "depth_mean": rows.where("role = 'test'").select("run", "id", "y").join(F.broadcast(mean), "run"),  # one row a run
+        "geology_depth_gbm": ensembles.boosting(rows, plain), "geology_depth_phys_gbm": ensembles.boosting(rows, physics),
+    }
+    every = None
+    for name, part in parts.items():
+        part = part.withColumn("method", F.lit(name))
+        every = part if every is None else every.unionByName(part)
+    return evaluate.regression_folds(stored(every, "predictions"), ["method", "run"]).withColumnRenamed("run", "fold")

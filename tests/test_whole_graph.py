@@ -1,5 +1,6 @@
 """Registered graphs with all edge types."""
 
+import functools
 import random
 from types import SimpleNamespace
 
@@ -7,7 +8,7 @@ import pytest
 from test_geometry import circles
 
 import __spark_entry__ as entry
-from stratalake.operators import features, graph
+from stratalake.operators import ensembles, evaluate, graph
 from stratalake.plans import learning, spatial
 
 
@@ -40,6 +41,7 @@ def test_few_points_make_no_graph_if_asked(spark):
 def test_graph_model_sees_the_whole_graph(tables, monkeypatch):
     seen, context = [], graph.graph_context
     monkeypatch.setattr(graph, "graph_context", lambda edges, *a, **k: seen.append({r.edge_type for r in edges.select("edge_type").distinct().collect()}) or context(edges, *a, **k))
-    monkeypatch.setattr(features, "random_forest", lambda train, test, *a, **k: train.unionByName(test).withColumn("prediction", train["class_id"]))
+    monkeypatch.setattr(ensembles, "forest", functools.partial(ensembles.forest, trees=2, batch=2))
+    monkeypatch.setattr(evaluate, "spatial_runs", functools.partial(evaluate.spatial_runs, size=100.0))
     assert learning.graph_model_baseline(tables).count() == 12
     assert seen == [{"knn", "delaunay", "same_geology", "label_boring"}]
