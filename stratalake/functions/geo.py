@@ -96,22 +96,16 @@ def block_id(x: Column, y: Column, size: float) -> Column:
     return F.floor(x / size) * 1_000_003 + F.floor(y / size)
 
 
-def inside(px: Column, py: Column, polygon: Column) -> Column:
-    """Strictly inside a polygon, array<ring>, ring array<struct<x, y>> closed; holes by even-odd, edges excluded."""
+def inside(px: Column, py: Column, segments: Column) -> Column:
+    """Strictly inside by even-odd over segments, array<struct<x1, y1, x2, y2>>, edges excluded.  Segments that do not reach the point's y may be left out."""
 
-    def of_ring(ring: Column) -> Column:
-        # (crossings, touches) over the ring's segments
-        segments = F.zip_with(F.slice(ring, 1, F.size(ring) - 1), F.slice(ring, 2, F.size(ring) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    def step(acc: Column, s: Column) -> Column:
+        x1, y1, x2, y2 = s["x1"], s["y1"], s["x2"], s["y2"]
+        crosses = ((y1 > py) != (y2 > py)) & (px < (x2 - x1) * (py - y1) / F.nullif(y2 - y1, F.lit(0.0)) + x1)
+        on = ((x2 - x1) * (py - y1) == (y2 - y1) * (px - x1)) & px.between(F.least(x1, x2), F.greatest(x1, x2)) & py.between(F.least(y1, y2), F.greatest(y1, y2))
+        return F.struct((acc["n"] + F.coalesce(crosses, F.lit(False)).cast("int")).alias("n"), (acc["on"] | on).alias("on"))
 
-        def step(acc: Column, s: Column) -> Column:
-            a, b = s["a"], s["b"]
-            crosses = ((a["y"] > py) != (b["y"] > py)) & (px < (b["x"] - a["x"]) * (py - a["y"]) / F.nullif(b["y"] - a["y"], F.lit(0.0)) + a["x"])
-            on = ((b["x"] - a["x"]) * (py - a["y"]) == (b["y"] - a["y"]) * (px - a["x"])) & px.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & py.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
-            return F.struct((acc["n"] + F.coalesce(crosses, F.lit(False)).cast("int")).alias("n"), (acc["on"] | on).alias("on"))
-
-        return F.aggregate(segments, F.struct(F.lit(0).alias("n"), F.lit(False).alias("on")), step)
-
-    total = F.aggregate(F.transform(polygon, of_ring), F.struct(F.lit(0).alias("n"), F.lit(False).alias("on")), lambda a, r: F.struct((a["n"] + r["n"]).alias("n"), (a["on"] | r["on"]).alias("on")))
+    total = F.aggregate(segments, F.struct(F.lit(0).alias("n"), F.lit(False).alias("on")), step)
     return (total["n"] % 2 == 1) & ~total["on"]
 
 

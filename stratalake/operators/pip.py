@@ -1,8 +1,9 @@
 """Point-in-polygon join on a grid.
 
-Polygons are spread over the grid cells that their bounding boxes cover, points have one cell; the join is an
-equi-join on the cell, then the exact test.  The cell side follows from the polygons (mean box side), so a
-polygon covers few cells; boxes far larger than that go through a coarser grid of their own level.
+The boxes of polygons, not their rings, are spread over the grid cells that they cover; points have one cell.  An equi-join on the cell
+gives the polygons whose box holds the point.  A polygon's segments lie in strips of its height, about ``PER_STRIP`` of them in each, and a second
+equi-join brings the point together with the one strip that it lies in: no other segment can cross its ray.  So a ring
+travels once, whatever its size, and a test reads a strip of it; results are those of the whole ring to the last bit.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from stratalake.functions.geo import inside
 
+PER_STRIP = 16
+
 
 def polygons_from_vertices(vertices: DataFrame) -> DataFrame:
     """(objectid, rings) from rows (objectid, seq, x, y[, ring]); vertices in order of seq."""
@@ -32,19 +35,29 @@ def match_polygons(points: DataFrame, polygons: DataFrame, x: str = "lon", y: st
     3 x 3 cells; points look up the levels that occur, whose number grows with the log of the size range.
     """
     every = F.flatten("rings")
-    boxed = polygons.withColumns({
-        "_x0": F.array_min(F.transform(every, lambda p: p["x"])), "_x1": F.array_max(F.transform(every, lambda p: p["x"])),
-        "_y0": F.array_min(F.transform(every, lambda p: p["y"])), "_y1": F.array_max(F.transform(every, lambda p: p["y"])),
-    })
+    xs, ys = F.transform(every, lambda p: p["x"]), F.transform(every, lambda p: p["y"])
+    boxed = polygons.withColumns({"_x0": F.array_min(xs), "_x1": F.array_max(xs), "_y0": F.array_min(ys), "_y1": F.array_max(ys), "_key": F.xxhash64("objectid", "rings"), "_strips": F.ceil(F.size(xs) / PER_STRIP).cast("int")})
     widest = F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0"), F.lit(base))
     boxed = boxed.withColumn("_level", F.ceil(F.log2(widest / base)).cast("int"))
     side = base * F.pow(F.lit(2.0), "_level")
-    spread = boxed.withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), side))).withColumn("_cy", F.explode(_cells(F.col("_y0"), F.col("_y1"), side)))
+
+    def strip(v: Column) -> Column:
+        # never falls as v rises, so a segment is in the strips of its ends and all between
+        return F.least(F.col("_strips") - 1, F.coalesce(F.floor(F.try_divide(v - F.col("_y0"), F.col("_y1") - F.col("_y0")) * F.col("_strips")), F.lit(0)).cast("int"))
+
+    shapes = boxed.dropDuplicates(["_key"]).select("_key", "_strips", "_y0", "_y1", F.explode("rings").alias("r"))
+    ends = F.zip_with(F.slice("r", 1, F.size("r") - 1), F.slice("r", 2, F.size("r") - 1), lambda a, b: F.struct(a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))
+    segments = shapes.where(F.size("r") > 1).select("_key", "_strips", "_y0", "_y1", F.explode(ends).alias("s"))
+    reached = F.explode(F.sequence(strip(F.least("s.y1", "s.y2")), strip(F.greatest("s.y1", "s.y2"))))
+    strips = segments.select("_key", reached.alias("_strip"), "s").groupBy("_key", "_strip").agg(F.collect_list("s").alias("_segments"))
+    spread = boxed.drop("rings").withColumn("_cx", F.explode(_cells(F.col("_x0"), F.col("_x1"), side))).withColumn("_cy", F.explode(_cells(F.col("_y0"), F.col("_y1"), side)))
     levels = boxed.agg(F.sort_array(F.collect_set("_level")).alias("l")).first()["l"]
     at = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
     at = at.withColumns({"_cx": F.floor(F.col(x) / side), "_cy": F.floor(F.col(y) / side)})
     near = F.col(x).between(F.col("_x0"), F.col("_x1")) & F.col(y).between(F.col("_y0"), F.col("_y1"))
-    return at.join(spread, ["_level", "_cx", "_cy"]).where(near).where(inside(F.col(x), F.col(y), F.col("rings"))).drop("_level", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1", "rings")
+    met = at.join(spread, ["_level", "_cx", "_cy"]).where(near).withColumn("_strip", strip(F.col(y)))
+    hit = met.join(strips, ["_key", "_strip"]).where(inside(F.col(x), F.col(y), F.col("_segments")))
+    return hit.drop("_level", "_cx", "_cy", "_x0", "_x1", "_y0", "_y1", "_key", "_strip", "_strips", "_segments")
 
 
 def dominant_component(component: DataFrame) -> DataFrame:

@@ -40,6 +40,30 @@ def test_polygons_of_many_sizes(spark):
     assert {(r.id, r.objectid) for r in got.collect()} == expected
 
 
+def test_polygon_of_many_vertices_and_repeated_polygons(spark):
+    """A jagged ring of 10,000 vertices with a hole, by the even-odd rule over the whole ring; points on vertices are outside."""
+    rng = random.Random(2)
+    ring = [(math.cos(a) * r, math.sin(a) * r) for k in range(10_000) for a, r in [(2 * math.pi * k / 10_000, 5 + rng.random())]]
+    hole = [(math.cos(2 * math.pi * k / 50), math.sin(2 * math.pi * k / 50)) for k in range(50)]
+    rings = [[*r, r[0]] for r in (ring, hole)]
+    vertices = [(1, k, i, *p) for k, r in enumerate(rings) for i, p in enumerate(r)]
+    polygons = pip.polygons_from_vertices(spark.createDataFrame(vertices, "objectid long, ring int, seq int, x double, y double"))
+    points = [(i, rng.uniform(-6, 6), rng.uniform(-6, 6)) for i in range(1500)] + [(2000 + i, *ring[i * 97]) for i in range(50)]
+
+    def odd(px, py):
+        n = 0
+        for r in rings:
+            for (x1, y1), (x2, y2) in zip(r[:-1], r[1:]):
+                n += (y1 > py) != (y2 > py) and px < (x2 - x1) * (py - y1) / (y2 - y1) + x1
+        return n % 2 == 1
+
+    table = spark.createDataFrame(points, "id long, lon double, lat double")
+    got = [r.id for r in pip.match_polygons(table, polygons).collect()]
+    assert sorted(got) == sorted(i for i, px, py in points if i < 2000 and odd(px, py))
+    twice = pip.match_polygons(table, polygons.withColumn("k", F.explode(F.array(F.lit(1), F.lit(2)))))
+    assert sorted((r.id, r.k) for r in twice.collect()) == sorted((i, k) for i in got for k in (1, 2))
+
+
 def nearest(pts, queries, k, same):
     out = set()
     for q, qx, qy in queries:
