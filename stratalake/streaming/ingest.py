@@ -1,4 +1,4 @@
-"""Resumable ingestion of landed files: each file once, a page or log that comes again replaces what it held."""
+"""Resumable ingestion of landed files: each file once, a page or log that comes again replaces what it held; a replayed batch does nothing."""
 
 from __future__ import annotations
 
@@ -27,9 +27,9 @@ def _drain(stream: DataFrame, replace, checkpoint: str) -> None:
 def ingest_pages(spark: SparkSession, landed: str, table: str, checkpoint: str, layer: str = "borings") -> None:
     """Take what is new in ``landed`` (Parquet rows src_offset, payload) into ``table``, then stop.  A page without features empties its offset."""
 
-    def replace(batch: DataFrame, _: int) -> None:
+    def replace(batch: DataFrame, number: int) -> None:
         pages = newest(batch, "src_offset", "payload")
-        write_pages(page_rows(parse_pages(pages), layer), table, pages)
+        write_pages(page_rows(parse_pages(pages), layer), table, pages, (checkpoint, number))
 
     _drain(_landed(spark, landed, "src_offset bigint, payload string"), replace, checkpoint)
 
@@ -37,8 +37,8 @@ def ingest_pages(spark: SparkSession, landed: str, table: str, checkpoint: str,
 def ingest_logs(spark: SparkSession, landed: str, table: str, checkpoint: str) -> None:
     """Parse new logs (Parquet rows boring_id, text); a boring's intervals are replaced as a whole, by none if none are found."""
 
-    def replace(batch: DataFrame, _: int) -> None:
+    def replace(batch: DataFrame, number: int) -> None:
         logs = newest(batch, "boring_id", "text")
-        replace_on_disk(parse_log_text(logs), logs, table, "boring_id")
+        replace_on_disk(parse_log_text(logs), logs, table, "boring_id", batch=(checkpoint, number))
 
     _drain(_landed(spark, landed, "boring_id string, text string"), replace, checkpoint)

@@ -123,21 +123,75 @@ def test_ingestion_resumes_and_replaces(spark, tmp_path):
     land("pages", [(0, page(({"OBJECTID": "1"}, None), ({"OBJECTID": "2"}, None))), (200, page(({"OBJECTID": "3"}, None)))], "src_offset bigint, payload string")
     run()
     run()
-    assert sorted(r.objectid for r in spark.read.parquet(f"{tmp_path}/table").collect()) == [1, 2, 3]
+    assert sorted(r.objectid for r in tables.read_buckets(spark, f"{tmp_path}/table").collect()) == [1, 2, 3]
     land("pages", [(0, page(({"OBJECTID": "9"}, None)))], "src_offset bigint, payload string")
     run()
-    assert sorted(r.objectid for r in spark.read.parquet(f"{tmp_path}/table").collect()) == [3, 9]
+    assert sorted(r.objectid for r in tables.read_buckets(spark, f"{tmp_path}/table").collect()) == [3, 9]
     # twice in one batch: the one that landed last counts, whatever its text; an empty page empties its offset
     land("pages", [(0, page(({"OBJECTID": "8"}, None))), (200, page(({"OBJECTID": "99"}, None)))], "src_offset bigint, payload string")
     time.sleep(0.05)
     land("pages", [(0, page(({"OBJECTID": "7"}, None))), (200, page())], "src_offset bigint, payload string")
     run()
-    assert sorted(r.objectid for r in spark.read.parquet(f"{tmp_path}/table").collect()) == [7]
+    assert sorted(r.objectid for r in tables.read_buckets(spark, f"{tmp_path}/table").collect()) == [7]
     land("logs", [("b", "0 - 2 SM\n2 - 4 CL")], "boring_id string, text string")
     ingest_logs(spark, f"{tmp_path}/logs", f"{tmp_path}/strata", f"{tmp_path}/check2")
     land("logs", [("b", "0 - 3 SP")], "boring_id string, text string")
     ingest_logs(spark, f"{tmp_path}/logs", f"{tmp_path}/strata", f"{tmp_path}/check2")
-    assert [(r.top_depth, r.bottom_depth, r.uscs_class) for r in spark.read.parquet(f"{tmp_path}/strata").collect()] == [(0, 3, "SP")]
+    assert [(r.top_depth, r.bottom_depth, r.uscs_class) for r in tables.read_buckets(spark, f"{tmp_path}/strata").collect()] == [(0, 3, "SP")]
     land("logs", [("b", "nothing of the kind"), ("c", "0 - 1 ML")], "boring_id string, text string")
     ingest_logs(spark, f"{tmp_path}/logs", f"{tmp_path}/strata", f"{tmp_path}/check2")
-    assert [(r.boring_id, r.uscs_class) for r in spark.read.parquet(f"{tmp_path}/strata").collect()] == [("c", "ML")]
+    assert [(r.boring_id, r.uscs_class) for r in tables.read_buckets(spark, f"{tmp_path}/strata").collect()] == [("c", "ML")]
+
+
+def test_a_failure_before_the_swap_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    read = lambda: sorted(map(tuple, tables.read_buckets(spark, path, "k long, v string").collect()))
+    first = rows(*[(k, "old") for k in range(20)])
+    tables.replace_on_disk(first, first, path, "k", buckets=4)
+    before = read()
+    commit = tables._commit
+
+    def fails(*a):
+        raise OSError("the driver died")
+
+    monkeypatch.setattr(tables, "_commit", fails)
+    change = rows((3, "new"), (50, "new"))
+    with pytest.raises(OSError):
+        tables.replace_on_disk(change, change, path, "k")
+    assert read() == before
+    monkeypatch.setattr(tables, "_commit", commit)
+    tables.replace_on_disk(change, change, path, "k")
+    assert read() == sorted([(k, "old") for k in range(20) if k != 3] + [(3, "new"), (50, "new")])
+
+
+def test_a_replayed_batch_does_nothing_and_two_writers_clash(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/t"
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    tables.replace_on_disk(rows((1, "a")), rows((1, "a")), path, "k", batch=("s", 0))
+    tables.replace_on_disk(rows((1, "b")), rows((1, "b")), path, "k", batch=("s", 0))
+    assert [r.v for r in tables.read_buckets(spark, path).collect()] == ["a"]
+    stale = tables._manifest(spark, path)
+    tables.replace_on_disk(rows((1, "c")), rows((1, "c")), path, "k", batch=("s", 1))
+    monkeypatch.setattr(tables, "_manifest", lambda *a: stale)
+    with pytest.raises(RuntimeError, match="another writer"):
+        tables.replace_on_disk(rows((1, "d")), rows((1, "d")), path, "k")
+    monkeypatch.undo()
+    assert [r.v for r in tables.read_buckets(spark, path).collect()] == ["c"]
+
+
+def test_full_buckets_split_and_old_folders_go(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v string")
+    first = rows(*[(k, f"v{k}") for k in range(300)])
+    tables.replace_on_disk(first, first, path, "k", buckets=2, most_bytes=100)
+    for step in range(3):
+        change = rows((step, "x"))
+        tables.replace_on_disk(change, change, path, "k", most_bytes=100)
+    state = tables._manifest(spark, path)
+    assert state["count"] == 16 and state["version"] == 4
+    assert sorted(map(tuple, tables.read_buckets(spark, path).collect())) == sorted((k, "x" if k < 3 else f"v{k}") for k in range(300))
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 2 and len([f for f in (tmp_path / "t" / "_manifests").iterdir() if f.suffix == ".json"]) == 2
+    # an emptied table is empty
+    tables.replace_on_disk(first.limit(0), first, path, "k", most_bytes=1 << 30)
+    assert tables.read_buckets(spark, path, "k long, v string").count() == 0
