@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratalake.functions import geo
 from stratalake.operators import normalize
+from stratalake.operators.logs import parse_log_text
 from stratalake.plans.fixtures import Tables
 from stratalake.plans.registry import query
 from stratalake.sources import geojson, tables
@@ -260,7 +261,8 @@ def incremental_page_ingest(t: Tables) -> DataFrame:
     return rows.select("src_offset", "objectid", "lid", "label", "lon", "lat")
 
 
-@query("incremental_logs", "SELECT boring_id, count(*) AS n FROM strata WHERE top_depth IS NOT NULL AND bottom_depth >= top_depth AND CAST(substr(boring_id, 2) AS INT) % 3 <> 0 GROUP BY boring_id")
+@query("incremental_logs", """SELECT boring_id, CAST(printf('%.1f', top_depth) AS DOUBLE) AS top_depth, CAST(printf('%.1f', bottom_depth) AS DOUBLE) AS bottom_depth, 'SM' AS uscs_class, 9::DOUBLE AS spt_n
+    FROM strata WHERE top_depth IS NOT NULL AND bottom_depth >= top_depth AND CAST(substr(boring_id, 2) AS INT) % 3 <> 0""")
 def incremental_logs(t: Tables) -> DataFrame:
     """Logs of plain interval lines; those of every third boring land again without any."""
     home = shared_dir(t.spark, "logs")
@@ -270,7 +272,8 @@ def incremental_logs(t: Tables) -> DataFrame:
     ingest_logs(t.spark, f"{home}/landed", f"{home}/table", f"{home}/checkpoint")
     logs.where(F.substring("boring_id", 2, 9).cast("int") % 3 == 0).withColumn("text", F.lit("no intervals here")).write.mode("append").parquet(f"{home}/landed")
     ingest_logs(t.spark, f"{home}/landed", f"{home}/table", f"{home}/checkpoint")
-    return tables.read_buckets(t.spark, f"{home}/table", "boring_id string, interval_index int").groupBy("boring_id").agg(F.count(F.lit(1)).alias("n"))
+    found = tables.read_buckets(t.spark, f"{home}/table", parse_log_text(logs).schema)
+    return found.select("boring_id", "top_depth", "bottom_depth", "uscs_class", F.col("spt_n").cast("double").alias("spt_n"))
 
 
 @query("fallback_id", "SELECT objectid, CASE WHEN objectid % 3 <> 0 THEN boring_id ELSE 'OID-' || objectid END AS boring_id FROM borings")

@@ -156,6 +156,14 @@ def test_vincenty_known_lines():
     assert got[0] == pytest.approx(111319.491, abs=0.01) and got[1] == pytest.approx(54972.271, abs=0.05) and got[2] == 0 and 1.9e7 < got[3] < 2.1e7
 
 
+def test_haversine_fixed_values(spark):
+    """A degree of the equator and of a meridian, a quarter and half of a great circle: R times the angle."""
+    lines = {(0, 0, 1, 0): 111195.0802, (10, 45, 10, 46): 111195.0802, (0, 0, 90, 0): 10007557.2210, (0, -90, 0, 90): 20015114.4420, (-74.5, 40.0, -74.5, 40.0): 0.0}
+    rows = spark.createDataFrame([tuple(map(float, k)) for k in lines], "a double, b double, c double, d double")
+    got = [r[0] for r in rows.select(F.expr(geo.haversine_sql("a", "b", "c", "d"))).collect()]
+    assert got == pytest.approx(list(lines.values()), abs=1e-3)
+
+
 def test_null_geometry_is_flagged(spark):
     rows = spark.createDataFrame([(None, None, None, None), (-80.0, 40.0, None, None), (-74.5, 40.0, 0.0, 0.0), (-74.5, 40.0, None, None)], "lon double, lat double, point_x double, point_y double")
     assert [r.coord_quality_flag for r in normalize.coord_quality(rows).collect()] == ["no_geom", "out_of_nj_bbox", "xy_geom_mismatch", "ok"]
