@@ -3,14 +3,17 @@
 A text's set is its distinct ``n``-word shingles (64-bit hashes).  Equal sets become one class first, so copies
 cost nothing afterwards.  Two classes can link only if they share a shingle among the first few of each in one
 global order (shingles that many texts share come last in it), so classes meet in tiles by such a shingle; tiles of one smallest class are one.
-A tile is sorted by set size and only sizes within the threshold of each other, a band of it, are compared, by
-parity bitmaps: the bits in which two bitmaps differ bound the symmetric difference from below, and so the overlap
+What a class holds from the tile's shingle on bounds its overlap with those whose first common shingle this is, so every
+row carries the largest sum of sizes at which it can link there.  A tile is sorted by set size and only sizes within the
+threshold of each other, a band of it, and within both rows' sums are compared: rows without such a partner leave first,
+the others are compared by parity bitmaps: the bits in which two bitmaps differ bound the symmetric difference from below, and so the overlap
 from above.  Classes that pass with any other meet once more with their sorted hash arrays and are intersected in
 their task.  What leaves a task is a star for each component of true links, never a pair that only might link.
 
 A large tile is dealt into parts, each a unit of its own.  When the links inside the parts are known, classes outside
-the tile's largest component meet all parts; a tile that one component fills is done by then.  So a group of near
-copies costs its size, and what stays apart in it costs its number times the group's size over the parts' size.
+the tile's largest component meet all parts; a tile that one component fills is done by then.  Rows whose sizes and sums
+leave them no partner anywhere in the tile do not take part.  So a group of near copies costs its size, and what stays
+apart in it and still might link costs its number times the group's size over the parts' size.
 No link is lost.
 
 Defined cases: null text, and text without words, has an empty set and is linked with nothing; fewer words than
@@ -21,6 +24,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,17 +143,19 @@ def _prefixes(n: int, percent: int, shared):
 
 
 def _by_shingle(shared, hot: bool):
-    """Rows (shingle, set_id) of the prefixes: of shingles among the frequent ones if ``hot``, else of the others."""
+    """Rows (shingle, set_id, place in the prefix): of shingles among the frequent ones if ``hot``, else of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, _ = shared.value
         for batch in batches:
             prefix = [np.frombuffer(x, np.uint64) for x in batch.column("prefix").to_pylist()]
             shingles = np.concatenate(prefix) if prefix else np.zeros(0, np.uint64)
-            ids = np.repeat(batch.column("set_id").to_numpy(), [len(p) for p in prefix])
+            sizes = np.array([len(p) for p in prefix], np.int64)
+            ids = np.repeat(batch.column("set_id").to_numpy(), sizes)
+            places = np.arange(len(shingles)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             among = heavy[np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)] == shingles if len(heavy) else np.zeros(len(shingles), bool)
             take = among == hot
-            yield pa.RecordBatch.from_arrays([pa.array(shingles[take].view(np.int64)), pa.array(ids[take], pa.int64())], ["shingle", "set_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(shingles[take].view(np.int64)), pa.array(ids[take], pa.int64()), pa.array(places[take], pa.int32())], ["shingle", "set_id", "place"])
 
     return run
 
@@ -176,20 +182,26 @@ def _whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 class _Units:
-    """Whole units, each sorted by set size, of one chunk of rows."""
+    """Whole units, each sorted by set size, of one chunk of rows.
 
-    def __init__(self, table: pa.Table, bitmaps: list[bytes], percent: int):
+    Without ``cap`` a row may link at any sum of sizes; without bitmaps sizes alone decide what passes.
+    """
+
+    def __init__(self, table: pa.Table, bitmaps: list[bytes] | None, percent: int):
         self.percent = percent
         unit, self.ids, self.n, self.side, self.root = (table[c].to_numpy() for c in ("unit", "set_id", "n", "side", "root"))
-        self.words = np.array([len(x) // 8 for x in bitmaps], np.int64)
+        self.cap = table["cap"].to_numpy() if "cap" in table.column_names else np.full(len(self.n), np.iinfo(np.int64).max)
+        self.signed = bitmaps is not None
+        self.words = np.array([len(x) // 8 for x in bitmaps or []], np.int64)
         self.at = np.cumsum(self.words) - self.words
-        self.data = np.frombuffer(b"".join(bitmaps), np.uint64)
+        self.data = np.frombuffer(b"".join(bitmaps or []), np.uint64)
         starts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
         self.bounds = np.r_[starts, len(unit)]
 
     def open(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether rows i and j (sizes n[i] >= n[j]) may link by their sizes and nothing else has joined or parted them."""
-        return (self.n[j] >= _needed(self.n[i], self.percent)) & (self.root[i] != self.root[j]) & ((self.side[i] == 0) | (self.side[j] == 0))
+        """Whether rows i and j (sizes n[i] >= n[j]) may link here by their sizes and nothing else has joined or parted them."""
+        fits = (self.n[j] >= _needed(self.n[i], self.percent)) & (self.n[i] + self.n[j] <= np.minimum(self.cap[i], self.cap[j]))
+        return fits & (self.root[i] != self.root[j]) & ((self.side[i] == 0) | (self.side[j] == 0))
 
     def passes(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether the bitmaps of rows i and j allow a link; for pairs whose sizes do."""
@@ -230,7 +242,7 @@ class _Units:
     def _mark(self, found: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         fits = self.open(i, j) & ~(found[i] & found[j])  # of two marked rows nothing new can be learned
         i, j = i[fits], j[fits]
-        ok = self.passes(i, j)
+        ok = self.passes(i, j) if self.signed else slice(None)
         found[i[ok]] = True
         found[j[ok]] = True
 
@@ -262,16 +274,17 @@ class _Units:
                     take = min(4 * take, most)
 
 
-_UNIT = "unit long, side int, root long, set_id long, n long"
+_UNIT = "unit long, side int, root long, set_id long, n long, cap long"
+_COLUMNS = ["unit", "side", "root", "set_id", "n", "cap"]
 
 
-def _screen(percent: int):
-    """Rows of units that their bitmaps allow to link with another row."""
+def _screen(percent: int, signed: bool):
+    """Rows of units that their sizes, and their bitmaps if ``signed``, allow to link with another row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_units(batches):
-            found = _Units(table, table["bits"].to_pylist(), percent).met()
-            yield from table.select(["unit", "side", "root", "set_id", "n"]).filter(pa.array(found)).to_batches()
+            found = _Units(table, table["bits"].to_pylist() if signed else None, percent).met()
+            yield from table.select(_COLUMNS).filter(pa.array(found)).to_batches()
 
     return run
 
@@ -303,7 +316,6 @@ def _settle(percent: int):
 
 def _arrays(n: int):
     """Rows of units with their sorted hash arrays; of rows that repeat a text of one doc_id a task keeps one."""
-    names = ["unit", "side", "root", "set_id", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         had = set()
@@ -315,58 +327,79 @@ def _arrays(n: int):
                 had.add(key)
             for part in text_slices(batch.filter(pa.array(new, pa.bool_()))):
                 sets = [s.tobytes() for s in shingle_sets(part.column("text"), n)]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "members"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in _COLUMNS), pa.array(sets, pa.binary())], [*_COLUMNS, "members"])
 
     return run
 
 
 def _links(units: DataFrame, bits: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """(a, b): stars over different roots of ``units`` (unit, side, root, set_id, n) whose sets link.
+    """(a, b): stars over different roots of ``units`` (unit, side, root, set_id, n, cap) whose sets link.
 
-    Bitmaps say which rows of a unit may link at all; those meet again with their sorted hash arrays, made where the
+    Sizes, and for what they leave bitmaps, say which rows of a unit may link at all; those meet again with their sorted hash arrays, made where the
     texts of their classes lie, and are intersected.
     """
-    columns = ["unit", "side", "root", "set_id", "n"]
-    with_bits = units.join(bits.select("set_id", "bits"), "set_id").select(*columns, "bits")
-    passed = with_bits.repartition("unit").sortWithinPartitions("unit", "n", "set_id").mapInArrow(_screen(percent), _UNIT)
+    def sorted_units(rows: DataFrame) -> DataFrame:
+        return rows.repartition("unit").sortWithinPartitions("unit", "n", "set_id")
+
+    sized = sorted_units(units).mapInArrow(_screen(percent, False), _UNIT)
+    with_bits = sized.join(bits.select("set_id", "bits"), "set_id").select(*_COLUMNS, "bits")
+    passed = sorted_units(with_bits).mapInArrow(_screen(percent, True), _UNIT)
     needed = stored(passed.join(classes.select("set_id", "row_key"), "set_id"), "needed", free=True)
     rows = F.broadcast(needed) if needed.count() <= broadcast_rows else needed
-    arrays = docs.select("row_key", "text").join(rows, "row_key").select(*columns, "text").mapInArrow(_arrays(n), f"{_UNIT}, members binary")
-    met = arrays.repartition("unit").sortWithinPartitions("unit", "n", "set_id")
-    links = stored(met.mapInArrow(_settle(percent), "a long, b long"), "links", free=True)
+    arrays = docs.select("row_key", "text").join(rows, "row_key").select(*_COLUMNS, "text").mapInArrow(_arrays(n), f"{_UNIT}, members binary")
+    links = stored(sorted_units(arrays).mapInArrow(_settle(percent), "a long, b long"), "links", free=True)
     forget(needed)
     return links
 
 
-def _tiles(prefixes: DataFrame, shared) -> DataFrame:
-    """(tile, set_id, n): sets that share a shingle of their prefixes are in a tile together, tiles of two sets and more.
+def _tiles(prefixes: DataFrame, shared, percent: int) -> DataFrame:
+    """(tile, set_id, n, cap): sets that share a shingle of their prefixes are in a tile together, tiles of two sets and more.
 
-    Tiles of one smallest set are one tile under its id: near copies share many shingles and still meet once.
+    Tiles of one smallest set are one tile under its id: near copies share many shingles and still meet once.  A pair links
+    with an overlap of percent / (100 + percent) of the sum of its sizes or more, and in the tile of its first common shingle
+    has at most what the smaller number of shingles from there on allows: ``cap`` is the largest such sum of sizes, taken
+    from the row's first place where tiles are one.
     """
     prefix = prefixes.select("set_id", "prefix")
-    rare = prefix.mapInArrow(_by_shingle(shared, False), "shingle long, set_id long")
+    rare = prefix.mapInArrow(_by_shingle(shared, False), "shingle long, set_id long, place int")
     same = Window.partitionBy("shingle")
-    rare = rare.select("set_id", F.min("set_id").over(same).alias("tile"), F.count(F.lit(1)).over(same).alias("rows")).where("rows > 1").select("tile", "set_id")
+    rare = rare.select("set_id", "place", F.min("set_id").over(same).alias("tile"), F.count(F.lit(1)).over(same).alias("rows")).where("rows > 1").select("tile", "set_id", "place")
     # frequent shingles may be in a third of all sets: they are counted where they lie, and are heavy_limit rows at most
-    hot = prefix.mapInArrow(_by_shingle(shared, True), "shingle long, set_id long")
+    hot = prefix.mapInArrow(_by_shingle(shared, True), "shingle long, set_id long, place int")
     lowest = hot.groupBy("shingle").agg(F.min("set_id").alias("tile"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows")
-    hot = hot.join(F.broadcast(lowest), "shingle").select("tile", "set_id")
-    met = stored(rare.unionByName(hot).distinct(), "met", free=True)
-    tiles = stored(met.join(prefixes.select("set_id", "n"), "set_id").select("tile", "set_id", "n"), "tiles")
+    hot = hot.join(F.broadcast(lowest), "shingle").select("tile", "set_id", "place")
+    met = stored(rare.unionByName(hot).groupBy("tile", "set_id").agg(F.min("place").alias("place")), "met", free=True)
+    cap = F.expr(f"(n - place) * {100 + percent} div {percent}")
+    tiles = stored(met.join(prefixes.select("set_id", "n"), "set_id").select("tile", "set_id", "n", cap.alias("cap")), "tiles")
     forget(met)
     return tiles
 
 
-def _crossed(tiles: DataFrame, roots: DataFrame) -> DataFrame:
+def _partnered(tiles: DataFrame, percent: int) -> DataFrame:
+    """Rows of ``tiles`` to whose sizes and caps some other row of the tile may answer.
+
+    A tile is described by bands of sizes that grow by a hundredth, sizes below 100 each on their own: some 1,400 bands
+    up to a million shingles, however many rows.
+    """
+    band, reach = F.floor(F.log("n") / math.log(1.01)), F.col("cap") - F.col("n")
+    bands = tiles.groupBy("tile", band.alias("band")).agg(F.count(F.lit(1)).alias("rows"), F.min("n").alias("low"), F.max("n").alias("high"), F.max(reach).alias("reach"))
+    held = bands.groupBy("tile").agg(F.collect_list(F.struct("band", "rows", "low", "high", "reach")).alias("bands"))
+    least, most = F.expr(f"(n * {percent} + 99) div 100"), F.least(F.expr(f"n * 100 div {percent}"), reach)
+    answers = F.exists("bands", lambda b: (b["low"] <= most) & (b["high"] >= least) & (b["reach"] >= F.col("n")) & ((b["rows"] > 1) | (b["band"] != band)))
+    return tiles.join(held, "tile").where(answers).select(*tiles.columns)
+
+
+def _crossed(tiles: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Units that bring rows of different parts of a tile together: rows outside the tile's largest component with all rows.
 
-    A tile that one component fills has no such unit, so a large group of near copies costs what it has besides its
-    component.
+    ``tiles`` has a tile's number of rows and of parts besides.  A tile that one component fills has no such unit, so a
+    large group of near copies costs what it has besides its component, and only rows that have a possible partner take part.
     """
-    rooted = tiles.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    rooted = _partnered(tiles, percent).join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     of_root = rooted.groupBy("tile", "root").agg(F.count(F.lit(1)).alias("rows"))
     most = of_root.groupBy("tile").agg(F.max_by("root", F.struct("rows", "root")).alias("most"), F.max("rows").alias("top"), F.sum("rows").alias("all")).where("all > top")
-    rows = rooted.join(most, "tile").withColumn("few", F.ceil((F.col("all") - F.col("top")) * F.col("parts") / F.col("all")).cast("int"))
+    rows = rooted.join(most, "tile").withColumn("parts", F.ceil(F.col("parts") * F.col("all") / F.col("held")).cast("int"))
+    rows = rows.withColumn("few", F.ceil((F.col("all") - F.col("top")) * F.col("parts") / F.col("all")).cast("int"))
 
     def part(seed: int, parts: str) -> Column:
         return F.pmod(F.xxhash64(F.lit(seed), "tile", "set_id"), F.col(parts)).cast("int")
@@ -376,7 +409,7 @@ def _crossed(tiles: DataFrame, roots: DataFrame) -> DataFrame:
 
     outside = rows.where("root <> most").select("*", part(3, "few").alias("i"), every("parts").alias("j")).withColumn("side", F.lit(0))
     everyone = rows.select("*", every("few").alias("i"), part(5, "parts").alias("j")).withColumn("side", F.lit(1))
-    return outside.unionByName(everyone).select(F.xxhash64("tile", "i", "j").alias("unit"), "side", "root", "set_id", "n")
+    return outside.unionByName(everyone).select(F.xxhash64("tile", "i", "j").alias("unit"), "side", "root", "set_id", "n", "cap")
 
 
 def similar_groups(
@@ -402,17 +435,17 @@ def similar_groups(
     shared = spark.sparkContext.broadcast((heavy_keys[by_key], np.array([r["n"] for r in heavy], np.int64)[by_key]))
     prefixes = base.select("text").mapInArrow(_prefixes(n, percent, shared), "set_id long, n long, prefix binary, bits binary")
     prefixes = stored(prefixes.groupBy("set_id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")), "prefixes", free=True)
-    tiles = _tiles(prefixes, shared)
+    tiles = _tiles(prefixes, shared, percent)
     bits = stored(prefixes.join(tiles.select("set_id").distinct(), "set_id", "left_semi").select("set_id", "bits"), "bits", free=True)
     forget(prefixes)
     parts = F.ceil(F.greatest(F.count(F.lit(1)) / part_rows, F.sum(8 * F.col("n") + 64) / part_bytes)).cast("int")
-    large = stored(tiles.groupBy("tile").agg(parts.alias("parts")).where("parts > 1"), "large")
+    large = stored(tiles.groupBy("tile").agg(parts.alias("parts"), F.count(F.lit(1)).alias("held")).where("parts > 1"), "large")
     parted = tiles.join(large, "tile", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(5), "tile", "set_id"), F.col("parts")).cast("int")
-    units = parted.select(F.xxhash64("tile", own).alias("unit"), F.lit(0).alias("side"), F.col("set_id").alias("root"), "set_id", "n")
+    units = parted.select(F.xxhash64("tile", own).alias("unit"), F.lit(0).alias("side"), F.col("set_id").alias("root"), "set_id", "n", "cap")
     roots = components(_links(units, bits, classes, base, n, percent, broadcast_rows)).select(F.col("node").alias("set_id"), "root")
     if large.limit(1).count():
-        crossed = stored(_crossed(tiles.join(large, "tile"), roots), "crossed")
+        crossed = stored(_crossed(tiles.join(large, "tile"), roots, percent), "crossed")
         more = _links(crossed, bits, classes, base, n, percent, broadcast_rows)
         if more.limit(1).count():
             # links of roots: sets follow theirs
@@ -420,6 +453,7 @@ def similar_groups(
             every = roots.unionByName(above.select(F.col("root").alias("set_id"), "root")).distinct()
             roots = every.join(above, "root", "left").select("set_id", F.coalesce("top", "root").alias("root")).distinct()
         forget(crossed)
+    forget(tiles, bits, large)
     members = classes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     lowest = members.groupBy("root").agg(F.min("low_doc").alias("component_id"))
     named = members.join(lowest, "root").select("set_id", "root", "component_id")

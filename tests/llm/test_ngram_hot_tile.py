@@ -117,3 +117,44 @@ def test_many_texts_just_under_the_threshold(spark):
                         root[max(find(a), find(b))] = min(find(a), find(b))
     got = {r.doc_id: r.component_id for r in N.op8_query(df).collect()}
     assert got == {d: find(d) for d in ids}
+
+
+def test_near_misses_ship_their_number(spark, monkeypatch):
+    """Texts of one prefix that link with few others: rows brought together again grow as the texts do."""
+    crossed, shipped = N._crossed, []
+
+    def counted(*args):
+        out = crossed(*args)
+        shipped.append(out.count())
+        return out
+
+    monkeypatch.setattr(N, "_crossed", counted)
+    took = []
+    for many in (2_000, 8_000):
+        rng = np.random.default_rng(11)
+        rows = []
+        for d in range(many):
+            text = [f"b{k}" for k in range(60 - d % 3)]
+            for at in rng.choice(14, 2, replace=False) * 4:
+                text[at] = f"d{d}x{at}"
+            rows.append((d, " ".join(text)))
+        rows += [(many + k, " ".join(f"b{j}" for j in range(60 - k))) for k in range(3)]
+        shipped.clear()
+        got = N.op8_query(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert len(got) == many + 3 and {r.component_id for r in got if r.doc_id >= many} == {many}
+        took.append(sum(shipped))
+    assert took[1] <= 5 * max(took[0], many // 10)
+
+
+def test_rows_without_a_possible_partner_leave_a_tile(spark):
+    rng = np.random.default_rng(5)
+    rows = [(t, k, int(n), int(n * 185 // 85 * c)) for t in range(3) for k, (n, c) in enumerate(zip(rng.integers(20, 400, 60), rng.uniform(0.9, 1.0, 60), strict=True))]
+    got = {(r.tile, r.set_id) for r in N._partnered(spark.createDataFrame(rows, "tile long, set_id long, n long, cap long"), 85).collect()}
+
+    def may(a, b):
+        return 100 * min(a[2], b[2]) >= 85 * max(a[2], b[2]) and a[2] + b[2] <= min(a[3], b[3])
+
+    true = {a[:2] for a in rows if any(may(a, b) for b in rows if a[0] == b[0] and a[1] != b[1])}
+    assert true <= got
+    alone = {a[:2] for a in rows if not any(100 * min(a[2], b[2]) >= 83 * max(a[2], b[2]) for b in rows if a[0] == b[0] and a[1] != b[1])}
+    assert not alone & got
