@@ -11,7 +11,7 @@ from stratalake.operators.logs import parse_log_text
 from stratalake.plans.fixtures import Tables
 from stratalake.plans.registry import query
 from stratalake.sources import geojson, tables
-from stratalake.storage import shared_dir
+from stratalake.storage import shared_dir, stored
 from stratalake.streaming.ingest import ingest_logs, ingest_pages
 
 _X, _Y = geo.project_sql("lon", "lat")
@@ -37,6 +37,27 @@ def geojson_page_scan(t: Tables) -> DataFrame:
     return geojson.page_rows(geojson.parse_pages(page_payloads(t)), "borings").select("src_offset", "objectid", "lid", "label", "pid", "srce", "point_x", "point_y", "lon", "lat")
 
 
+@query("geojson_split_load", "SELECT objectid, boring_id AS lid, pid, lon, lat FROM borings")
+def geojson_split_load(t: Tables) -> DataFrame:
+    """Borings as GeoJSON files of 20,000 features each, read in eight parts a file."""
+    home = shared_dir(t.spark, "geojson")
+    properties = F.create_map(F.lit("OBJECTID"), F.col("objectid").cast("string"), F.lit("LID"), F.col("boring_id"), F.lit("PID"), F.col("pid"), F.lit("NOTE"), F.lit('a "}" in \\ text'))
+    geometry = F.when(F.col("lon").isNotNull() | F.col("lat").isNotNull(), F.struct(F.lit("Point").alias("type"), F.array("lon", "lat").alias("coordinates")))
+    feature = F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry"))
+    files = t.borings.groupBy(F.floor(F.col("objectid") / 20_000).alias("file")).agg(F.collect_list(feature).alias("features"))
+    files.select("file", F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("payload")).write.partitionBy("file").text(home)
+    largest = t.spark.read.format("binaryFile").load(home).agg(F.max("length")).first()[0] or 1
+    size, name = -(-largest // 8), "spark.sql.files.maxPartitionBytes"
+    before = t.spark.conf.get(name)
+    t.spark.conf.set(name, str(size))
+    try:
+        rows = stored(geojson.read_features(t.spark, home), "features")
+    finally:
+        t.spark.conf.set(name, before)
+    p, point = F.col("properties"), F.from_json("geometry", "struct<coordinates: array<double>>")["coordinates"]
+    return rows.select(geojson.coerce(p["OBJECTID"], "bigint").alias("objectid"), geojson.coerce(p["LID"], "string").alias("lid"), geojson.coerce(p["PID"], "string").alias("pid"), F.get(point, F.lit(0)).alias("lon"), F.get(point, F.lit(1)).alias("lat"))
+
+
 @query("property_coercion", """
     SELECT event_id, try_cast(nullif(v, '') AS INT) AS as_int, try_cast(nullif(v, '') AS DOUBLE) AS as_double
     FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'n/a' WHEN 2 THEN CAST(event_id AS VARCHAR) ELSE NULL END AS v FROM events)""")

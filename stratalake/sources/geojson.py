@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalake.sources.split_json import feature_texts
 from stratalake.sources.tables import refresh
 
 _FEATURES = "features array<struct<properties: map<string,string>, geometry: string>>"
@@ -60,9 +61,19 @@ def geometry_polygon(geometry: Column) -> Column:
     return F.transform(rings, lambda ring: F.transform(ring, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y"))))
 
 
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    """(properties, geometry text) of the features of whole files, which are read by byte ranges.
+
+    A feature is an element of the file's array that has its type, properties or a geometry.
+    """
+    one = F.from_json("text", "struct<type: string, properties: map<string,string>, geometry: string>")
+    rows = feature_texts(spark, path).select(one.alias("f")).select("f.*")
+    return rows.where("type = 'Feature' OR properties IS NOT NULL OR geometry IS NOT NULL").select("properties", "geometry")
+
+
 def load_whole(spark: SparkSession, path: str) -> DataFrame:
     """Features of whole files: properties and rings."""
-    return spark.read.schema(_FEATURES).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties", geometry_polygon(F.col("f.geometry")).alias("rings"))
+    return read_features(spark, path).select("properties", geometry_polygon(F.col("geometry")).alias("rings"))
 
 
 def refresh_layer(spark: SparkSession, path: str, table: str, expected: int | None = None) -> bool:
