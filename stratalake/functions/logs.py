@@ -43,8 +43,8 @@ def soil_family(description: Column) -> Column:
 
 
 def numbers_in(text: Column) -> Column:
-    """array<double> of a box's numbers: comma is a decimal mark; | / and blanks separate; . : - are stripped."""
-    parts = F.transform(F.split(F.translate(text, ",", "."), r"[|/\s]+"), lambda t: F.regexp_replace(t, r"^[.:\-]+|[.:\-]+$", ""))
+    """array<double> of a box's numbers: comma is a decimal mark; | / and blanks separate; . : - are stripped; null has none."""
+    parts = F.transform(F.split(F.translate(F.coalesce(text, F.lit("")), ",", "."), r"[|/\s]+"), lambda t: F.regexp_replace(t, r"^[.:\-]+|[.:\-]+$", ""))
     return F.transform(F.filter(parts, lambda t: t.rlike(r"^\d{1,3}(?:\.\d+)?$")), lambda t: t.cast("double"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stratalake.functions.geo import edge_weight
 from stratalake.operators.delaunay import delaunay_edges
 from stratalake.operators.knn import knn
-from stratalake.storage import stored
+from stratalake.storage import bucketed, shuffle_partitions
 
 RADIUS_FT = 2000 * 3.280839895
 EDGE = ["src", "dst", "edge_type"]
@@ -92,27 +92,63 @@ def neighbor_mean(edges: DataFrame, features: DataFrame, columns: list[str]) ->
     return sent.groupBy(F.col("dst").alias("id"), "edge_type").agg(*[F.avg(c).alias(c) for c in columns])
 
 
-def graph_context(edges: DataFrame, features: DataFrame, columns: list[str], hops: int = 3) -> DataFrame:
-    """Own columns and, per hop, the mean over relations of the neighbour means: id, c, c_1, c_2, ..."""
-    out, now = features.select("id", *columns), features.select("id", *columns)
+def ways_of(edges: DataFrame) -> DataFrame:
+    """Both directions of edges, stored by the bucket of the node they leave: hops over them move nodes only."""
+    both = directed(edges)
+    return bucketed(both.repartition(shuffle_partitions(both), "src"), "ways", "src")
+
+
+def _received(ways: DataFrame, now: DataFrame, columns: list[str], relations: list[str | None]) -> DataFrame:
+    """Per node the mean over relations of the mean of what its neighbours send; sums are made before the one shuffle."""
+    sent = ways.join(now.withColumnRenamed("id", "src"), "src")
+    means = {(r, c): F.avg(F.when(F.col("edge_type").eqNullSafe(F.lit(kind)), F.col(c))) for r, kind in enumerate(relations) for c in columns}
+    met = sent.groupBy(F.col("dst").alias("id")).agg(*[m.alias(f"{c}_of_{r}") for (r, c), m in means.items()])
+    mean = lambda c: sum((F.coalesce(F.col(f"{c}_of_{r}"), F.lit(0.0)) for r in range(len(relations))), F.lit(0.0))
+    known = lambda c: sum((F.col(f"{c}_of_{r}").isNotNull().cast("int") for r in range(len(relations))), F.lit(0))
+    return met.select("id", *[F.try_divide(mean(c), known(c)).alias(c) for c in columns])
+
+
+def graph_context(edges: DataFrame, features: DataFrame, columns: list[str], hops: int = 3, most_relations: int = 64) -> DataFrame:
+    """Own columns and, per hop, the mean over relations of the neighbour means: id, c, c_1, c_2, ...
+
+    Edges and nodes are stored once by bucket.  A hop joins them where they lie, sums per task and relation, shuffles the sums
+    by the node that receives them, and stores the nodes for the next: one shuffle a hop.  Of more than ``most_relations``
+    kinds of edges, means are grouped in two steps instead.
+    """
+    ways = ways_of(edges.select(*EDGE))
+    relations = [r[0] for r in ways.select("edge_type").distinct().sort("edge_type").limit(most_relations + 1).collect()]
+    own = features.select("id", *columns)
+    out = now = nodes = bucketed(own.repartition(shuffle_partitions(own), "id"), "nodes", "id")
     for hop in range(1, hops + 1):
-        met = neighbor_mean(edges, now, columns).groupBy("id").agg(*[F.avg(c).alias(c) for c in columns])
-        now = features.select("id").join(met, "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns])
+        if len(relations) <= most_relations:
+            met = _received(ways, now, columns, relations)
+        else:
+            sent = ways.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id"), "edge_type").agg(*[F.avg(c).alias(c) for c in columns])
+            met = sent.groupBy("id").agg(*[F.avg(c).alias(c) for c in columns])
+        now = bucketed(nodes.select("id").join(met, "id", "left").select("id", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in columns]), f"hop-{hop}", "id")
         out = out.join(now.withColumnsRenamed({c: f"{c}_{hop}" for c in columns}), "id")
     return out
 
 
 def reachability(edges: DataFrame, hops: int = 3) -> DataFrame:
-    """One row: labels with edges, those of them that reach a boring within ``hops``, and their share."""
-    ways = stored(directed(edges.select("src", "dst")).distinct(), "ways")
+    """One row: labels with edges, those of them that reach a boring within ``hops``, and their share.
+
+    A hop joins the nodes that the last one added with the bucketed ways, shuffles their neighbours once, and takes off
+    those reached before; every table of reached nodes lies in the same buckets.
+    """
+    ways = ways_of(edges.select("src", "dst").distinct())
     nodes = ways.select(F.col("src").alias("id")).distinct()
-    reached = frontier = stored(nodes.where("id LIKE 'b:%'"), "reached")
+    reached = [bucketed(nodes.where("id LIKE 'b:%'"), "reached", "id")]
     for _ in range(hops):
         # only what the last hop added goes on
-        met = ways.join(frontier.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
-        frontier = stored(met.join(reached, "id", "left_anti"), "frontier")
-        reached = reached.unionByName(frontier)
-    hit = nodes.where("id LIKE 'l:%'").join(reached.withColumn("r", F.lit(1)), "id", "left")
+        met = ways.join(reached[-1].withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id")).distinct()
+        for earlier in reached:
+            met = met.join(earlier, "id", "left_anti")
+        reached.append(bucketed(met, "frontier", "id"))
+    hit = nodes.where("id LIKE 'l:%'")
+    for hop, found in enumerate(reached):
+        hit = hit.join(found.withColumn(f"r{hop}", F.lit(1)), "id", "left")
+    hit = hit.withColumn("r", F.coalesce(*[f"r{hop}" for hop in range(len(reached))]))
     return hit.agg(F.count(F.lit(1)).alias("labels"), F.count("r").alias("reached"), F.round(F.try_divide(F.count("r"), F.count(F.lit(1))), 6).alias("share"))
 
 

@@ -1,7 +1,7 @@
 """Log text and positioned boxes to depth intervals, as jobs over text and box tables.
 
 Boxes: (boring_id, page, seq, page_w, page_h, x, y, text, conf); seq is the order in which they were emitted.
-A page's boxes are gathered per page (a page has a bounded number), never per boring or more.
+A page's boxes are one array (a page has a bounded number); a boring's or more are never gathered.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from stratalake.functions import logs
 
 PAGE = ["boring_id", "page"]
 METRIC_FT = 3.280839895
+#: A sample id's band reaches less than so far up and down.
+BAND = 70
 
 
 def parse_log_text(texts: DataFrame) -> DataFrame:
@@ -30,11 +32,21 @@ def parse_log_text(texts: DataFrame) -> DataFrame:
     return seen.select("boring_id", index.alias("interval_index"), "top_depth", "bottom_depth", "uscs_class", "spt_n", "sample_type", "gw_depth", F.round(F.least(F.lit(1.0), 0.3 + 0.2 * signals), 2).alias("confidence"))
 
 
+def _in_order(boxes: Column | str, *order: str) -> Column:
+    """Texts of an array of boxes sorted by some of their fields."""
+    return F.transform(F.array_sort(F.transform(boxes, lambda b: F.struct(*[b[c].alias(c) for c in (*order, "text")]))), lambda b: b["text"])
+
+
+def _texts(boxes: Column) -> dict[str, Column]:
+    """Text of a page's boxes in reading order (15-unit lines, then x) and in emission order."""
+    lined = F.transform(boxes, lambda b: b.withField("r", F.bround(b["y"] / 15)))
+    return {"flat": F.array_join(_in_order(lined, "r", "x", "seq"), "\n"), "emitted": F.array_join(_in_order(boxes, "seq"), " ")}
+
+
 def page_text(boxes: DataFrame) -> DataFrame:
-    """Per page its text in reading order (15-unit lines, then x) and in emission order."""
-    reading = F.array_sort(F.collect_list(F.struct(F.bround(F.col("y") / 15).alias("r"), "x", "seq", "text")))
-    emitted = F.array_sort(F.collect_list(F.struct("seq", "text")))
-    return boxes.groupBy(*PAGE).agg(F.array_join(F.transform(reading, lambda b: b["text"]), "\n").alias("flat"), F.array_join(F.transform(emitted, lambda b: b["text"]), " ").alias("emitted"))
+    """Per page its text in reading order and in emission order."""
+    pages = boxes.groupBy(*PAGE).agg(F.collect_list(F.struct("y", "x", "seq", "text")).alias("boxes"))
+    return pages.select(*PAGE, *[c.alias(k) for k, c in _texts(F.col("boxes")).items()])
 
 
 def header_fields(pages: DataFrame) -> DataFrame:
@@ -48,63 +60,99 @@ def is_spoon(emitted: Column) -> Column:
     return up.contains("BLOWS ON SPOON") | (up.contains("ON SPOON") & up.contains("STRATIF"))
 
 
+def _axis() -> tuple[dict[str, Column], Column]:
+    """Aggregates of a page's boxes that fit depth over y, and whether they make an axis."""
+    v = F.when(F.col("x") < 0.13 * F.col("page_w"), logs.found(F.trim("text"), logs.TICK).cast("int"))
+    v = F.when((v >= 0) & (v < 300), v)
+    order = F.when(v.isNotNull(), F.struct(F.col("y"), v.alias("v")))
+    fit = {"n": F.count(v), "a": F.regr_slope(v, F.col("y")), "b": F.regr_intercept(v, F.col("y")), "last": F.max(order)["v"], "first": F.min(order)["v"]}
+    return fit, F.expr("n >= 3 AND last > first AND a > 0")
+
+
 def depth_axis(boxes: DataFrame) -> DataFrame:
     """Per page slope and intercept of depth over y, from three or more increasing ticks in the left margin."""
-    tick = logs.found(F.trim("text"), logs.TICK).cast("int")
-    ticks = boxes.where(F.col("x") < 0.13 * F.col("page_w")).withColumn("v", tick).where("v >= 0 AND v < 300")
-    order = F.struct("y", "v")
-    fit = ticks.groupBy(*PAGE).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(F.col("v"), F.col("y")).alias("a"), F.regr_intercept(F.col("v"), F.col("y")).alias("b"), F.max_by("v", order).alias("last"), F.min_by("v", order).alias("first"))
-    return fit.where("n >= 3 AND last > first AND a > 0").select(*PAGE, "a", "b")
+    fit, good = _axis()
+    return boxes.groupBy(*PAGE).agg(*[c.alias(k) for k, c in fit.items()]).where(good).select(*PAGE, "a", "b")
+
+
+def layout(boxes: DataFrame) -> DataFrame:
+    """Per page one row: its boxes as an array in order of y, text, head fields, and the depth axis (a, b) if it has one.
+
+    A box also says where the boxes within ``BAND`` of its y begin (after ``lo``) and end (``hi``) in the array: two counts that
+    run down the page, each over a frame that only grows, so a page costs its boxes and not their pairs.  All of it
+    needs one shuffle by page.
+    """
+    down = Window.partitionBy(*PAGE).orderBy("y")
+    # a unit wider than the band, whose bounds are compared exactly once the slice is cut
+    counts = {"lo": F.count(F.lit(1)).over(down.rangeBetween(Window.unboundedPreceding, -BAND - 1)), "hi": F.count(F.lit(1)).over(down.rangeBetween(Window.unboundedPreceding, BAND + 1))}
+    fit, good = _axis()
+    held = F.struct("y", "seq", "x", F.col("page_w").alias("w"), "text", "conf", F.col("lo").cast("int").alias("lo"), F.col("hi").cast("int").alias("hi"))
+    pages = boxes.withColumns(counts).groupBy(*PAGE).agg(F.array_sort(F.collect_list(held)).alias("boxes"), *[c.alias(k) for k, c in fit.items()])
+    pages = pages.withColumns({"a": F.when(good, F.col("a")), "b": F.when(good, F.col("b")), **_texts(F.col("boxes"))})
+    return header_fields(pages.drop("n", "last", "first"))
+
+
+def generic_rows(pages: DataFrame) -> DataFrame:
+    """Intervals of descriptive pages (``layout``): boxes right of 0.42 of the width that name a soil, in order of y."""
+    worded = F.filter("boxes", lambda b: (b["x"] > 0.42 * b["w"]) & (F.length(b["text"]) > 8))
+    named = F.filter(F.transform(worded, lambda b: F.struct(b["y"].alias("y"), b["text"].alias("text"), b["conf"].alias("conf"), logs.soil_family(b["text"]).alias("f"))), lambda b: b["f"]["family"].isNotNull())
+    depth = lambda y: F.round(F.col("a") * y + F.col("b"), 2)
+    rows = pages.select(*PAGE, "a", "b", "header_gw", "surface_elevation", named.alias("named")).select("*", F.posexplode("named").alias("interval_index", "box"))
+    text, f = F.col("box.text"), F.col("box.f")
+    blows = logs.found(text, logs.BLOWS, 2).cast("int") + logs.found(text, logs.BLOWS, 3).cast("int")
+    return rows.select(
+        *PAGE, "interval_index", depth(F.col("box.y")).alias("top_depth"), depth(F.get("named", F.col("interval_index") + 1)["y"]).alias("bottom_depth"), f["family"].alias("uscs_class"), blows.alias("spt_n"),
+        F.lit(None).cast("string").alias("sample_type"), F.col("header_gw").alias("gw_depth"), F.col("surface_elevation").alias("elevation"), F.round(F.least(F.lit(1.0), 0.4 * F.col("box.conf") + 0.6 * f["confidence"]), 2).alias("confidence"),
+    )
 
 
 def parse_generic(boxes: DataFrame) -> DataFrame:
-    """Intervals of descriptive pages: boxes right of 0.42 of the width that name a soil, in order of y."""
-    described = boxes.where((F.col("x") > 0.42 * F.col("page_w")) & (F.length("text") > 8)).withColumn("f", logs.soil_family(F.col("text"))).where("f.family IS NOT NULL")
-    rows = described.join(depth_axis(boxes), PAGE, "left").join(header_fields(page_text(boxes)).drop("flat", "emitted"), PAGE, "left")
-    w = Window.partitionBy(*PAGE).orderBy("y", "seq")
-    top = F.round(F.col("a") * F.col("y") + F.col("b"), 2)
-    rows = rows.withColumn("top_depth", top)
-    blows = logs.found(F.col("text"), logs.BLOWS, 2).cast("int") + logs.found(F.col("text"), logs.BLOWS, 3).cast("int")
-    return rows.select(
-        *PAGE, (F.row_number().over(w) - 1).alias("interval_index"), "top_depth", F.when(F.col("top_depth").isNotNull(), F.lead("top_depth").over(w)).alias("bottom_depth"), F.col("f.family").alias("uscs_class"), blows.alias("spt_n"),
-        F.lit(None).cast("string").alias("sample_type"), F.col("header_gw").alias("gw_depth"), F.col("surface_elevation").alias("elevation"), F.round(F.least(F.lit(1.0), 0.4 * F.col("conf") + 0.6 * F.col("f.confidence")), 2).alias("confidence"),
-    )
+    """Intervals of boxes of descriptive pages."""
+    return generic_rows(layout(boxes))
 
 
-def parse_spoon(boxes: DataFrame) -> DataFrame:
-    """Intervals of split-spoon pages: a sample id anchors a band of boxes that hold depths, blows and description."""
-    w = F.col("page_w")
-    anchors = boxes.where((F.col("x") > 0.16 * w) & (F.col("x") < 0.24 * w) & F.trim("text").rlike(logs.SAMPLE_ID)).select(*PAGE, F.col("seq").alias("s_seq"), F.col("y").alias("s_y"), F.trim("text").alias("sid"))
-    band = anchors.join(boxes, PAGE).where(F.abs(F.col("y") - F.col("s_y")) < 70)
-
-    def gathered(keep: Column, *order: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(keep, F.struct(*order, F.col("text")))))
-
-    boxes_of = band.groupBy(*PAGE, "s_seq", "s_y", "sid").agg(
-        gathered((F.col("x") > 0.24 * w) & (F.col("x") < 0.36 * w), "x", "seq").alias("depths"),
-        gathered((F.col("x") > 0.37 * w) & (F.col("x") < 0.53 * w), "seq").alias("blows"),
-        gathered(F.col("x") > 0.57 * w, "x", "seq").alias("words"),
-    )
-    pages = header_fields(page_text(boxes)).withColumn("to_ft", F.when(F.col("flat").rlike(r"\d\s*m\b") | F.col("flat").contains("NAVD 88"), METRIC_FT).otherwise(1.0))
-    pages = pages.withColumn("elevation", F.coalesce(F.translate(logs.found(F.col("flat"), logs.GROUND), ",", ".").cast("double"), F.col("surface_elevation")))
-    # several numbers of one box are equal in x: as in a sort by (x, value)
-    pairs = F.array_sort(F.flatten(F.transform("depths", lambda b: F.transform(F.filter(logs.numbers_in(b["text"]), lambda v: v < 100), lambda v: F.struct(b["x"].alias("x"), b["seq"].alias("seq"), v.alias("v"))))))
-    rows = boxes_of.join(pages, PAGE).withColumn("d", pairs).withColumn("f", logs.soil_family(F.array_join(F.transform("words", lambda b: b["text"]), " ")))
+def spoon_rows(pages: DataFrame) -> DataFrame:
+    """Intervals of split-spoon pages (``layout``): a sample id anchors a band of boxes that hold depths, blows and description."""
+
+    def between(b: Column, low: float, high: float) -> Column:
+        return (b["x"] > low * b["w"]) & (b["x"] < high * b["w"])
+
+    def read(s: Column) -> Column:
+        band = F.filter(F.slice("boxes", s["lo"] + 1, s["hi"] - s["lo"]), lambda b: F.abs(b["y"] - s["y"]) < BAND)
+        depths = F.filter(band, lambda b: between(b, 0.24, 0.36))
+        # several numbers of one box are equal in x: as in a sort by (x, value)
+        pairs = F.flatten(F.transform(depths, lambda b: F.transform(F.filter(logs.numbers_in(b["text"]), lambda v: v < 100), lambda v: F.struct(b["x"].alias("x"), b["seq"].alias("seq"), v.alias("v")))))
+        blows = _in_order(F.filter(band, lambda b: between(b, 0.37, 0.53)), "seq")
+        words = _in_order(F.filter(band, lambda b: b["x"] > 0.57 * b["w"]), "x", "seq")
+        return F.struct(
+            F.translate(F.trim(s["text"]), "-", "").alias("sid"), F.slice(F.array_sort(pairs), 1, 2).alias("d"), F.flatten(F.transform(blows, logs.numbers_in)).alias("blows"), F.array_join(words, " ").alias("words"),
+        )
+
+    anchors = F.filter("boxes", lambda b: between(b, 0.16, 0.24) & F.trim(b["text"]).rlike(logs.SAMPLE_ID))
+    flat = F.col("flat")
+    to_ft = F.when(flat.rlike(r"\d\s*m\b") | flat.contains("NAVD 88"), METRIC_FT).otherwise(1.0)
+    elevation = F.coalesce(F.translate(logs.found(flat, logs.GROUND), ",", ".").cast("double"), F.col("surface_elevation"))
+    rows = pages.select(*PAGE, to_ft.alias("to_ft"), elevation.alias("elevation"), "header_gw", F.posexplode(F.transform(anchors, read)).alias("interval_index", "s"))
     rows = rows.withColumns({
-        "top_depth": F.round(F.get("d", F.lit(0))["v"] * F.col("to_ft"), 2), "bottom_depth": F.round(F.get("d", F.lit(1))["v"] * F.col("to_ft"), 2), "spt_n": logs.spt_from_increments(F.flatten(F.transform("blows", lambda b: logs.numbers_in(b["text"])))),
+        "f": logs.soil_family(F.col("s.words")), "top_depth": F.round(F.get("s.d", F.lit(0))["v"] * F.col("to_ft"), 2), "bottom_depth": F.round(F.get("s.d", F.lit(1))["v"] * F.col("to_ft"), 2), "spt_n": logs.spt_from_increments(F.col("s.blows")),
     })
-    index = F.row_number().over(Window.partitionBy(*PAGE).orderBy("s_y", "s_seq")) - 1
     confidence = F.round(F.least(F.lit(1.0), 0.3 + 0.3 * F.col("top_depth").isNotNull().cast("int") + 0.4 * F.col("spt_n").isNotNull().cast("int")), 2)
-    return rows.select(*PAGE, index.alias("interval_index"), "top_depth", "bottom_depth", F.col("f.family").alias("uscs_class"), "spt_n", F.translate("sid", "-", "").alias("sample_type"), F.col("header_gw").alias("gw_depth"), "elevation", confidence.alias("confidence"))
+    return rows.select(*PAGE, "interval_index", "top_depth", "bottom_depth", F.col("f.family").alias("uscs_class"), "spt_n", F.col("s.sid").alias("sample_type"), F.col("header_gw").alias("gw_depth"), "elevation", confidence.alias("confidence"))
+
+
+def parse_spoon(boxes: DataFrame) -> DataFrame:
+    """Intervals of boxes of split-spoon pages."""
+    return spoon_rows(layout(boxes))
 
 
 def parse_pages(boxes: DataFrame, max_pages: int = 4) -> DataFrame:
     """Per boring: if its first page is a spoon log all pages (up to ``max_pages``) as such, else page 1 as generic."""
-    read = boxes.where(F.col("page") <= max_pages)
-    first = page_text(read.where("page = 1")).select("boring_id", is_spoon(F.col("emitted")).alias("spoon"))
-    flagged = read.join(first, "boring_id")
-    rows = parse_spoon(flagged.where("spoon").drop("spoon")).unionByName(parse_generic(flagged.where("NOT spoon AND page = 1").drop("spoon")))
-    index = F.row_number().over(Window.partitionBy("boring_id").orderBy("page", "interval_index")) - 1
+    # dealt by boring once: pages, and all pages of a boring, then lie together
+    pages = layout(boxes.where(F.col("page") <= max_pages).repartition("boring_id"))
+    boring = Window.partitionBy("boring_id")
+    pages = pages.withColumn("spoon", F.max(F.when(F.col("page") == 1, is_spoon(F.col("emitted")))).over(boring))
+    rows = spoon_rows(pages.where("spoon")).unionByName(generic_rows(pages.where("NOT spoon AND page = 1")))
+    index = F.row_number().over(boring.orderBy("page", "interval_index")) - 1
     return rows.withColumn("interval_index", index)
 
 

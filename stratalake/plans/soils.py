@@ -242,13 +242,13 @@ def ocr_boxes(t: Tables) -> DataFrame:
         box(9, 200, y, F.concat(F.lit("S-"), (i + 1).cast("string"))), box(10, 260, y + 3, F.coalesce(F.col("top_depth").cast("string"), F.lit("-"))), box(11, 330, y + 1, F.coalesce(F.col("bottom_depth").cast("string"), F.lit("-"))),
         box(12, 400, y, F.lit("5")), box(13, 450, y + 2, F.coalesce(F.col("spt_n").cast("string"), F.lit("-"))), box(14, 500, y - 2, F.lit("1")), box(15, 700, y, phrase),
     )).otherwise(F.array(box(9, 50, y + (F.col("o") % 7) * (i % 3), (10 + 5 * i).cast("string")), box(15, 500, y + 10, phrase)))
-    head = s.select("boring_id", "o").distinct()
     h = lambda seq, yy, text: F.struct(F.lit(seq).alias("seq"), F.lit(500.0).alias("x"), F.lit(yy).alias("y"), text.alias("text"))
-    title = head.select("boring_id", F.explode(F.array(
-        h(0, 20.0, F.when(F.col("o") % 2 == 0, "Blows on Spoon").otherwise("Boring log")), h(1, 50.0, F.concat(F.lit("SURFACE ELEVATION: "), (F.col("o") % 300).cast("string"), F.lit(" ft"))),
+    title = F.array(
+        h(0, 20.0, F.when(spoon, "Blows on Spoon").otherwise("Boring log")), h(1, 50.0, F.concat(F.lit("SURFACE ELEVATION: "), (F.col("o") % 300).cast("string"), F.lit(" ft"))),
         h(2, 80.0, F.when(F.col("o") % 3 == 0, F.concat(F.lit("water level "), (F.col("o") % 40).cast("string"))).otherwise("dry hole")),
-    )).alias("b"))
-    rows = title.unionByName(s.select("boring_id", F.explode(own).alias("b")))
+    )
+    # every page has an interval 0, which brings the head
+    rows = s.select("boring_id", F.explode(F.when(i == 0, F.concat(title, own)).otherwise(own)).alias("b"))
     return rows.select("boring_id", F.lit(1).alias("page"), "b.seq", F.lit(1000.0).alias("page_w"), F.lit(2000.0).alias("page_h"), "b.x", "b.y", "b.text", F.lit(0.9).alias("conf"))
 
 
@@ -289,20 +289,18 @@ _SPOON = f"""SELECT boring_id, interval_index AS k, a, b, {_family('((o + interv
 
 
 def pages_of(t: Tables, spoon: bool) -> DataFrame:
-    """Boxes of the pages that are spoon logs, or of those that are not."""
-    boxes = ocr_boxes(t)
-    kinds = log_ops.page_text(boxes).select("boring_id", "page", log_ops.is_spoon(F.col("emitted")).alias("spoon"))
-    return boxes.join(kinds.where(F.col("spoon") == spoon).drop("spoon"), ["boring_id", "page"])
+    """Pages that are spoon logs, or those that are not."""
+    return log_ops.layout(ocr_boxes(t)).where(log_ops.is_spoon(F.col("emitted")) == spoon)
 
 
 @query("boxes_generic", f"SELECT boring_id, CAST(k AS INT) AS interval_index, a AS top_depth, b AS bottom_depth, f AS uscs_class, spt AS spt_n, gw AS gw_depth, el AS elevation, conf AS confidence FROM ({_GENERIC}) AS g")
 def boxes_generic(t: Tables) -> DataFrame:
-    return log_ops.parse_generic(pages_of(t, False)).drop("page", "sample_type")
+    return log_ops.generic_rows(pages_of(t, False)).drop("page", "sample_type")
 
 
 @query("boxes_spoon", f"SELECT boring_id, interval_index, a AS top_depth, b AS bottom_depth, f AS uscs_class, spt AS spt_n, sample AS sample_type, gw AS gw_depth, el AS elevation, conf AS confidence FROM (SELECT *, CAST(k AS INT) AS interval_index FROM ({_SPOON}) AS x) AS s")
 def boxes_spoon(t: Tables) -> DataFrame:
-    return log_ops.parse_spoon(pages_of(t, True)).drop("page")
+    return log_ops.spoon_rows(pages_of(t, True)).drop("page")
 
 
 def paged_boxes(t: Tables) -> DataFrame:

@@ -40,6 +40,24 @@ def stored(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     return table
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` written once to the shared folder in one file per hash bucket of ``key``, sorted by it.
+
+    There are as many buckets as shuffle partitions, so joins and aggregates on ``key`` shuffle nothing of it, and what
+    they meet it with is shuffled once at most.  A ``df`` that an aggregate has just dealt by ``key`` is not dealt again
+    by the writer; any other should be repartitioned by it, or its buckets are split over all tasks' files.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.format("parquet").bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the folders of ``stored`` tables, once all that was made from them is itself stored."""
     for table in tables:
