@@ -7,7 +7,8 @@ which start earlier elsewhere; the union of such windows is the set of maximal e
 
 Shape of the job: texts are dealt once into groups by a hash of doc_id and text, as many as the bytes of all texts ask for.  A group sends each *distinct* block
 hash once (48 bits, sorted, so a key present in a third of all rows arrives once per group) and gets a bit
-mask back; then the same with the surviving windows.  No pair of documents is ever formed.
+mask back; then the same with the surviving windows.  No pair of documents is ever formed.  Rows alike in doc_id and text would all
+be one group's: where they are more than a group should hold, they go in once with their number, and come out again in batches.
 
 Defined cases: null text is no words; null doc_id sorts before all ids and is kept as null; rows that share
 a doc_id (or have none) are separate documents in a fixed order, by group and then by text; a text of any length is one
@@ -23,9 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalake.llm._shared import stored
 from stratalake.llm._words import Words
 
 _SUB = 1 << 16
+_SLOTS = 1 << 20
+_ROW_BYTES = 64
+_BATCH = 1024
 _MASKS = "g int, kind int, bucket int, bits binary"
 
 
@@ -47,6 +52,7 @@ class _Group:
     def __init__(self, table: pa.Table, n: int, block: int):
         self.n, self.block = n, block
         table = table.append_column("_id", table.column("doc_id").fill_null(np.iinfo(np.int64).min)).sort_by([("_id", "ascending"), ("text", "ascending")])
+        self.copies = table.column("copies")
         self.doc_id, self.ids = table.column("doc_id"), table.column("_id").to_numpy()
         self.words = Words(table.column("text"))
         self.hashes = self.words.hashes()
@@ -194,7 +200,7 @@ def _match_spans(key: tuple, table: pa.Table) -> pa.Table:
 
 def _remove(n: int, block: int, buckets: int):
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.utf8()), ("removed", spans)])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.utf8()), ("removed", spans), ("copies", pa.int64())])
 
     def run(key: tuple, texts: pa.Table, masks: pa.Table) -> pa.Table:
         if not len(texts):
@@ -219,11 +225,32 @@ def _remove(n: int, block: int, buckets: int):
             a = b = np.zeros(0, np.int64)
         cuts = np.searchsorted(a, words.first).astype(np.int32)
         removed = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([pa.array(local[a]), pa.array(local[b] + 1)], ["start", "end"]))
-        return pa.table([group.doc_id, pa.array(words.counts), pa.array(total[words.first[1:]] - total[words.first[:-1]]), words.joined(~gone), removed], schema)
+        return pa.table([group.doc_id, pa.array(words.counts), pa.array(total[words.first[1:]] - total[words.first[:-1]]), words.joined(~gone), removed, group.copies], schema)
 
     return run
 
 
+def _weights(docs: DataFrame) -> tuple[int, int]:
+    """Bytes of all rows, and of the fullest of many hash slots of (doc_id, text)."""
+    slots = docs.groupBy(F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SLOTS)).alias("slot")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + _ROW_BYTES).alias("bytes"))
+    total, fullest = slots.agg(F.sum("bytes"), F.max("bytes")).first()
+    return total or 0, fullest or 0
+
+
+def _copies_out(found: DataFrame, n: int) -> DataFrame:
+    """A row for each copy: all but the first lose every window, so all their words if they have one."""
+    batch = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1 + {_BATCH - 1}) div {_BATCH}")))
+    rows = found.withColumn("batch", batch)
+    whole = (F.col("batch") > 0) & (F.col("n_words") >= n)
+    span = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
+    rows = rows.select(
+        "doc_id", "n_words", F.when(whole, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"),
+        F.when(whole, span).otherwise(F.col("removed")).alias("removed"), "batch", F.when(F.col("batch") == 0, F.lit(1).cast("long")).otherwise(F.least(F.lit(_BATCH).cast("long"), F.col("copies") - 1 - (F.col("batch") - 1) * _BATCH)).alias("times"),
+    )
+    dealt = rows.repartition("doc_id", "batch")
+    return dealt.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).drop("batch", "times", "copy")
+
+
 def substring_dedup(docs: DataFrame, n: int = 20, block: int = 10, groups: int | None = None, group_bytes: int = 1 << 26) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_removed, kept_text and the removed word spans.
 
@@ -235,18 +262,22 @@ def substring_dedup(docs: DataFrame, n: int = 20, block: int = 10, groups: int |
     if 2 * block - 1 > n:
         raise ValueError("a window of n words must hold an aligned block: 2 * block - 1 <= n")
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    total, fullest = _weights(docs)
+    collapsed = fullest > group_bytes + 4 * total // _SLOTS
     if groups is None:
-        total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         groups = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // group_bytes))
     buckets = max(1, min(groups // 2, _SUB))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"))
+    counted = stored(docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies")), "once") if collapsed else docs.withColumn("copies", F.lit(1).cast("long"))
+    texts = counted.select("doc_id", "text", "copies", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"))
     blocks = texts.groupBy("g").applyInArrow(_probe(n, block, buckets), "g int, bucket int, counts binary, rest binary, indexed binary, multi binary")
     hits = blocks.groupBy("bucket").applyInArrow(_match_blocks, _MASKS)
     spans = texts.groupBy("g").cogroup(hits.groupBy("g")).applyInArrow(_extend(n, block, buckets), "g int, bucket int, hashes binary, ids binary")
     earlier = spans.groupBy("bucket").applyInArrow(_match_spans, _MASKS)
-    return texts.groupBy("g").cogroup(hits.unionByName(earlier).groupBy("g")).applyInArrow(
-        _remove(n, block, buckets), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>"
+    found = texts.groupBy("g").cogroup(hits.unionByName(earlier).groupBy("g")).applyInArrow(
+        _remove(n, block, buckets), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<start:long,end:long>>, copies long"
     )
+    return _copies_out(found, n) if collapsed else found.drop("copies")
 
 
 def op1_query(docs: DataFrame) -> DataFrame:

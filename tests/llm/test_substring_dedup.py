@@ -1,7 +1,9 @@
 import hashlib
 import re
 
+from stratalake.llm import substring_dedup as S
 from stratalake.llm.substring_dedup import op1_query, substring_dedup
+from stratalake.storage import stored
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -53,6 +55,23 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert sorted(n for d, n in got if d is None) == [0, 25, 25] and {n for d, n in got if d is not None} == {25}
 
 
+def test_a_third_of_all_rows_alike(spark, monkeypatch):
+    """Rows alike go in once: groups stay small, and copies lose what copies lose."""
+    passage = [f"p{i}" for i in range(25)]
+    text = " ".join(["start", *passage, "end"])
+    data = [(i, " ".join([f"u{i}", *passage, *(f"u{i}x{k}" for k in range(30))])) for i in range(40)] + [(50, text)] * 3000 + [(51, "too short")] * 1500 + [(None, None)] * 1200
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    groups = []
+    monkeypatch.setattr(S, "stored", lambda t, name: groups.append(t.count()) or stored(t, name))
+    got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text, [tuple(x) for x in r.removed]) for r in substring_dedup(df, groups=6, group_bytes=4000).collect())
+    assert groups == [43] and len(got) == len(data)
+    assert sorted(g for g in got if g[0] == "50") == sorted([("50", 27, 25, "start end", [(1, 26)])] + [("50", 27, 27, "", [(0, 27)])] * 2999)
+    assert [g for g in got if g[0] == "51"] == [("51", 2, 0, "too short", [])] * 1500
+    assert [g[1:3] for g in got if g[0] == "None"] == [(0, 0)] * 1200
+    whole = substring_dedup(df, groups=6).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_text, [tuple(x) for x in r.removed]) for r in whole) == got
+
+
 def test_very_long_text_and_clashing_names(spark):
     text = " ".join(f"w{i}" for i in range(300_000))
     df = spark.createDataFrame([(1, text, 1, "a"), (2, text + " more", 2, "b"), (3, None, 3, None)], "doc_id long, text string, g int, bits string")
