@@ -9,7 +9,9 @@ A source's target is its share of all words by weight, but at most ``max_repeats
 excess is shared again by weight until no target is above that.
 
 Scale: documents are shuffled by a hash and laid out with two-level running sums (hash bins of about ``bin_rows`` rows, then
-rows of a bin), so no source, however hot, is ordered in one task; neither are the sources themselves, which may be as many
+rows of a bin), so no source, however hot, is ordered in one task.  Repeated rows share a hash and so a bin: a bin of more than ``_FULL``
+times the rows meant is cut by hash and row number, after it is stored, so that a task that runs again sees the same numbers.  Copies lie
+side by side in either layout, so which of them gets which place changes nothing.  Neither are the sources themselves ordered in one task, which may be as many
 as hosts.  The schedule has ``slots`` points whatever the input.  Its table of blocks has as many rows as slots and
 sources at most, and is broadcast only up to ``broadcast_rows``.
 
@@ -30,6 +32,9 @@ from stratalake.operators.running import running
 PHI = 0.6180339887498949
 _GRID = 4096
 _CHUNK = 1024
+#: Times ``bin_rows`` that a bin may hold before it is cut: chance alone fills none so.
+_FULL = 16
+_BIN = ["none", "name", "bin", "sub", "salt"]
 #: Weights of quotas are whole numbers, so that sums of them are exact.
 _UNITS = 1 << 20
 
@@ -117,6 +122,25 @@ def block_takes(slots: DataFrame, targets: DataFrame) -> DataFrame:
     return table.select("sid", "block", "begin", "whole", "once", (F.col("upto") - taken).alias("before"))
 
 
+def _per_bin(base: DataFrame) -> DataFrame:
+    return stored(base.groupBy(*_BIN).agg(F.sum("size").alias("bin_size"), F.count(F.lit(1)).alias("bin_count")), "bins")
+
+
+def _cut_full_bins(base: DataFrame, per_bin: DataFrame, bin_rows: int, broadcast_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``base`` and its bins, those that repeated rows overfill cut by hash and then by row number."""
+    full = per_bin.where(F.col("bin_count") > _FULL * bin_rows).select("none", "name", "bin", F.lit(True).alias("full"), "bin_count")
+    number, fullest = full.agg(F.count(F.lit(1)), F.max("bin_count")).first()
+    if not number:
+        return base, per_bin
+    full = full.drop("bin_count")
+    salts = -(-fullest // bin_rows)
+    cut = base.join(F.broadcast(full) if number <= broadcast_rows else full, ["none", "name", "bin"], "left")
+    # partitions number their rows by themselves, so the partition takes part in the salt
+    salt = F.pmod(F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id()), F.lit(salts))
+    cut = stored(cut.withColumns({"sub": F.when(F.col("full"), F.col("key")).otherwise(F.col("sub")), "salt": F.when(F.col("full"), salt).otherwise(F.col("salt"))}).drop("full"), "cut")
+    return cut, _per_bin(cut)
+
+
 def mix_sources(docs: DataFrame, slots: int = 1 << 16, max_repeats: int = 3, bin_rows: int = 1000, broadcast_rows: int = 300_000) -> DataFrame:
     """``docs`` with size, source_size, target and taken: how many of its words the mix takes, repeats counted."""
     added = ("size", "source_size", "target", "taken")
@@ -125,9 +149,9 @@ def mix_sources(docs: DataFrame, slots: int = 1 << 16, max_repeats: int = 3, bin
     key = F.xxhash64(F.lit(29), own["doc_id"], own["text"])
     # null sources meet under a flag and an empty name, which joins can compare
     base = base.withColumns(
-        {"size": word_count(F.col(own["text"])), "key": key, "bin": F.pmod(F.shiftright(key, 20), F.lit(bins)), "none": F.col(own["source"]).isNull(), "name": F.coalesce(F.col(own["source"]).cast("string"), F.lit(""))}
+        {"size": word_count(F.col(own["text"])), "key": key, "bin": F.pmod(F.shiftright(key, 20), F.lit(bins)), "none": F.col(own["source"]).isNull(), "name": F.coalesce(F.col(own["source"]).cast("string"), F.lit("")), "sub": F.lit(0).cast("long"), "salt": F.lit(0).cast("long")}
     )
-    per_bin = stored(base.groupBy("none", "name", "bin").agg(F.sum("size").alias("bin_size")), "bins")
+    base, per_bin = _cut_full_bins(base, _per_bin(base), bin_rows, broadcast_rows)
     sizes = per_bin.groupBy("none", "name").agg(F.sum("bin_size").alias("source_size")).select(F.when(~F.col("none"), F.col("name")).alias("source"), "source_size")
     targets = source_targets(sizes, max_repeats)
     plan = stored(schedule(targets, slots), "schedule")
@@ -136,15 +160,15 @@ def mix_sources(docs: DataFrame, slots: int = 1 << 16, max_repeats: int = 3, bin
         takes = F.broadcast(takes)
     named = targets.select(F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "sid", "source_size", "target", (F.col("upto") - F.col("source_size")).alias("earlier"))
     # sources in the order of their numbers, so that words before a bin are words of its source once those of earlier sources are taken off
-    laid_bins = running(per_bin, [F.col("none"), F.col("name"), F.col("bin")], {"upto": F.col("bin_size")})
+    laid_bins = running(per_bin, [F.col(c) for c in _BIN], {"upto": F.col("bin_size")})
     context = (
         laid_bins.join(named, ["none", "name"])
         .withColumn("offset", F.col("upto") - F.col("bin_size") - F.col("earlier"))
-        .drop("upto", "bin_size", "earlier")
+        .drop("upto", "bin_size", "bin_count", "earlier")
         .join(plan.select("sid", "blocks").distinct(), "sid", "left")
     )
-    row = Window.partitionBy("none", "name", "bin").orderBy("key", own["doc_id"])
-    laid = base.join(context, ["none", "name", "bin"]).withColumn("start", F.col("offset") + F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    row = Window.partitionBy(*_BIN).orderBy("key", own["doc_id"])
+    laid = base.join(context, _BIN).withColumn("start", F.col("offset") + F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     laid = laid.withColumn("stop", F.col("start") + F.col("size"))
     # words taken before a position, at both ends; the block of word p of n blocks over S words is ((p + 1) * n - 1) div S
     for end, word in (("start", "start"), ("stop", "stop - 1")):

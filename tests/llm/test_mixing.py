@@ -107,5 +107,18 @@ def test_clashing_names_and_very_long_texts(spark):
     assert sorted((r.bin or 0, r.name or "", r.SID, r.in_0, r.size) for r in got) == [(0, "x", "s", 4, 0), (1, "k", "s", 4, 400_000), (2, "", "s", 4, 1), (3, "y", "s", 4, 1)]
 
 
+def test_a_third_of_all_rows_alike(spark, monkeypatch):
+    """Repeated rows are cut into bins of bounded size, with the result of one ordered bin."""
+    rows = [(i, "w " * (1 + i % 9), "ab"[i % 2], i) for i in range(1200)] + [(7000, "same text here", "a", i % 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, g int").repartition(5)
+    sizes, per_bin = [], M._per_bin
+    monkeypatch.setattr(M, "_per_bin", lambda base: sizes.append(per_bin(base).agg({"bin_count": "max"}).first()[0]) or per_bin(base))
+    got = sorted(map(str, M.mix_sources(df, slots=256, bin_rows=10).drop("g").collect()))
+    assert sizes[0] >= 600 and len(sizes) == 2 and sizes[1] <= 40
+    monkeypatch.setattr(M, "_FULL", 1 << 20)
+    assert sorted(map(str, M.mix_sources(df, slots=256, bin_rows=10).drop("g").collect())) == got
+    assert sorted(r.g for r in M.mix_sources(df, slots=256, bin_rows=10).collect()) == sorted(r[3] for r in rows)
+
+
 def test_empty(empty):
     assert M.op9_query(empty).collect() == []
