@@ -165,13 +165,18 @@ def sample_admission(strata: DataFrame) -> DataFrame:
     return strata.where("top_depth IS NOT NULL AND (spt_n IS NOT NULL OR uscs_class IS NOT NULL)")
 
 
-def depth_samples(strata: DataFrame, derived: DataFrame) -> DataFrame:
-    """Admitted and gated samples with log blow count, standardised depth and physics inputs with masks."""
+def depth_targets(strata: DataFrame) -> DataFrame:
+    """Admitted and gated intervals with log blow count; all other columns stay."""
+    return sanity_gate(sample_admission(strata)).withColumn("y_spt_log", F.log1p("spt_n"))
+
+
+def depth_samples(derived: DataFrame) -> DataFrame:
+    """Admitted and gated samples of intervals with their properties (``derive`` with top_depth, spt_n and uscs_class): log blow count, standardised depth and physics inputs with masks."""
     guard_features(list(SAFE_COLUMNS))
-    key = ["boring_id", "interval_index"]
-    rows = sanity_gate(sample_admission(strata)).join(derived.select(*key, *SAFE_COLUMNS), key, "left")
-    rows = standardized(rows.withColumnRenamed("top_depth", "depth"), ["depth", *SAFE_COLUMNS])
-    return rows.select(*key, "depth", "depth_std", F.log1p("spt_n").alias("y_spt_log"), "uscs_class", *[f"{c}_{k}" for c in SAFE_COLUMNS for k in ("std", "mask")])
+    rows = depth_targets(derived).select("boring_id", "interval_index", F.col("top_depth").alias("depth"), "y_spt_log", "uscs_class", *SAFE_COLUMNS)
+    # read for the statistics and for the rows
+    rows = standardized(stored(rows, "depth-inputs"), ["depth", *SAFE_COLUMNS])
+    return rows.select("boring_id", "interval_index", "depth", "depth_std", "y_spt_log", "uscs_class", *[f"{c}_{k}" for c in SAFE_COLUMNS for k in ("std", "mask")])
 
 
 def nearest_label_vote(queries: DataFrame, train: DataFrame, k: int = 5) -> DataFrame:

@@ -1,13 +1,13 @@
 """Stress and property profiles per boring.
 
-The overburden integral takes, of each one-foot cell, the weight of the first layer that holds its middle.  It
-is built from change points, the cells at which a layer begins or ends: between them the weight is constant, and
-a running sum over these few runs gives the stress at any depth.  All work is keyed by boring.
+The overburden integral takes, of each one-foot cell, the weight of the first layer that holds its middle.  Layers in
+order of their tops hold what lies below all earlier bottoms, so a running maximum says where each begins to count, and a
+running sum what lies above.  All of it runs down the rows of a boring: one shuffle by boring, two sorts, and work that grows with its rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalake.functions import soil
@@ -16,13 +16,17 @@ from stratalake.functions.soil import SoilParams
 KEY = ["boring_id", "interval_index"]
 
 
+def _closed(p: SoilParams) -> Column:
+    """Bottom of a layer: its own, else the next top (``_next``), else at a nominal thickness."""
+    top, own, following = F.col("top_depth"), F.col("bottom_depth"), F.col("_next")
+    return F.when(own > top, own).when(following > top, following).otherwise(top + max(2 * p.step_ft, 2.0))
+
+
 def layer_column(strata: DataFrame, p: SoilParams = SoilParams()) -> DataFrame:
     """Rows with a top, closed at their bottom, else at the next top, else at a nominal thickness; with unit weight."""
     following = F.lead("top_depth").over(Window.partitionBy("boring_id").orderBy("top_depth", "interval_index"))
-    nominal = max(2 * p.step_ft, 2.0)
-    bottom = F.when(F.col("bottom_depth") > F.col("top_depth"), F.col("bottom_depth")).when(F.col("_next") > F.col("top_depth"), F.col("_next")).otherwise(F.col("top_depth") + nominal)
     rows = strata.where("top_depth IS NOT NULL").withColumn("_next", following)
-    return rows.select("boring_id", "interval_index", F.col("top_depth").alias("layer_top"), bottom.alias("layer_bottom"), soil.unit_weight(F.col("uscs_class"), p).alias("gamma_pcf"))
+    return rows.select("boring_id", "interval_index", F.col("top_depth").alias("layer_top"), _closed(p).alias("layer_bottom"), soil.unit_weight(F.col("uscs_class"), p).alias("gamma_pcf"))
 
 
 def groundwater(strata: DataFrame, low: float = 0.0, high: float | None = None) -> DataFrame:
@@ -31,48 +35,48 @@ def groundwater(strata: DataFrame, low: float = 0.0, high: float | None = None)
     return strata.where(ok).groupBy("boring_id").agg(F.min("gw_depth").alias("gw_ft"))
 
 
-def stress_segments(layers: DataFrame, p: SoilParams = SoilParams()) -> DataFrame:
-    """(boring_id, max_depth, k0, k1, gamma_pcf, cum_psf): runs of cells [k0, k1) under one weight, and the stress at k0.
-
-    A cell has the weight of the first layer (by top, then interval) that holds its middle.  Weights change only
-    where a layer begins or ends, so a boring has at most two runs per layer, however deep it is.
-    """
-    step = p.step_ft
-    own = layers.withColumns({"a": F.greatest(F.ceil(F.col("layer_top") / step - 0.5), F.lit(0)), "b": F.ceil(F.col("layer_bottom") / step - 0.5)})
-    deep = own.groupBy("boring_id").agg(F.greatest(F.max("layer_bottom"), F.lit(step)).alias("max_depth"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("a", F.greatest("a", "b")))))).alias("cuts"))
-    end = F.ceil(F.col("max_depth") / step) + 2
-    cuts = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), F.filter("cuts", lambda c: c < end), F.array(end))))
-    runs = deep.withColumn("cuts", cuts).select("boring_id", "max_depth", F.explode(F.zip_with(F.slice("cuts", 1, F.size("cuts") - 1), F.slice("cuts", 2, F.size("cuts") - 1), lambda x, y: F.struct(x.alias("k0"), y.alias("k1")))).alias("r"))
-    runs = runs.select("boring_id", "max_depth", "r.k0", "r.k1")
-    over = own.select("boring_id", "a", "b", F.struct("layer_top", "interval_index", "gamma_pcf").alias("l"))
-    held = runs.join(over, "boring_id").where("a <= k0 AND b >= k1").groupBy("boring_id", "k0").agg(F.min("l").alias("l"))
-    gamma = F.coalesce(F.col("l.gamma_pcf"), F.lit(p.default_unit_weight_pcf))
-    rows = runs.join(held, ["boring_id", "k0"], "left").select("boring_id", "max_depth", "k0", "k1", gamma.alias("gamma_pcf"))
-    upto = Window.partitionBy("boring_id").orderBy("k0").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("cum_psf", F.coalesce(F.sum(F.col("gamma_pcf") * (F.col("k1") - F.col("k0")) * step).over(upto), F.lit(0.0)))
+def _with_stress(strata: DataFrame, p: SoilParams) -> DataFrame:
+    """``strata`` with depth_ft, sigma_v0_tsf, pore_tsf, sigma_eff_v0_tsf, gamma_pcf and gw_ft; an interval of no boring has no stress."""
+    step, base = p.step_ft, p.default_unit_weight_pcf
+    boring = Window.partitionBy("boring_id")
+    down = boring.orderBy("top_depth", "interval_index", "_weight")
+    above = down.rowsBetween(Window.unboundedPreceding, -1)
+    top, known = F.col("top_depth"), F.col("boring_id").isNotNull()
+    depth = soil.reference_depth(top, F.col("bottom_depth"))
+    rows = strata.withColumns({"_weight": soil.unit_weight(F.col("uscs_class"), p), "depth_ft": depth}).withColumn("_next", F.lead("top_depth").over(down))
+    rows = rows.withColumn("_bottom", _closed(p))
+    rows = rows.withColumns({"_a": F.when(top.isNotNull(), F.greatest(F.ceil(top / step - 0.5), F.lit(0))), "_b": F.ceil(F.col("_bottom") / step - 0.5)})
+    # cells [_s, _e) that the layer is the first to hold
+    rows = rows.withColumn("_s", F.when(top.isNotNull(), F.greatest("_a", F.max("_b").over(above)))).withColumn("_e", F.greatest("_s", "_b"))
+    over = F.col("_weight") - base
+    rows = rows.withColumns({"_before": F.coalesce(F.sum(over * (F.col("_e") - F.col("_s"))).over(above), F.lit(0.0)), "_deep": F.greatest(F.max("_bottom").over(boring), F.lit(step)), "gw_ft": F.min(F.when(F.col("gw_depth") >= 0, F.col("gw_depth"))).over(boring)})
+    # layers and asked depths in one order: the last layer that begins above a depth is the one that counts there
+    layer = F.struct(F.col("_s").alias("s"), F.col("_e").alias("e"), over.alias("over"), F.col("_before").alias("before"))
+    kept = [*strata.columns, "depth_ft", "gw_ft", "_weight"]
+    event = lambda at, asks, held, row: F.struct(at.cast("double").alias("at"), F.lit(asks).alias("asks"), held.alias("layer"), row.alias("row"))
+    row = F.struct(*kept)
+    both = F.array(F.when(F.col("_e") > F.col("_s"), event(F.col("_s"), 0, layer, F.when(F.lit(False), row))), event(F.when(F.col("depth_ft").isNotNull(), F.least("depth_ft", "_deep") / step), 1, F.when(F.lit(False), layer), row))
+    events = rows.select("boring_id", F.explode(both).alias("v")).where("v IS NOT NULL").select("boring_id", "v.*")
+    events = events.withColumn("layer", F.last("layer", ignorenulls=True).over(boring.orderBy(F.asc_nulls_first("at"), "asks").rowsBetween(Window.unboundedPreceding, 0)))
+    inside = F.least("at", F.col("layer.e")) - F.col("layer.s")
+    total = base * F.col("at") + F.coalesce(F.col("layer.before") + F.col("layer.over") * inside, F.lit(0.0))
+    out = events.where("asks = 1").select("row.*", F.when(known, total * step / soil.PSF_PER_TSF).alias("sigma_v0_tsf")).withColumn("gw_ft", F.when(known, F.col("gw_ft")))
+    # pore pressure takes the depth as it is
+    pore = F.when(F.col("depth_ft").isNotNull(), p.water_pcf * F.coalesce(F.greatest(F.col("depth_ft") - F.col("gw_ft"), F.lit(0.0)), F.lit(0.0)) / soil.PSF_PER_TSF)
+    effective = F.when(F.col("sigma_v0_tsf").isNotNull(), F.greatest(F.col("sigma_v0_tsf") - F.col("pore_tsf"), F.lit(0.01)))
+    return out.withColumn("pore_tsf", pore).withColumns({"sigma_eff_v0_tsf": effective, "gamma_pcf": F.when(F.col("depth_ft").isNotNull(), F.col("_weight"))}).drop("_weight")
 
 
 def stresses(strata: DataFrame, p: SoilParams = SoilParams()) -> DataFrame:
     """Per interval: depth_ft, sigma_v0_tsf, pore_tsf, sigma_eff_v0_tsf, gamma_pcf, gw_ft; nulls where it has no depth."""
-    step = p.step_ft
-    runs = stress_segments(layer_column(strata, p), p).withColumnRenamed("gamma_pcf", "_g")
-    rows = strata.select(*KEY, "uscs_class", soil.reference_depth(F.col("top_depth"), F.col("bottom_depth")).alias("depth_ft"))
-    # the run that holds the depth, which counts within the profile; intervals without a depth stay without stress
-    within = F.least(F.col("depth_ft"), F.col("max_depth")) / step
-    at = rows.where("depth_ft IS NOT NULL").join(runs, "boring_id").withColumn("_f", within).where("floor(_f) >= k0 AND floor(_f) < k1")
-    at = at.select(*KEY, ((F.col("cum_psf") + F.col("_g") * (F.col("_f") - F.col("k0")) * step) / soil.PSF_PER_TSF).alias("sigma_v0_tsf"))
-    joined = rows.join(at, KEY, "left").join(groundwater(strata), "boring_id", "left")
-    # pore pressure takes the depth as it is
-    pore = F.when(F.col("depth_ft").isNotNull(), p.water_pcf * F.coalesce(F.greatest(F.col("depth_ft") - F.col("gw_ft"), F.lit(0.0)), F.lit(0.0)) / soil.PSF_PER_TSF)
-    out = joined.withColumn("pore_tsf", pore)
-    effective = F.when(F.col("sigma_v0_tsf").isNotNull(), F.greatest(F.col("sigma_v0_tsf") - F.col("pore_tsf"), F.lit(0.01)))
-    gamma = F.when(F.col("depth_ft").isNotNull(), soil.unit_weight(F.col("uscs_class"), p))
-    return out.select(*KEY, "depth_ft", "sigma_v0_tsf", "pore_tsf", effective.alias("sigma_eff_v0_tsf"), gamma.alias("gamma_pcf"), "gw_ft")
+    rows = _with_stress(strata.select(*KEY, "top_depth", "bottom_depth", "uscs_class", "gw_depth"), p)
+    return rows.select(*KEY, "depth_ft", "sigma_v0_tsf", "pore_tsf", "sigma_eff_v0_tsf", "gamma_pcf", "gw_ft")
 
 
-def derive(strata: DataFrame, p: SoilParams = SoilParams()) -> DataFrame:
-    """``strata_derived``: one row per interval with all properties, source and confidence."""
-    rows = strata.select(*KEY, "uscs_class", "spt_n", "confidence").join(stresses(strata, p), KEY)
+def derive(strata: DataFrame, p: SoilParams = SoilParams(), also: tuple[str, ...] = ()) -> DataFrame:
+    """``strata_derived``: one row per interval with all properties, source and confidence, and columns of ``strata`` that are asked for ``also``."""
+    read = dict.fromkeys([*KEY, "top_depth", "bottom_depth", "uscs_class", "gw_depth", "spt_n", "confidence", *also])
+    rows = _with_stress(strata.select(*read), p)
     uscs, n, n1 = F.col("uscs_class"), F.col("n60"), F.col("n1_60")
     pi, fines = soil.plasticity(uscs, p)
     granular, cohesive = soil.is_granular(uscs), soil.is_cohesive(uscs)
@@ -87,7 +91,7 @@ def derive(strata: DataFrame, p: SoilParams = SoilParams()) -> DataFrame:
     rows = rows.withColumn("phi_peck_deg", F.when(n1.isNotNull(), F.col("phi_peck_deg")))
     return rows.select(
         *KEY, "depth_ft", "sigma_v0_tsf", "sigma_eff_v0_tsf", "gamma_pcf", "n60", "cn", "n1_60", "phi_peck_deg", "phi_hatanaka_deg", "dr_pct", "su_tsf", "e_modulus_tsf", "m_constrained_tsf",
-        "allow_bearing_tsf", "n1_60cs", "crr", F.lit("soil_profile").alias("source"), "confidence",
+        "allow_bearing_tsf", "n1_60cs", "crr", F.lit("soil_profile").alias("source"), "confidence", *also,
     )
 
 

@@ -107,9 +107,14 @@ _SAMPLES = f"""WITH {_DERIVED}, s AS (SELECT a.boring_id, a.interval_index, top_
     FROM strata AS a LEFT JOIN derived AS d USING (boring_id, interval_index) WHERE top_depth BETWEEN 0 AND 200 AND (a.spt_n IS NOT NULL OR a.uscs_class IS NOT NULL))"""
 
 
+def derived_strata(t: Tables) -> DataFrame:
+    """Properties of all intervals beside what makes them samples."""
+    return profile.derive(t.strata, also=("top_depth", "spt_n", "uscs_class"))
+
+
 @query("depth_samples", f"{_SAMPLES} SELECT boring_id, interval_index, depth, round((depth - avg(depth) OVER ()) / stddev_pop(depth) OVER (), 6) + 0e0 AS depth_std, round(y, 6) AS y_spt_log, uscs_class, {_STD} FROM s")
 def depth_samples(t: Tables) -> DataFrame:
-    return features.depth_samples(t.strata, profile.derive(t.strata))
+    return features.depth_samples(derived_strata(t))
 
 
 @query("fourier_depth", "SELECT l_orderkey, l_linenumber, l_partkey, " + ", ".join(f"round({f}(q * {2.0**k!r}e0), 6) + 0e0 AS {f}_{k}" for k in range(6) for f in ("sin", "cos")) + " FROM (SELECT *, (l_quantity - 25) / 10 AS q FROM lineitem)")
@@ -128,7 +133,7 @@ def nearest_label_vote(t: Tables) -> DataFrame:
 
 @query("depth_mean_baseline", f"{_SAMPLES}, r AS (SELECT unnest(range(5)) AS run) SELECT CAST(run AS INT) AS run, round(avg(y), 6) AS mu, round(stddev_pop(y), 6) AS sigma FROM s JOIN r ON interval_index % 5 <> run AND interval_index % 5 <> (run + 1) % 5 GROUP BY run")
 def depth_mean_baseline(t: Tables) -> DataFrame:
-    samples = features.depth_samples(t.strata, profile.derive(t.strata)).select(F.col("interval_index").alias("id"), F.col("y_spt_log").alias("y"))
+    samples = features.depth_targets(t.strata).select(F.col("interval_index").alias("id"), F.col("y_spt_log").alias("y"))
     roles = features.fold_roles(samples.select("id", (F.col("id") % 5).alias("fold")).distinct())
     return features.depth_mean_baseline(samples, roles)
 
@@ -310,7 +315,7 @@ def spatial_cv_classes(t: Tables) -> DataFrame:
 
 def depth_rows(t: Tables) -> tuple[DataFrame, list[str], list[str]]:
     """(run, role, id, boring_id, interval_index, y, columns) of depth samples with a blow count; columns of geology and depth, and of physics."""
-    samples = stored(features.depth_samples(t.strata, profile.derive(t.strata)).where("y_spt_log IS NOT NULL").withColumnRenamed("y_spt_log", "y"), "samples")
+    samples = stored(features.depth_samples(derived_strata(t)).where("y_spt_log IS NOT NULL").withColumnRenamed("y_spt_log", "y"), "samples")
     units = ["surficial_unit", "bedrock_unit"]
     geology = indexed(covariates(t).select(F.col("id").alias("boring_id"), *units), units).drop(*units)
     nodes = t.borings.join(t.dem_samples, "boring_id", "left").select(F.col("boring_id").alias("id"), F.col("x_ft").alias("x"), F.col("y_ft").alias("y"), F.col("elevation_m").alias("elevation"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalake.plans.fixtures import Tables, oracle
+from stratalake.storage import deal_by_size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Callable[[Tables], Dat
     """Register a function of Tables under ``name``; ``sql`` may use the stand-in views."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(Tables(spark, sf_dir)))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            deal_by_size(spark, sf_dir)
+            return rounded(f(Tables(spark, sf_dir)))
+
+        QUERIES[name] = run
         if sql:
             ORACLES[name] = oracle(sql)
         return f

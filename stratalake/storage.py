@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -58,6 +59,33 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input tables for each partition of a shuffle, the most bytes to which adaptive execution joins partitions (compressed: sorted in memory
+#: they are some ten times as many), and which tables count.
+PARTITION_BYTES = 4 << 20
+JOINED_MB = 16
+_SIZED = "/(customer|supplier|part|orders|lineitem|events)[.]parquet"
+
+
+def deal_by_size(spark: SparkSession, sf_dir: str) -> int:
+    """Raise spark.sql.shuffle.partitions to the size of the input, so that a task's share stays the same as tables grow.
+
+    What the session had set is the least; where adaptive execution is on it joins partitions that turn out small.
+    """
+    joined = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    if spark.conf.get(joined, "64MB").upper() in ("64MB", "67108864B", "67108864"):  # Spark's own; what a user has set stays
+        spark.conf.set(joined, f"{JOINED_MB}MB")
+    name, own, least = "spark.sql.shuffle.partitions", "stratalake.partitions", "stratalake.partitions.least"
+    now = spark.conf.get(name)
+    if now != spark.conf.get(own, None):  # set by the user since
+        spark.conf.set(least, now)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{sf_dir}/*.parquet").where(F.col("path").rlike(_SIZED))
+    size = files.agg(F.sum("length")).first()[0] or 0
+    parts = max(int(spark.conf.get(least)), -(-size // PARTITION_BYTES))
+    spark.conf.set(name, str(parts))
+    spark.conf.set(own, str(parts))
+    return parts
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete the folders of ``stored`` tables, once all that was made from them is itself stored."""
     for table in tables:

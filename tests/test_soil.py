@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,42 @@ def test_stress_of_one_layer(spark):
 
 def test_empty_profile(spark):
     assert profile.derive(spark.createDataFrame([], STRATA)).collect() == []
+
+
+def plain_stress(rows, depth):
+    """Overburden at a depth, foot by foot, of rows (interval, top, bottom, weight)."""
+    layers = sorted((t, i, b, g) for i, t, b, g in rows if t is not None)
+    tops = [t for t, *_ in layers]
+    closed = [(t, b if b is not None and b > t else tops[k + 1] if k + 1 < len(tops) and tops[k + 1] > t else t + 2, g) for k, (t, _, b, g) in enumerate(layers)]
+    depth = min(depth, max(1.0, max(b for _, b, _ in closed)))
+    total, k = 0.0, 0
+    while k < depth:
+        g = next((g for t, b, g in closed if t <= k + 0.5 < b), 120.0)
+        total += g * min(1.0, depth - k)
+        k += 1
+    return total / 2000
+
+
+def test_stresses_equal_a_sum_over_feet(spark):
+    rng = random.Random(9)
+    classes = ["SP", "CL", "PT", None, "GW"]
+    rows = []
+    for b in range(40):
+        for i in range(rng.randrange(1, 9)):
+            top = None if rng.random() < 0.1 else rng.choice([-3.0, 0.0, 0.5, rng.randrange(60) / 2, rng.random() * 30])
+            rows.append((f"b{b}", i, top, None if top is None or rng.random() < 0.3 else top + rng.randrange(-4, 24) / 2, rng.choice(classes), 10, None, 0.9))
+    rows.append((None, 0, 3.0, 9.0, "SP", 10, None, 0.9))
+    table = spark.createDataFrame(rows, STRATA)
+    got = {(r.boring_id, r.interval_index): r for r in profile.stresses(table).collect()}
+    assert len(got) == len(rows) == profile.derive(table).count() and got[None, 0].sigma_v0_tsf is None
+    for b, i, top, bottom, *_ in rows[:-1]:
+        own = [(r[1], r[2], r[3], soil.UNIT_WEIGHT.get(r[4], 120.0)) for r in rows if r[0] == b]
+        if top is None or top < 0:
+            assert got[b, i].sigma_v0_tsf is None
+        else:
+            assert got[b, i].sigma_v0_tsf == pytest.approx(plain_stress(own, (top + bottom) / 2 if bottom is not None and bottom > top else top))
+
+
+def test_a_profile_shuffles_once(spark):
+    plan = profile.derive(spark.createDataFrame([("b", 0, 0.0, 30.0, "SW", 10, 10.0, 0.9)], STRATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
