@@ -194,3 +194,27 @@ def test_knn_of_many_points_in_one_place(spark):
         order = sorted((math.dist(at[q], at[i]), i) for i in at if i != q)
         assert near == [i for _, i in order[:3]]
     assert len(got) == len(places)
+
+
+def test_open_cells_ask_the_nearest_leaves_first(spark, monkeypatch):
+    """Points on a ring around a few: cells of the ring are unbounded, and all leaves lie beyond some edge."""
+    import math
+
+    from stratalake.operators import delaunay
+
+    rng = random.Random(12)
+    points = [(f"p{i:04d}", 1000 * math.cos(i / 100) + rng.random(), 1000 * math.sin(i / 100) + rng.random()) for i in range(620)] + [(f"q{i}", rng.uniform(-300, 300), rng.uniform(-300, 300)) for i in range(200)]
+    table = spark.createDataFrame(points, "id string, x double, y double")
+    asked, inner = [], delaunay._found
+
+    def counted(at, rows):
+        asked.append(at.join(rows, "leaf").count())
+        return inner(at, rows)
+
+    monkeypatch.setattr(delaunay, "CAP", 16)
+    monkeypatch.setattr(delaunay, "_found", counted)
+    few = {(r.src, r.dst) for r in delaunay.delaunay_edges(table).collect()}
+    low = sum(asked)
+    asked.clear()
+    monkeypatch.setattr(delaunay, "FIRST", 1 << 20)
+    assert few == {(r.src, r.dst) for r in delaunay.delaunay_edges(table).collect()} and low < sum(asked)
