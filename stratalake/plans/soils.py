@@ -232,24 +232,20 @@ def spt_from_increments(t: Tables) -> DataFrame:
 
 def ocr_boxes(t: Tables) -> DataFrame:
     """One page per boring: even orders are spoon logs, odd ones descriptive pages."""
-    s = t.strata.withColumn("o", F.substring("boring_id", 2, 9).cast("int"))
-    spoon = F.col("o") % 2 == 0
-    y = 200.0 + 100.0 * F.col("interval_index")
-    i = F.col("interval_index")
-    phrase = F.expr(_phrase("(o + interval_index) % 12"))
-    box = lambda seq, x, yy, text: F.struct((i * 20 + seq).alias("seq"), F.lit(x).cast("double").alias("x"), yy.alias("y"), text.alias("text"))
-    own = F.when(spoon, F.array(
-        box(9, 200, y, F.concat(F.lit("S-"), (i + 1).cast("string"))), box(10, 260, y + 3, F.coalesce(F.col("top_depth").cast("string"), F.lit("-"))), box(11, 330, y + 1, F.coalesce(F.col("bottom_depth").cast("string"), F.lit("-"))),
-        box(12, 400, y, F.lit("5")), box(13, 450, y + 2, F.coalesce(F.col("spt_n").cast("string"), F.lit("-"))), box(14, 500, y - 2, F.lit("1")), box(15, 700, y, phrase),
-    )).otherwise(F.array(box(9, 50, y + (F.col("o") % 7) * (i % 3), (10 + 5 * i).cast("string")), box(15, 500, y + 10, phrase)))
-    h = lambda seq, yy, text: F.struct(F.lit(seq).alias("seq"), F.lit(500.0).alias("x"), F.lit(yy).alias("y"), text.alias("text"))
-    title = F.array(
-        h(0, 20.0, F.when(spoon, "Blows on Spoon").otherwise("Boring log")), h(1, 50.0, F.concat(F.lit("SURFACE ELEVATION: "), (F.col("o") % 300).cast("string"), F.lit(" ft"))),
-        h(2, 80.0, F.when(F.col("o") % 3 == 0, F.concat(F.lit("water level "), (F.col("o") % 40).cast("string"))).otherwise("dry hole")),
-    )
-    # every page has an interval 0, which brings the head
-    rows = s.select("boring_id", F.explode(F.when(i == 0, F.concat(title, own)).otherwise(own)).alias("b"))
-    return rows.select("boring_id", F.lit(1).alias("page"), "b.seq", F.lit(1000.0).alias("page_w"), F.lit(2000.0).alias("page_h"), "b.x", "b.y", "b.text", F.lit(0.9).alias("conf"))
+    s = t.strata.withColumn("o", F.substring("boring_id", 2, 9).cast("int")).withColumns({"spoon": F.col("o") % 2 == 0, "low": 200.0 + 100.0 * F.col("interval_index")})
+    # numbers of an interval's boxes; every page has an interval 0, which brings the head (0 to 2)
+    own, head = ("array(9, 10, 11, 12, 13, 14, 15)", "array(9, 15)"), "array(0, 1, 2)"
+    kinds = F.expr(f"CASE WHEN interval_index = 0 THEN CASE WHEN spoon THEN concat({head}, {own[0]}) ELSE concat({head}, {own[1]}) END WHEN spoon THEN {own[0]} ELSE {own[1]} END")
+    kind = lambda **says: "CASE " + " ".join(f"WHEN k = {k[1:]} THEN {v}" for k, v in says.items()) + " END"
+    x = f"CASE WHEN k < 3 THEN 500D WHEN spoon THEN {kind(_9='200D', _10='260D', _11='330D', _12='400D', _13='450D', _14='500D', _15='700D')} ELSE {kind(_9='50D', _15='500D')} END"
+    y = f"CASE WHEN k < 3 THEN 20D + 30 * k WHEN spoon THEN low + {kind(_9='0', _10='3', _11='1', _12='0', _13='2', _14='-2', _15='0')} ELSE {kind(_9='low + (o % 7) * (interval_index % 3)', _15='low + 10')} END"
+    phrase = _phrase("(o + interval_index) % 12")
+    heads = {"_0": "CASE WHEN spoon THEN 'Blows on Spoon' ELSE 'Boring log' END", "_1": "concat('SURFACE ELEVATION: ', CAST(o % 300 AS string), ' ft')", "_2": "CASE WHEN o % 3 = 0 THEN concat('water level ', CAST(o % 40 AS string)) ELSE 'dry hole' END"}
+    number = lambda c: f"coalesce(CAST({c} AS string), '-')"
+    logged = {"_9": "concat('S-', CAST(interval_index + 1 AS string))", "_10": number("top_depth"), "_11": number("bottom_depth"), "_12": "'5'", "_13": number("spt_n"), "_14": "'1'", "_15": phrase}
+    text = f"CASE WHEN k < 3 THEN {kind(**heads)} WHEN spoon THEN {kind(**logged)} ELSE {kind(_9='CAST(10 + 5 * interval_index AS string)', _15=phrase)} END"
+    rows = s.select("*", F.explode(kinds).alias("k"))
+    return rows.select("boring_id", F.lit(1).alias("page"), F.expr("interval_index * 20 + k").alias("seq"), F.lit(1000.0).alias("page_w"), F.lit(2000.0).alias("page_h"), F.expr(x).alias("x"), F.expr(y).alias("y"), F.expr(text).alias("text"), F.lit(0.9).alias("conf"))
 
 
 _BOX = "SELECT *, CAST(substr(boring_id, 2) AS INT) AS o FROM strata"
