@@ -1,4 +1,4 @@
-"""Searches by homes against all pairs."""
+"""Searches by homes against all pairs, and reachability that looks only at what is not reached."""
 
 import random
 
@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_geometry import circles
 
-from stratalake.operators import delaunay, knn, quadtree
+from stratalake.operators import delaunay, graph, knn, quadtree
 
 POINTS = "id string, x double, y double, unit string"
 
@@ -45,3 +45,34 @@ def test_a_point_goes_to_homes_and_not_to_every_near_leaf(spark, monkeypatch):
     by_leaf = quadtree.near_leaves(tree, 9).join(tree.steps[-1].select(F.col("node").alias("p"), "np"), "p").agg(F.sum("np")).first()[0]
     by_home = knn.at_home(tree, 9).where("NOT ask").count()
     assert 4000 <= by_home < 4 * 4000 < by_leaf / 2
+
+
+def _plain_share(edges, hops):
+    beside = {}
+    for a, b in edges:
+        beside.setdefault(a, set()).add(b)
+        beside.setdefault(b, set()).add(a)
+    reached = {n for n in beside if n.startswith("b:")}
+    for _ in range(hops):
+        reached |= {m for n in reached for m in beside[n]}
+    labels = {n for n in beside if n.startswith("l:")}
+    return len(labels), len(labels & reached)
+
+
+def test_late_labels_equal_a_search(spark):
+    rng = random.Random(9)
+    edges = [(f"l:{rng.randrange(90)}", f"l:{rng.randrange(90)}") for _ in range(85)] + [(f"l:{i}", f"b:{i}") for i in range(6)] + [("b:1", "b:2")]
+    table = spark.createDataFrame([(*e, "a") for e in edges], "src string, dst string, edge_type string")
+    for hops in (0, 1, 3, 5):
+        row = graph.reachability(table, hops).first()
+        assert (row["labels"], row["reached"]) == _plain_share(edges, hops)
+
+
+def test_no_hop_is_stored_if_every_label_is_beside_a_boring(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("stored ways")
+
+    monkeypatch.setattr(graph, "bucketed", never)
+    table = spark.createDataFrame([("b:1", f"l:{i}", "a") for i in range(5)] + [("l:1", "l:2", "a")], "src string, dst string, edge_type string")
+    row = graph.reachability(table).first()
+    assert (row["labels"], row["reached"], row["share"]) == (5, 5, 1.0)
