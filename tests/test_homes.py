@@ -76,3 +76,27 @@ def test_no_hop_is_stored_if_every_label_is_beside_a_boring(spark, monkeypatch):
     table = spark.createDataFrame([("b:1", f"l:{i}", "a") for i in range(5)] + [("l:1", "l:2", "a")], "src string, dst string, edge_type string")
     row = graph.reachability(table).first()
     assert (row["labels"], row["reached"], row["share"]) == (5, 5, 1.0)
+
+
+def test_union_context_over_numbers_equals_that_over_ids_even_of_repeated_ones(spark):
+    rows = [(f"{'bl'[i % 2]}:{i}", x, y, u) for i, (_, x, y, u) in enumerate(_points(60))]
+    nodes = spark.createDataFrame([*rows, rows[3]], POINTS).withColumn("v", F.col("x") / 7)
+    point = nodes.drop("v")
+    edges = graph.boring_graph(point).unionByName(graph.label_edges(point.where("id LIKE 'l:%'"), point.where("id LIKE 'b:%'")))
+    plain = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select("id", "v", "v_1", "v_2", "v_3").collect())
+    got = plain(graph.union_context(nodes, ["v"]))
+    assert got == plain(graph.graph_context(edges, nodes, ["v"])) and len(got) == 64 + 16
+
+
+def test_buckets_of_the_hops_follow_the_nodes(spark, monkeypatch):
+    seen, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    bucketed = graph.bucketed
+    monkeypatch.setattr(graph, "bucketed", lambda df, name, key: seen.append(spark.conf.get("spark.sql.shuffle.partitions")) or bucketed(df, name, key))
+    edges = spark.createDataFrame([("b:1", "l:1", "a")], "src string, dst string, edge_type string")
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        graph.graph_context(edges, spark.createDataFrame([("b:1", 1.0), ("l:1", 2.0)], "id string, x double"), ["x"], 1).collect()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "400"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert set(seen) == {str(2 * spark.sparkContext.defaultParallelism)}
